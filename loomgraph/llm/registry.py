@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import op01_mixing, op02_embeddings, op03_chat, op04_packing, op06_toxicity, op07_urls, op08_secrets
+from loomgraph.llm import op01_mixing, op02_embeddings, op03_chat, op04_packing, op05_jaccard, op06_toxicity, op07_urls, op08_secrets, op10_decontamination
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_embedding_forest": op02_embeddings.query,
         "op3_chat_tree": op03_chat.query,
         "op4_packed_tokens": op04_packing.query,
+        "op5_jaccard_trie": op05_jaccard.query,
         "op6_toxic_segments": op06_toxicity.query,
         "op7_url_rules": op07_urls.query,
         "op8_secret_formats": op08_secrets.query,
+        "op10_benchmark_leaks": op10_decontamination.query,
     }
 
 
