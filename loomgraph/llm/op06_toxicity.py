@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     seen = rows.where("not judge").select("text", "toxic").mapInArrow(_count, "part long, y long, n long")
     per = seen.groupBy("part").agg(F.sum(F.col("n") * F.col("y")).alias("c1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("c0"))
     prior = (F.col("c1") + F.col("c0")) * F.lit(PRIOR / (n1 + n0))
-    odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + PRIOR) - F.col(c) - prior))
+    odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + PRIOR + 0.5) - F.col(c) - prior))  # a part may be in every document
     weight = odds("c1", n1) - odds("c0", n0)
     scored = per.where("c1 >= 4").select("part", weight.alias("w"), (weight / F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))).alias("z"))
     best = scored.where(F.col("z") >= CERTAIN).where(F.col("w") >= STRONG).orderBy(F.desc("z"), "part").limit(MAX_PARTS).collect()
