@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import op01_mixing, op02_embeddings, op03_chat, op04_packing, op05_jaccard, op06_toxicity, op07_urls, op08_secrets, op10_decontamination
+import corpus_pipeline
+from loomgraph.llm import op01_mixing, op02_embeddings, op03_chat, op04_packing, op05_jaccard, op06_toxicity, op07_urls, op08_secrets, op09_substrings, op10_decontamination
 
 
 def queries() -> dict:
@@ -15,7 +16,9 @@ def queries() -> dict:
         "op6_toxic_segments": op06_toxicity.query,
         "op7_url_rules": op07_urls.query,
         "op8_secret_formats": op08_secrets.query,
+        "op9_suffix_levels": op09_substrings.query,
         "op10_benchmark_leaks": op10_decontamination.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
