@@ -2,5 +2,159 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text
+from loomgraph.operators import graph, rank, split
+from loomgraph.plans import sql
+from loomgraph.sources.tables import KG, register, triples
+from loomgraph.streaming import windows
+
+WITH_KG = f"WITH RECURSIVE kg AS ({KG}) "
+
+
+def _plan(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        return spark.sql(sql.spark_text(name))
+
+    return run
+
+
+def _duck(text_: str) -> str:
+    """Put ``kg`` before the plan's own common tables."""
+    t = text_.strip()
+    return WITH_KG.rstrip() + ", " + t[len("WITH "):] if t.startswith("WITH ") else WITH_KG + t
+
+
+QUERIES = {name: _plan(name) for name in sql.PLANS}
+ORACLES = {name: _duck(sql.duck_text(name)) for name in sql.PLANS}
+PARTS = "WITH parts AS (" + sql.SPLIT + ")"
+
+
+def add(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = _duck(oracle.replace("{bround}", "round_even"))
+        return f
+
+    return keep
+
+
+def _parts(spark, sf):
+    return split.stratified(triples(spark, sf, "RETURNED").select("head", "tail"))
+
+
+def _rank_sql(anchor: str, target: str) -> str:
+    # the plain definition: every candidate of the pool that is no other positive of the anchor
+    return PARTS + f""", s AS (SELECT x.{target} AS c, count(p.{target}) AS score FROM (SELECT DISTINCT {target} FROM parts) x LEFT JOIN parts p ON p.{target} = x.{target} AND p.part = 'train' GROUP BY x.{target}),
+t AS (SELECT p.head, p.tail, s.score FROM parts p JOIN s ON p.{target} = s.c WHERE p.part = 'test'),
+r AS (SELECT t.head, t.tail, count(*) FILTER (WHERE s.score > t.score) AS greater, count(*) FILTER (WHERE s.score = t.score) AS ties
+FROM t CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM parts k WHERE k.{anchor} = t.{anchor} AND k.{target} = s.c) GROUP BY t.head, t.tail)
+SELECT t.head, t.tail, coalesce(greater, 0) AS greater, coalesce(ties, 0) AS ties, coalesce(greater, 0) + coalesce(ties, 0) + 1 AS rank, coalesce(greater, 0) + coalesce(ties, 0) / 2.0 + 1 AS expected FROM t LEFT JOIN r ON t.head = r.head AND t.tail = r.tail"""
+
+
+@add("rank_popularity_tail", _rank_sql("head", "tail"))
+def _(spark, sf):
+    return rank.popularity_ranks(_parts(spark, sf), "head", "tail")
+
+
+@add("rank_popularity_head", _rank_sql("tail", "head"))
+def _(spark, sf):
+    return rank.popularity_ranks(_parts(spark, sf), "tail", "head")
+
+
+@add("mrr_hits", "WITH ranked AS (" + _rank_sql("head", "tail") + ") SELECT count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg(1.0 / expected), 6) AS mrr_expected, round(avg((rank <= 1)::INT::DOUBLE), 6) AS hits_1, round(avg((rank <= 3)::INT::DOUBLE), 6) AS hits_3, round(avg((rank <= 10)::INT::DOUBLE), 6) AS hits_10, max(rank) AS worst FROM ranked")
+def _(spark, sf):
+    return rank.mrr_hits(rank.popularity_ranks(_parts(spark, sf)))
+
+
+NEGATIVE = """, pos AS (SELECT head, tail FROM parts WHERE part = 'test'),
+pool AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY pick) - 1 AS i, count(*) OVER (PARTITION BY side) AS m FROM (SELECT DISTINCT 'h' AS side, head AS pick FROM pos UNION ALL SELECT DISTINCT 't', tail FROM pos) u),
+tries AS (SELECT head, tail, k, CASE WHEN ('0x' || substr(md5('42|' || head || '|' || tail || '|side'), 1, 8))::BIGINT % 2 = 0 THEN 'h' ELSE 't' END AS side, ('0x' || substr(md5('42|' || head || '|' || tail || '|' || k), 1, 8))::BIGINT AS d FROM pos CROSS JOIN range(1, 11) g(k)),
+cand AS (SELECT head, tail, k, CASE WHEN t.side = 'h' THEN pick ELSE head END AS nh, CASE WHEN t.side = 't' THEN pick ELSE tail END AS nt FROM tries t JOIN pool p ON t.side = p.side AND t.d % p.m = p.i),
+good AS (SELECT c.head, c.tail, nh, nt, row_number() OVER (PARTITION BY c.head, c.tail ORDER BY k) AS r FROM cand c WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.head = nh AND q.tail = nt))
+SELECT pos.head, pos.tail, coalesce(nh, pos.head) AS neg_head, coalesce(nt, pos.tail) AS neg_tail FROM pos LEFT JOIN good ON pos.head = good.head AND pos.tail = good.tail AND good.r = 1"""
+
+
+@add("neg_filtered", PARTS + NEGATIVE)
+def _(spark, sf):
+    return split.filtered_negatives(_parts(spark, sf).where("part = 'test'"))
+
+
+@add("split_undersample", "SELECT head, interaction, tail FROM kg ORDER BY md5('42|' || head || '|' || interaction || '|' || tail), head, interaction, tail LIMIT 500")
+def _(spark, sf):
+    return split.undersample(triples(spark, sf), 500)
+
+
+@add("split_oversample", "SELECT head, interaction, tail, g.c AS copy FROM kg CROSS JOIN range(1, 4) g(c) WHERE interaction = 'PART_BRAND'")
+def _(spark, sf):
+    return split.oversample(triples(spark, sf, "PART_BRAND"), 3)
+
+
+@add("components", "SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT head AS u, tail AS v FROM kg WHERE interaction IN ('NATION_REGION', 'SUPPLIER_NATION') UNION SELECT tail, head FROM kg WHERE interaction IN ('NATION_REGION', 'SUPPLIER_NATION')), w(node, reach) AS (SELECT u, u FROM e UNION SELECT w.node, e.v FROM w JOIN e ON w.reach = e.u) SELECT node, reach FROM w) x GROUP BY node")
+def _(spark, sf):
+    return graph.components(triples(spark, sf, "NATION_REGION", "SUPPLIER_NATION"))
+
+
+@add("bfs_distance", f"WITH e AS ({sql.BOTH}), s AS ({sql.SOME}), d1 AS (SELECT DISTINCT node AS a, v AS b FROM s JOIN e ON e.u = s.node), d2 AS (SELECT DISTINCT a, v AS b FROM d1 JOIN e ON e.u = d1.b) SELECT source, node, min(dist) AS dist FROM (SELECT node AS source, node, 0 AS dist FROM s UNION ALL SELECT a, b, 1 FROM d1 UNION ALL SELECT a, b, 2 FROM d2) x GROUP BY source, node")
+def _(spark, sf):
+    edges = triples(spark, sf, "CO_ORDER")
+    return graph.bfs(edges, spark.sql(sql.SOME), 2)
+
+
+_step = lambda i: f"m{i} AS (SELECT source, node, sum(m) AS m FROM (SELECT source, e.v AS node, 0.85 * m / d.n AS m FROM m{i - 1} JOIN e ON e.u = node JOIN d ON d.u = e.u UNION ALL SELECT node, node, 0.15 FROM s) x GROUP BY source, node)"
+
+
+@add("ppr_3", f"WITH e AS ({sql.BOTH}), d AS (SELECT u, count(*) AS n FROM e GROUP BY u), s AS ({sql.SOME}), m0 AS (SELECT node AS source, node, 1.0::DOUBLE AS m FROM s), {_step(1)}, {_step(2)}, {_step(3)} SELECT source, node, round(m, 6) AS mass FROM m3")
+def _(spark, sf):
+    edges = triples(spark, sf, "CO_ORDER")
+    return graph.page_rank(edges, spark.sql(sql.SOME), rounds=3).withColumn("mass", F.round("mass", 6))
+
+
+@add("norm_name_parts", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (2+)')), '\s*\(\d*[+-]\)$', ''), '^\((?:r|s|e|z|\+|-)\)-', ''), '[^a-z0-9 ]', '', 'g')) AS name FROM part")
+def _(spark, sf):
+    register(spark, sf)
+    return spark.table("part").select("p_partkey", text.norm_name(F.concat("p_name", F.lit(" (2+)"))).alias("name"))
+
+
+@add("family_key_parts", r"SELECT p_partkey, CASE WHEN len(t) >= 2 THEN array_to_string(list_slice(t, 1, 3), ' ') END AS family FROM (SELECT p_partkey, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(p_name || ' type-' || p_type), '\(human\)', '', 'g'), '[0-9]', '', 'g'), '[,\- ]'), lambda x: length(x) > 2) AS t FROM part) a")
+def _(spark, sf):
+    register(spark, sf)
+    return spark.table("part").select("p_partkey", text.family_key(F.concat("p_name", F.lit(" type-"), "p_type")).alias("family"))
+
+
+@add("distmult_scores", "SELECT a.vec_id AS h, b.vec_id AS t, round(list_sum(list_transform(list_zip(a.embedding, r.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE * z[3]::DOUBLE)), 4) + 0.0 AS score FROM embeddings a JOIN embeddings r ON r.vec_id = 3 JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % 500 WHERE a.vec_id < 500")
+def _(spark, sf):
+    register(spark, sf)
+    e = spark.table("embeddings")
+    a = e.where("vec_id < 500").select(F.col("vec_id").alias("h"), F.col("embedding").alias("x"), ((F.col("vec_id") * 7 + 1) % 500).alias("t"))
+    r = e.where("vec_id = 3").select(F.col("embedding").alias("r"))
+    b = e.select(F.col("vec_id").alias("t"), F.col("embedding").alias("y"))
+    both = a.join(b, "t").join(F.broadcast(r))  # one row
+    xr = F.zip_with("x", "r", lambda p, q: p.cast("double") * q.cast("double"))
+    return both.select("h", "t", (F.round(text.dot(xr, F.col("y")), 4) + F.lit(0.0)).alias("score"))
+
+
+@add("events_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
+def _(spark, sf):
+    register(spark, sf)
+    return windows.sessions(spark.table("events"))
+
+
+@add("auroc_popularity", PARTS + ", s AS (SELECT x.tail, count(p.tail) AS d FROM (SELECT DISTINCT tail FROM parts) x LEFT JOIN parts p ON p.tail = x.tail AND p.part = 'train' GROUP BY x.tail), y AS (SELECT s.d, CASE WHEN part = 'test' THEN 1 ELSE 0 END AS y FROM parts JOIN s ON parts.tail = s.tail WHERE part <> 'train') SELECT round((sum(CASE WHEN a.y = 1 AND b.y = 0 AND a.d > b.d THEN a.c * b.c * 1.0 ELSE 0 END) + 0.5 * sum(CASE WHEN a.y = 1 AND b.y = 0 AND a.d = b.d THEN a.c * b.c ELSE 0 END)) / max((SELECT count(*) FROM y WHERE y = 1) * (SELECT count(*) FROM y WHERE y = 0)), 6) AS auroc FROM (SELECT d, y, count(*) AS c FROM y GROUP BY d, y) a CROSS JOIN (SELECT d, y, count(*) AS c FROM y GROUP BY d, y) b")
+def _(spark, sf):
+    return rank.auroc(_labelled(spark, sf))
+
+
+@add("auprc_popularity", PARTS + ", s AS (SELECT x.tail, count(p.tail) AS d FROM (SELECT DISTINCT tail FROM parts) x LEFT JOIN parts p ON p.tail = x.tail AND p.part = 'train' GROUP BY x.tail), h AS (SELECT s.d, sum(CASE WHEN part = 'test' THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM parts JOIN s ON parts.tail = s.tail WHERE part <> 'train' GROUP BY s.d) SELECT round(sum(tp * prec) / sum(tp), 6) AS auprc FROM (SELECT tp, (SELECT sum(z.tp) * 1.0 / sum(z.n) FROM h z WHERE z.d >= h.d) AS prec FROM h) q")
+def _(spark, sf):
+    return rank.auprc(_labelled(spark, sf))
+
+
+def _labelled(spark, sf):
+    parts = _parts(spark, sf)
+    d = parts.where("part = 'train'").groupBy("tail").agg(F.count("*").alias("score"))
+    return parts.where("part <> 'train'").join(d, "tail", "left").fillna(0, "score").select("score", (F.col("part") == "test").cast("int").alias("y"))
