@@ -125,7 +125,18 @@ def ordered(docs: DataFrame) -> DataFrame:
     return materialize(far.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"))
 
 
-def _contexts(length: int):
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(copy): uids of texts that a smaller uid has as well, byte for byte.
+
+    All their windows start earlier and none of theirs is the first, so they go
+    whole and no other document needs their bytes.
+    """
+    seen = rows.select("uid", F.sha2(F.coalesce("text", F.lit("")), 256).alias("dg"))
+    first = seen.groupBy("dg").agg(F.min("uid").alias("least"), F.count("*").alias("c")).where("c > 1")
+    return seen.join(first, "dg").where("uid > least").select(F.col("uid").alias("copy"))
+
+
+def _contexts(length: int, k: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -133,13 +144,14 @@ def _contexts(length: int):
                 seeds = b.column(2)[i].values
                 h, at = seeds.field("h"), seeds.field("at").to_numpy(zero_copy_only=False)
                 pos, lo, hi = at >> 16, (at >> 8) & 255, at & 255
-                ctx = [raw[p:q] for p, q in zip((pos - hi).tolist(), (pos - lo + length).tolist())]
+                # the suffix's own k bytes are the same in all rows of h
+                ctx = [raw[p:m] + raw[m + k : q] for p, m, q in zip((pos - hi).tolist(), pos.tolist(), (pos - lo + length).tolist())]
                 yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(at), b.column(0)[i].as_py())), pa.array(at), pa.array(ctx, pa.binary())], ["h", "uid", "at", "ctx"])
 
     return emit
 
 
-def _later(length: int):
+def _later(length: int, k: int):
     """Of rows sorted by (h, uid, at): the bytes of windows that an earlier row holds as well.
 
     One chunk of rows and the window fingerprints of one suffix are held.
@@ -159,7 +171,9 @@ def _later(length: int):
                 n = hi - lo + 1
                 row = np.repeat(np.arange(len(at)), n)
                 j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w = window_hashes(buf, length, offs[:-1][row] + j)
+                w = window_hashes(buf, length - k, offs[:-1][row] + j)
+                with np.errstate(over="ignore"):  # a window is its suffix, how many bytes come before that, and the other bytes
+                    w = mix(w ^ mix(h.view(np.uint64)[row] + (hi[row] - j).astype(np.uint64)))
                 _, first, inverse = np.unique(w, return_index=True, return_inverse=True)
                 again = first[inverse] != np.arange(len(w))
                 if open_h is not None and h[0] == open_h:
@@ -179,12 +193,15 @@ def _later(length: int):
     return emit
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for i in range(b.num_rows):
             raw = (b.column(1)[i].as_py() or "").encode()
             spans = b.column(2)[i].values
+            if b.column(3)[i].as_py() and len(raw) >= length:
+                out.append((len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest()))
+                continue
             kept, at, removed, n = hashlib.sha256(), 0, 0, 0
             if spans is not None and len(spans):
                 a, z = spans.field("a").to_numpy(zero_copy_only=False), spans.field("b").to_numpy(zero_copy_only=False)
@@ -220,7 +237,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, batches:
     twice = found[0]
     for f in found[1:]:
         twice = twice.unionByName(f)
-    seeds = materialize(family.rows().join(twice.distinct(), "h", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("seeds")))
+    copies = materialize(later_copies(rows))
+    grouped = family.rows().join(twice.distinct(), "h", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("seeds"))
+    seeds = materialize(grouped.join(copies, F.col("uid") == F.col("copy"), "left_anti"))
     family.drop()
     for f in found:
         discard(f)
@@ -228,15 +247,16 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, batches:
     texts = rows.repartition(n, "uid")
     hit = texts.join(seeds.withColumnRenamed("uid", "key"), F.col("uid") == F.col("key")).select("uid", "text", "seeds")
     spans = (
-        hit.mapInArrow(_contexts(length), "h long, uid long, at long, ctx binary")
+        hit.mapInArrow(_contexts(length, k), "h long, uid long, at long, ctx binary")
         .repartition(n, "h")
         .sortWithinPartitions("h", "uid", "at")
-        .mapInArrow(_later(length), "uid long, a long, b long")
+        .mapInArrow(_later(length, k), "uid long, a long, b long")
         .groupBy(F.col("uid").alias("key"))
         .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     )
-    return texts.join(spans, F.col("uid") == F.col("key"), "left").select("doc_id", "text", "spans").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    told = texts.join(spans, F.col("uid") == F.col("key"), "left").join(copies, F.col("uid") == F.col("copy"), "left")
+    return told.select("doc_id", "text", "spans", F.col("copy").isNotNull().alias("whole")).mapInArrow(
+        lambda batches: _cut(batches, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
