@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import discard, materialize
@@ -25,6 +25,8 @@ from loomgraph.llm.textkit import _powers, mix, signed, text_chunks
 
 LENGTH, K = 100, 32
 BATCHES = 4
+#: Suffixes that begin alike and are compared in one sorted run; more are dealt over several.
+RUN_ROWS = 20_000
 
 
 def window_hashes(buf: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -146,7 +148,7 @@ def _contexts(length: int, k: int):
                 pos, lo, hi = at >> 16, (at >> 8) & 255, at & 255
                 # the suffix's own k bytes are the same in all rows of h
                 ctx = [raw[p:m] + raw[m + k : q] for p, m, q in zip((pos - hi).tolist(), pos.tolist(), (pos - lo + length).tolist())]
-                yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(at), b.column(0)[i].as_py())), pa.array(at), pa.array(ctx, pa.binary())], ["h", "uid", "at", "ctx"])
+                yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(at), b.column(0)[i].as_py())), pa.array(at), pa.array(ctx, pa.binary()), seeds.field("runs")], ["h", "uid", "at", "ctx", "runs"])
 
     return emit
 
@@ -154,7 +156,9 @@ def _contexts(length: int, k: int):
 def _later(length: int, k: int):
     """Of rows sorted by (h, uid, at): the bytes of windows that an earlier row holds as well.
 
-    One chunk of rows and the window fingerprints of one suffix are held.
+    Of a suffix in ``runs`` > 1 the windows first seen here come as well, with
+    their fingerprint ``w``: another run may hold an earlier one. One chunk of
+    rows and the window fingerprints of one suffix are held.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +166,7 @@ def _later(length: int, k: int):
         for whole in batches:
             for at0 in range(0, whole.num_rows, 20_000):
                 b = whole.slice(at0, 20_000)
-                h, uid, at = (b.column(i).to_numpy() for i in range(3))
+                h, uid, at, runs = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
                 ctx = b.column(3)
                 offs = np.frombuffer(ctx.buffers()[1], dtype=np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
                 buf = np.frombuffer(ctx.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]]
@@ -182,13 +186,20 @@ def _later(length: int, k: int):
                 last = np.unique(w[h[row] == h[-1]])
                 seen = np.union1d(seen, last) if open_h == h[-1] else last
                 open_h = h[-1]
+                place = (pos - hi)[row] + j
                 d = np.flatnonzero(again)
-                if not len(d):
-                    continue
-                place = (pos - hi)[row[d]] + j[d]
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(row[d]) != 0)]))
-                end = np.append(cut[1:], len(d)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(uid[row[d[cut]]]), pa.array(place[cut]), pa.array(place[end] + length)], ["uid", "a", "b"])
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(row[d]) != 0)])[: len(d)])
+                end = np.append(cut[1:], len(d))[: len(cut)] - 1
+                f = np.flatnonzero(~again & (runs[row] > 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([uid[row[d[cut]]], uid[row[f]]])),
+                        pa.array(np.concatenate([place[d[cut]], place[f]])),
+                        pa.array(np.concatenate([place[d[end]], place[f]]) + length),
+                        pa.concat_arrays([pa.nulls(len(cut), pa.int64()), pa.array(signed(w[f]))]),
+                    ],
+                    ["uid", "a", "b", "w"],
+                )
 
     return emit
 
@@ -217,13 +228,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of ``docs(doc_id, text)``.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a ``length``-byte string
     over it starts earlier in the input: in a smaller doc_id, or before in its
     document. Rows of one id go by a hash of the text, rows without an id come
-    first; each is a document of its own. Other columns are not read.
+    first; each is a document of its own. Other columns are not read. A suffix
+    found more than ``run_rows`` times is compared in several runs, and of each
+    window the first of every run are compared once more.
     """
     spark = docs.sparkSession
     rows = ordered(docs)
@@ -238,21 +251,35 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K, batches:
     for f in found[1:]:
         twice = twice.unionByName(f)
     copies = materialize(later_copies(rows))
-    grouped = family.rows().join(twice.distinct(), "h", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("seeds"))
-    seeds = materialize(grouped.join(copies, F.col("uid") == F.col("copy"), "left_anti"))
+    again = family.rows().join(twice.distinct(), "h", "left_semi")
+    often = materialize(
+        again.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > run_rows).select(F.col("h").alias("often"), F.ceil(F.col("c") / run_rows).alias("runs"))
+    )
+    told_apart = again.join(often, F.col("h") == F.col("often"), "left")
+    by_doc = told_apart.groupBy("uid").agg(
+        F.collect_list(F.when(F.col("runs").isNull(), F.struct("h", "at", F.lit(1).cast("long").alias("runs")))).alias("rare"),
+        F.collect_list(F.when(F.col("runs").isNotNull(), F.struct("h", "at", "runs"))).alias("often"),
+    )
+    seeds = materialize(by_doc.join(copies, F.col("uid") == F.col("copy"), "left_anti"))
     family.drop()
-    for f in found:
+    for f in (*found, often):
         discard(f)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.repartition(n, "uid")
-    hit = texts.join(seeds.withColumnRenamed("uid", "key"), F.col("uid") == F.col("key")).select("uid", "text", "seeds")
+
+    def found_again(kind: str) -> DataFrame:
+        own = seeds.where(F.size(kind) > 0).select(F.col("uid").alias("key"), F.col(kind).alias("seeds"))
+        hit = texts.join(own, F.col("uid") == F.col("key")).select("uid", "text", "seeds")
+        windows = hit.mapInArrow(_contexts(length, k), "h long, uid long, at long, ctx binary, runs long")
+        to = [F.pmod(F.xxhash64("uid", "at"), "runs")] if kind == "often" else []
+        return windows.repartition(n, "h", *to).sortWithinPartitions("h", "uid", "at").mapInArrow(_later(length, k), "uid long, a long, b long, w long")
+
+    # what is known to be a copy gets a group of its own; of the first windows of runs all but one are copies
+    group = F.coalesce("w", F.xxhash64("uid", "a"))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(F.col("w").isNull(), "uid", "a"))
+    over_runs = found_again("often").withColumn("nth", nth).where("w is null or nth > 1").select("uid", "a", "b")
     spans = (
-        hit.mapInArrow(_contexts(length, k), "h long, uid long, at long, ctx binary")
-        .repartition(n, "h")
-        .sortWithinPartitions("h", "uid", "at")
-        .mapInArrow(_later(length, k), "uid long, a long, b long")
-        .groupBy(F.col("uid").alias("key"))
-        .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        found_again("rare").select("uid", "a", "b").unionByName(over_runs).groupBy(F.col("uid").alias("key")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     )
     told = texts.join(spans, F.col("uid") == F.col("key"), "left").join(copies, F.col("uid") == F.col("copy"), "left")
     return told.select("doc_id", "text", "spans", F.col("copy").isNotNull().alias("whole")).mapInArrow(

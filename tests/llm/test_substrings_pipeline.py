@@ -42,6 +42,8 @@ def test_removed_bytes(spark, length, k, batches):
     df = spark.createDataFrame([(d, t, 1) for d, t in random.Random(1).sample(docs, len(docs))], "doc_id long, text string, uid int").repartition(3)
     got = op09_substrings.dedup_substrings(df, length, k, batches).collect()
     assert sorted(map(tuple, got)) == brute(docs, length)
+    got = op09_substrings.dedup_substrings(df, length, k, batches, run_rows=3).collect()
+    assert sorted(map(tuple, got)) == brute(docs, length)
 
 
 def test_rows_without_own_ids(spark):
