@@ -88,13 +88,12 @@ class Trie:
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        flat = np.concatenate(sets)
-        _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(counts), dtype=np.int64)
+        known, counts = np.unique(np.concatenate(sets), return_counts=True)
+        rank = np.empty(len(counts), dtype=np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
         self.vocabulary = len(counts)
-        ends = np.cumsum([len(s) for s in sets])
-        ranked = [np.sort(r) for r in np.split(rank[inverse], ends[:-1])]
+        ranked = [np.sort(rank[np.searchsorted(known, s)]) for s in sets]
+        del known, counts, rank
         self.order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
         self.sets = [ranked[i] for i in self.order]
         self.sizes = np.array([len(s) for s in self.sets])
@@ -329,7 +328,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
 
     def within(t: pa.Table) -> pa.Table:
         rep = t.column("rep").to_numpy()
-        found = join_sets([np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()], similar) if len(rep) > 1 else np.zeros(1, np.int64)
+        found = join_sets(_views(t.column("shingles")), similar) if len(rep) > 1 else np.zeros(1, np.int64)
         peer = rep[found]
         keep = rep != peer
         return pa.table({"u": rep[keep], "v": peer[keep]})
@@ -342,6 +341,17 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
     )
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a binary column, without a copy of its bytes."""
+    out = []
+    for c in column.chunks:
+        _, offsets, data = c.buffers()
+        kind = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+        offs = np.frombuffer(offsets, dtype=kind)[c.offset : c.offset + len(c) + 1]
+        out += [np.frombuffer(data, dtype=np.uint64, count=(b - a) // 8, offset=a) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+    return out
+
+
 def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
     for b in batches:
         yield pa.Table.from_batches([b])

@@ -1,6 +1,6 @@
 """Vectorised word and shingle fingerprints over the buffers of Arrow string columns.
 
-A batch is handled in chunks of a few MB, so memory follows the chunk (or the
+A batch is handled in chunks of half a MB, so memory follows the chunk (or the
 longest single text), never the batch or the partition.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 2_000_000
+CHUNK = 500_000
 _R = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _RINV = pow(_R, -1, 1 << 64)
 
