@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import connected_components, materialize
-from loomgraph.llm.textkit import shingle_hashes, signed, text_chunks, word_hashes
+from loomgraph.llm.textkit import give_back, lean, shingle_hashes, signed, text_chunks, word_hashes
 
 SHINGLE, SIMILAR = 4, Fraction(85, 100)
 #: Classes whose ids may be broadcast to fetch their texts; beyond it the join shuffles.
@@ -56,7 +56,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 [b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["doc_id", "n", "dg"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, dg binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(sign), "doc_id long, n long, dg binary")
 
 
 def own_shingles(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
@@ -76,7 +76,7 @@ def own_shingles(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(owners))], ["token", "owner"])
 
-    per = docs.select("text").mapInArrow(emit, "token long, owner long").groupBy("token").agg(F.min("owner").alias("owner"), F.max("owner").alias("o2"))
+    per = docs.select("text").mapInArrow(lean(emit), "token long, owner long").groupBy("token").agg(F.min("owner").alias("owner"), F.max("owner").alias("o2"))
     return per.where("owner = o2").groupBy("owner").agg(F.count("*").alias("own"))
 
 
@@ -264,7 +264,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
             owners = [int.from_bytes(d[:8], "little", signed=True) for d in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(owners, pa.int64())], ["dg", "rep", "n", "owner"])
 
-    tagged = classes.mapInArrow(tag, "dg binary, rep long, n long, owner long")
+    tagged = classes.mapInArrow(lean(tag), "dg binary, rep long, n long, owner long")
     need = materialize(tagged.join(own, "owner", "left").where(F.coalesce("own", F.lit(0)) <= spare).select("rep", "dg"))
     few = need.count() <= broadcast_rows
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(need) if few else need, "rep")
@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
             found = [(r, len(s), s.tobytes()) for r, d, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), sets_of(b.column(1), k)) if _digest(s) == d]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["rep", "n", "shingles"])
 
-    sets = materialize(texts.select("rep", "text", "dg").mapInArrow(fetch, "rep long, n long, shingles binary"))
+    sets = materialize(texts.select("rep", "text", "dg").mapInArrow(lean(fetch), "rep long, n long, shingles binary"))
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,10 +285,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(c.column(0).to_numpy(), n)), pa.array(np.repeat(n, n))], ["token", "rep", "n"])
 
     shared = (
-        sets.mapInArrow(flat, "token long, rep long, n long")
+        sets.mapInArrow(lean(flat), "token long, rep long, n long")
         .repartition("token")
         .sortWithinPartitions("token")
-        .mapInArrow(_frequent, "rep long, n long, token long, df long, least long")
+        .mapInArrow(lean(_frequent), "rep long, n long, token long, df long, least long")
     )
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
             pairs = np.unique(np.stack([rep[keep], least[keep]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
-    candidates = shared.repartition("rep").sortWithinPartitions("rep", "df", "token").mapInArrow(leading, "u long, v long")
+    candidates = shared.repartition("rep").sortWithinPartitions("rep", "df", "token").mapInArrow(lean(leading), "u long, v long")
     groups = materialize(connected_components(materialize(candidates.distinct())))
     grouped = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
     sizes = groups.join(sets.select("rep", "n"), F.col("rep") == F.col("node")).groupBy("component").agg(
@@ -331,6 +331,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
         found = join_sets(_views(t.column("shingles")), similar) if len(rep) > 1 else np.zeros(1, np.int64)
         peer = rep[found]
         keep = rep != peer
+        give_back()
         return pa.table({"u": rep[keep], "v": peer[keep]})
 
     links = materialize(dealt.groupBy("component", "bi", "bj").applyInArrow(within, "u long, v long"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textkit import LOWER, SPACE, text_chunks
+from loomgraph.llm.textkit import LOWER, SPACE, lean, text_chunks
 
 #: The classifier is fitted on at most so many labelled rows, taken by a hash of the id.
 FIT_ROWS = 20_000
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     model = Model()
     if not n1 or not n0:
         return model
-    seen = rows.where("not judge").select("text", "toxic").mapInArrow(_count, "part long, y long, n long")
+    seen = rows.where("not judge").select("text", "toxic").mapInArrow(lean(_count), "part long, y long, n long")
     per = seen.groupBy("part").agg(F.sum(F.col("n") * F.col("y")).alias("c1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("c0"))
     prior = (F.col("c1") + F.col("c0")) * F.lit(PRIOR / (n1 + n0))
     odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + PRIOR + 0.5) - F.col(c) - prior))  # a part may be in every document
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                     ["y", "words", "hits", "weight", "scores"],
                 )
 
-    judged = rows.where("judge").select("text", "toxic").mapInArrow(look, "y long, words long, hits long, weight double, scores array<double>").collect()
+    judged = rows.where("judge").select("text", "toxic").mapInArrow(lean(look), "y long, words long, hits long, weight double, scores array<double>").collect()
     calibrate(model, judged)
     return model
 
@@ -262,7 +262,7 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = False) -> Da
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     more = ", passages array<struct<first:long,last:long,surprise:double>>" if passages else ""
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {ids}, score double, predicted int{more}")
+    return docs.select("doc_id", "text").mapInArrow(lean(score), f"doc_id {ids}, score double, predicted int{more}")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         text = names.index("text")
-        for b in batches:
+        for b in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             ok = np.zeros(b.num_rows, dtype=bool)
             for at, buf, offs in text_chunks(b.column(text)):
                 row, place, w, counts = model.hits(buf, offs, table)
@@ -283,7 +283,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     ok[at + r] = s < LIMIT
             yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
