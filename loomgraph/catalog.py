@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators import graph, rank, split
-from loomgraph.plans import sql
+from loomgraph.plans import features, ranking, sql
+from loomgraph.plans.ranking import plain_ranks as _rank_sql
 from loomgraph.sources.tables import KG, register, triples
 from loomgraph.streaming import windows
 
 WITH_KG = f"WITH RECURSIVE kg AS ({KG}) "
 
 
-def _plan(name: str):
+def _plan(text_: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
-        return spark.sql(sql.spark_text(name))
+        return spark.sql(text_)
 
     return run
 
@@ -28,8 +29,11 @@ def _duck(text_: str) -> str:
     return WITH_KG.rstrip() + ", " + t[len("WITH "):] if t.startswith("WITH ") else WITH_KG + t
 
 
-QUERIES = {name: _plan(name) for name in sql.PLANS}
+QUERIES = {name: _plan(sql.spark_text(name)) for name in sql.PLANS}
 ORACLES = {name: _duck(sql.duck_text(name)) for name in sql.PLANS}
+for _name, _text in (ranking.PLANS | features.PLANS).items():
+    _here, _there = (_text, _text) if isinstance(_text, str) else _text
+    QUERIES[_name], ORACLES[_name] = _plan(sql.dialect(_here, False)), _duck(sql.dialect(_there, True))
 PARTS = "WITH parts AS (" + sql.SPLIT + ")"
 
 
@@ -47,15 +51,6 @@ def _parts(spark, sf):
     return split.stratified(triples(spark, sf, "RETURNED").select("head", "tail"))
 
 
-def _rank_sql(anchor: str, target: str) -> str:
-    # the plain definition: every candidate of the pool that is no other positive of the anchor
-    return PARTS + f""", s AS (SELECT x.{target} AS c, count(p.{target}) AS score FROM (SELECT DISTINCT {target} FROM parts) x LEFT JOIN parts p ON p.{target} = x.{target} AND p.part = 'train' GROUP BY x.{target}),
-t AS (SELECT p.head, p.tail, s.score FROM parts p JOIN s ON p.{target} = s.c WHERE p.part = 'test'),
-r AS (SELECT t.head, t.tail, count(*) FILTER (WHERE s.score > t.score) AS greater, count(*) FILTER (WHERE s.score = t.score) AS ties
-FROM t CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM parts k WHERE k.{anchor} = t.{anchor} AND k.{target} = s.c) GROUP BY t.head, t.tail)
-SELECT t.head, t.tail, coalesce(greater, 0) AS greater, coalesce(ties, 0) AS ties, coalesce(greater, 0) + coalesce(ties, 0) + 1 AS rank, coalesce(greater, 0) + coalesce(ties, 0) / 2.0 + 1 AS expected FROM t LEFT JOIN r ON t.head = r.head AND t.tail = r.tail"""
-
-
 @add("rank_popularity_tail", _rank_sql("head", "tail"))
 def _(spark, sf):
     return rank.popularity_ranks(_parts(spark, sf), "head", "tail")
@@ -158,3 +153,22 @@ def _labelled(spark, sf):
     parts = _parts(spark, sf)
     d = parts.where("part = 'train'").groupBy("tail").agg(F.count("*").alias("score"))
     return parts.where("part <> 'train'").join(d, "tail", "left").fillna(0, "score").select("score", (F.col("part") == "test").cast("int").alias("y"))
+
+
+@add("rank_dump", f"WITH a AS ({_rank_sql('head', 'tail')}), b AS ({_rank_sql('tail', 'head')}) SELECT a.head, a.tail, a.rank AS rank_tail, b.rank AS rank_head, round((1.0::DOUBLE / a.rank + 1.0::DOUBLE / b.rank) / 2, 6) AS rr_mean FROM a JOIN b ON a.head = b.head AND a.tail = b.tail")
+def _(spark, sf):
+    parts = _parts(spark, sf)
+    by_tail = rank.popularity_ranks(parts).select("head", "tail", F.col("rank").alias("rank_tail"))
+    by_head = rank.popularity_ranks(parts, "tail", "head").select("head", "tail", F.col("rank").alias("rank_head"))
+    return by_tail.join(by_head, ["head", "tail"]).withColumn("rr_mean", F.round((1 / F.col("rank_tail") + 1 / F.col("rank_head")) / 2, 6))
+
+
+@add("rank_unfiltered", _rank_sql("head", "tail", filtered=False))
+def _(spark, sf):
+    return rank.popularity_ranks(_parts(spark, sf), filtered=False)
+
+
+@add("component_histogram", "WITH c AS (SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT head AS u, tail AS v FROM kg WHERE interaction = 'NATION_REGION' UNION SELECT tail, head FROM kg WHERE interaction = 'NATION_REGION'), w(node, reach) AS (SELECT u, u FROM e UNION SELECT w.node, e.v FROM w JOIN e ON w.reach = e.u) SELECT node, reach FROM w) x GROUP BY node) SELECT size, count(*) AS components, size = max(size) OVER () AS largest FROM (SELECT count(*) AS size FROM c GROUP BY component) y GROUP BY size")
+def _(spark, sf):
+    sizes = graph.components(triples(spark, sf, "NATION_REGION")).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("components")).withColumn("largest", F.col("size") == F.max("size").over(Window.partitionBy()))

@@ -115,9 +115,23 @@ def _doubles(text: str) -> str:
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"CAST(\1 AS DOUBLE)", text)
 
 
+SERIES = "(SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14 UNION ALL SELECT 15 UNION ALL SELECT 16 UNION ALL SELECT 17 UNION ALL SELECT 18 UNION ALL SELECT 19 UNION ALL SELECT 20)"
+#: What the two dialects call the same function.
+WORDS = ({"{bround}": "bround", "{MATCH}": "regexp", "{SERIES}": SERIES}, {"{bround}": "round_even", "{MATCH}": "regexp_matches", "{SERIES}": SERIES})
+#: A number below 2**32 from the first digits of a digest: DRAW[text].
+DRAWS = (r"CAST(conv(substr(md5(\1), 1, 8), 16, 10) AS BIGINT)", r"CAST('0x' || substr(md5(\1), 1, 8) AS BIGINT)")
+
+
+def dialect(text: str, check: bool) -> str:
+    """The text for Spark, or for the check in DuckDB."""
+    for old, new in WORDS[check].items():
+        text = text.replace(old, new)
+    return re.sub(r"DRAW\[(.*?)\]", DRAWS[check], _doubles(text))
+
+
 def spark_text(name: str) -> str:
-    return _doubles(SPARK.get(name, PLANS[name])).replace("{bround}", "bround")
+    return dialect(SPARK.get(name, PLANS[name]), False)
 
 
 def duck_text(name: str) -> str:
-    return _doubles(DUCK.get(name, PLANS[name])).replace("{bround}", "round_even")
+    return dialect(DUCK.get(name, PLANS[name]), True)
