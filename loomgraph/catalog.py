@@ -94,19 +94,19 @@ def _(spark, sf):
     return graph.components(triples(spark, sf, "NATION_REGION", "SUPPLIER_NATION"))
 
 
-@add("bfs_distance", f"WITH e AS ({sql.BOTH}), s AS ({sql.SOME}), d1 AS (SELECT DISTINCT node AS a, v AS b FROM s JOIN e ON e.u = s.node), d2 AS (SELECT DISTINCT a, v AS b FROM d1 JOIN e ON e.u = d1.b) SELECT source, node, min(dist) AS dist FROM (SELECT node AS source, node, 0 AS dist FROM s UNION ALL SELECT a, b, 1 FROM d1 UNION ALL SELECT a, b, 2 FROM d2) x GROUP BY source, node")
+@add("bfs_distance", f"WITH e AS ({sql.BOTH}), s AS ({sql.ANCHORS}), d1 AS (SELECT DISTINCT node AS a, v AS b FROM s JOIN e ON e.u = s.node), d2 AS (SELECT DISTINCT a, v AS b FROM d1 JOIN e ON e.u = d1.b) SELECT source, node, min(dist) AS dist FROM (SELECT node AS source, node, 0 AS dist FROM s UNION ALL SELECT a, b, 1 FROM d1 UNION ALL SELECT a, b, 2 FROM d2) x GROUP BY source, node")
 def _(spark, sf):
     edges = triples(spark, sf, "CO_ORDER")
-    return graph.bfs(edges, spark.sql(sql.SOME), 2)
+    return graph.bfs(edges, spark.sql(sql.ANCHORS), 2)
 
 
 _step = lambda i: f"m{i} AS (SELECT source, node, sum(m) AS m FROM (SELECT source, e.v AS node, 0.85 * m / d.n AS m FROM m{i - 1} JOIN e ON e.u = node JOIN d ON d.u = e.u UNION ALL SELECT node, node, 0.15 FROM s) x GROUP BY source, node)"
 
 
-@add("ppr_3", f"WITH e AS ({sql.BOTH}), d AS (SELECT u, count(*) AS n FROM e GROUP BY u), s AS ({sql.SOME}), m0 AS (SELECT node AS source, node, 1.0::DOUBLE AS m FROM s), {_step(1)}, {_step(2)}, {_step(3)} SELECT source, node, round(m, 6) AS mass FROM m3")
+@add("ppr_3", f"WITH e AS ({sql.BOTH}), d AS (SELECT u, count(*) AS n FROM e GROUP BY u), s AS ({sql.ANCHORS}), m0 AS (SELECT node AS source, node, 1.0::DOUBLE AS m FROM s), {_step(1)}, {_step(2)}, {_step(3)} SELECT source, node, round(m, 6) AS mass FROM m3")
 def _(spark, sf):
     edges = triples(spark, sf, "CO_ORDER")
-    return graph.page_rank(edges, spark.sql(sql.SOME), rounds=3).withColumn("mass", F.round("mass", 6))
+    return graph.page_rank(edges, spark.sql(sql.ANCHORS), rounds=3).withColumn("mass", F.round("mass", 6))
 
 
 @add("norm_name_parts", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (2+)')), '\s*\(\d*[+-]\)$', ''), '^\((?:r|s|e|z|\+|-)\)-', ''), '[^a-z0-9 ]', '', 'g')) AS name FROM part")
@@ -121,11 +121,11 @@ def _(spark, sf):
     return spark.table("part").select("p_partkey", text.family_key(F.concat("p_name", F.lit(" type-"), "p_type")).alias("family"))
 
 
-@add("distmult_scores", "SELECT a.vec_id AS h, b.vec_id AS t, round(list_sum(list_transform(list_zip(a.embedding, r.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE * z[3]::DOUBLE)), 4) + 0.0 AS score FROM embeddings a JOIN embeddings r ON r.vec_id = 3 JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % 500 WHERE a.vec_id < 500")
+@add("distmult_scores", "SELECT a.vec_id AS h, b.vec_id AS t, round(list_sum(list_transform(list_zip(a.embedding, r.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE * z[3]::DOUBLE)), 4) + 0.0 AS score FROM embeddings a JOIN embeddings r ON r.vec_id = 3 JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)")
 def _(spark, sf):
     register(spark, sf)
     e = spark.table("embeddings")
-    a = e.where("vec_id < 500").select(F.col("vec_id").alias("h"), F.col("embedding").alias("x"), ((F.col("vec_id") * 7 + 1) % 500).alias("t"))
+    a = e.crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).select(F.col("vec_id").alias("h"), F.col("embedding").alias("x"), ((F.col("vec_id") * 7 + 1) % F.col("n")).alias("t"))
     r = e.where("vec_id = 3").select(F.col("embedding").alias("r"))
     b = e.select(F.col("vec_id").alias("t"), F.col("embedding").alias("y"))
     both = a.join(b, "t").join(F.broadcast(r))  # one row

@@ -8,7 +8,7 @@ TYPE = "CASE WHEN instr({0}, '::') > 0 THEN substr({0}, 1, instr({0}, '::') - 1)
 HT, TT = TYPE.format("head"), TYPE.format("tail")
 POOLED = "SELECT head AS node FROM kg UNION SELECT tail FROM kg"
 BOTH = "SELECT head AS u, tail AS v FROM kg WHERE interaction = 'CO_ORDER' UNION SELECT tail, head FROM kg WHERE interaction = 'CO_ORDER'"
-SOME = "SELECT 'Part::' || p_partkey AS node FROM part WHERE p_partkey % 97 = 3"
+ANCHORS = "SELECT 'Part::' || p_partkey AS node FROM part"
 SPLIT = """
   SELECT head, tail, CASE WHEN i <= n_test THEN 'test'
     WHEN i <= n_test + CASE WHEN n <= 2 OR n - n_test <= 1 THEN 0 ELSE greatest(1, CAST({bround}((n - n_test) * 0.15, 0) AS INT)) END THEN 'val' ELSE 'train' END AS part
@@ -77,11 +77,11 @@ SELECT kind, count(*) AS n, sum(h * 3 + r * 5 + t * 7) AS digest FROM (
     # AGG-10: clean context degree beside the published formula
     "degree_target_context": "WITH parts AS (" + SPLIT + ") SELECT x.node, sum(x.ctx) AS ctx_deg, sum(x.tgt) AS target_deg, 2 * sum(x.ctx) + sum(x.tgt) AS ctx_deg_compat FROM (SELECT head AS node, 1 AS ctx, 0 AS tgt FROM kg WHERE interaction <> 'RETURNED' UNION ALL SELECT tail, 1, 0 FROM kg WHERE interaction <> 'RETURNED' UNION ALL SELECT head, 0, 1 FROM parts WHERE part = 'train' UNION ALL SELECT tail, 0, 1 FROM parts WHERE part = 'train') x GROUP BY x.node",
     # GRA-07, GRA-03
-    "cn_aa_ra": f"WITH e AS ({BOTH}), d AS (SELECT u AS k, count(*) AS n FROM e GROUP BY u), s AS ({SOME}) SELECT a.u AS a, b.v AS b, count(*) AS cn, round(sum(1 / ln(d.n + 0.000001)), 6) AS aa, round(sum(1.0 / d.n), 6) AS ra FROM e a JOIN s ON a.u = s.node JOIN e b ON a.v = b.u JOIN d ON d.k = a.v WHERE a.u <> b.v AND d.n > 1 GROUP BY a.u, b.v",
+    "cn_aa_ra": f"WITH e AS ({BOTH}), d AS (SELECT u AS k, count(*) AS n FROM e GROUP BY u), s AS ({ANCHORS}) SELECT a.u AS a, b.v AS b, count(*) AS cn, round(sum(1 / ln(d.n + 0.000001)), 6) AS aa, round(sum(1.0 / d.n), 6) AS ra FROM e a JOIN s ON a.u = s.node JOIN e b ON a.v = b.u JOIN d ON d.k = a.v WHERE a.u <> b.v AND d.n > 1 GROUP BY a.u, b.v",
     # GRA-08
-    "katz3": f"WITH e AS ({BOTH}), s AS ({SOME}), p1 AS (SELECT u AS a, v AS b, 1 AS w FROM e JOIN s ON e.u = s.node), p2 AS (SELECT a, v AS b, sum(w) AS w FROM p1 JOIN e ON p1.b = e.u GROUP BY a, v), p3 AS (SELECT a, v AS b, sum(w) AS w FROM p2 JOIN e ON p2.b = e.u GROUP BY a, v) SELECT a, b, round(sum(x), 6) AS katz FROM (SELECT a, b, 0.05 * w AS x FROM p1 UNION ALL SELECT a, b, 0.0025 * w FROM p2 UNION ALL SELECT a, b, 0.000125 * w FROM p3) z GROUP BY a, b",
+    "katz3": f"WITH e AS ({BOTH}), s AS ({ANCHORS}), p1 AS (SELECT u AS a, v AS b, 1 AS w FROM e JOIN s ON e.u = s.node), p2 AS (SELECT a, v AS b, sum(w) AS w FROM p1 JOIN e ON p1.b = e.u GROUP BY a, v), p3 AS (SELECT a, v AS b, sum(w) AS w FROM p2 JOIN e ON p2.b = e.u GROUP BY a, v) SELECT a, b, round(sum(x), 6) AS katz FROM (SELECT a, b, 0.05 * w AS x FROM p1 UNION ALL SELECT a, b, 0.0025 * w FROM p2 UNION ALL SELECT a, b, 0.000125 * w FROM p3) z GROUP BY a, b",
     # GRA-12
-    "cf_cosine": f"WITH r AS (SELECT head, tail FROM kg WHERE interaction = 'RETURNED'), n AS (SELECT tail, count(*) AS n FROM r GROUP BY tail), s AS ({SOME}) SELECT a.tail AS a, b.tail AS b, round(count(*) / sqrt(max(x.n) * max(y.n) * 1.0), 6) AS sim FROM r a JOIN s ON a.tail = s.node JOIN r b ON a.head = b.head JOIN n x ON x.tail = a.tail JOIN n y ON y.tail = b.tail WHERE a.tail <> b.tail GROUP BY a.tail, b.tail",
+    "cf_cosine": f"WITH r AS (SELECT head, tail FROM kg WHERE interaction = 'RETURNED'), n AS (SELECT tail, count(*) AS n FROM r GROUP BY tail), s AS ({ANCHORS}) SELECT a.tail AS a, b.tail AS b, round(count(*) / sqrt(max(x.n) * max(y.n) * 1.0), 6) AS sim FROM r a JOIN s ON a.tail = s.node JOIN r b ON a.head = b.head JOIN n x ON x.tail = a.tail JOIN n y ON y.tail = b.tail WHERE a.tail <> b.tail GROUP BY a.tail, b.tail",
     # GRA-14, GRA-15, JON-17, ORD-09: cheapest chain over hubs
     "metapath_best": "WITH d AS (SELECT node, count(*) AS n FROM (SELECT head AS node FROM kg UNION ALL SELECT tail FROM kg) a GROUP BY node), p AS (SELECT a.head AS c, a.tail AS m, b.tail AS s, n.tail AS nation, round(log10(x.n + 1) + log10(y.n + 1), 6) AS cost FROM kg a JOIN kg b ON a.tail = b.head AND b.interaction = 'PART_SUPPLIER' JOIN kg n ON b.tail = n.head AND n.interaction = 'SUPPLIER_NATION' JOIN d x ON x.node = a.tail JOIN d y ON y.node = b.tail WHERE a.interaction = 'RETURNED') SELECT c, nation, chain, cost FROM (SELECT c, nation, cost, c || ' -> ' || m || ' -> ' || s || ' -> ' || nation AS chain, row_number() OVER (PARTITION BY c, nation ORDER BY cost, m, s) AS r FROM p) q WHERE r = 1",
     # GRA-16 .. GRA-18, JON-18: evidence of a candidate against what is known, itself excluded
@@ -95,7 +95,7 @@ SELECT kind, count(*) AS n, sum(h * 3 + r * 5 + t * 7) AS digest FROM (
     # STA-02, JON-20, FLT-13
     "paired_moments": "SELECT count(*) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM (SELECT a.v - b.v AS d FROM (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'click' GROUP BY user_id) a JOIN (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'view' GROUP BY user_id) b ON a.user_id = b.user_id) x",
     # STA-04
-    "holm_adjust": "SELECT k, round(least(1.0, max(raw) OVER (ORDER BY p, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS p_holm FROM (SELECT k, p, (count(*) OVER () - row_number() OVER (ORDER BY p, k) + 1) * p AS raw FROM (SELECT c_custkey AS k, (c_custkey * 37 % 101 + 1) / 5000.0 AS p FROM customer WHERE c_custkey < 40) a) b",
+    "holm_adjust": "SELECT k, round(least(1.0, max(raw) OVER (ORDER BY p, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS p_holm FROM (SELECT k, p, (count(*) OVER () - row_number() OVER (ORDER BY p, k) + 1) * p AS raw FROM (SELECT c_custkey AS k, (c_custkey * 37 % 101 + 1) / 5000.0 AS p FROM customer) a) b",
     # AGG-15, AGG-16, AGG-17
     "macro_micro": "SELECT round(avg(m), 6) AS macro, round(sum(s) / sum(c), 6) AS micro FROM (SELECT avg(value) AS m, sum(value) AS s, count(*) AS c FROM events GROUP BY user_id) x",
     # ORD-10: best so far before each row
