@@ -14,7 +14,14 @@ def on_cells(query: str) -> tuple[str, str]:
     return query.replace("CELLS", CELLS[0]), query.replace("CELLS", CELLS[1])
 
 
-EDGES = "edges AS (SELECT DISTINCT (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS u, vec_id AS v, vec_id % 3 AS rel FROM embeddings WHERE vec_id < 400)"
+#: An edge into every vector; the twin's text is as given and still lists the first 400.
+EDGES = ("edges AS (SELECT DISTINCT (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS u, vec_id AS v, vec_id % 3 AS rel FROM embeddings)",
+         "edges AS (SELECT DISTINCT (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS u, vec_id AS v, vec_id % 3 AS rel FROM embeddings WHERE vec_id < 400)")
+
+
+def on_edges(query: str) -> tuple[str, str]:
+    return on_cells(query.replace("EDGES", EDGES[0]))[0], on_cells(query.replace("EDGES", EDGES[1]))[1]
+
 
 PLANS: dict[str, str | tuple[str, str]] = {
     # JON-04: one partner for each normalised name, the least key
@@ -40,13 +47,13 @@ PLANS: dict[str, str | tuple[str, str]] = {
     # GRA-12, GRA-13: cosine votes at several exponents, as a grid for validation
     "cf_votes_grid": P + f", n AS (SELECT tail, count(*) AS n FROM parts WHERE part = 'train' GROUP BY tail), co AS (SELECT a.tail AS a, b.tail AS b, count(*) AS c FROM parts a JOIN parts b ON a.head = b.head AND b.part = 'train' WHERE a.part = 'train' AND a.tail <> b.tail GROUP BY a.tail, b.tail) SELECT co.a, g.g AS exponent, round(sum(co.c / power(x.n * y.n * 1.0, g.g)), 6) AS mass FROM co JOIN n x ON x.tail = co.a JOIN n y ON y.tail = co.b CROSS JOIN (SELECT 0.25 AS g UNION ALL SELECT 0.5 UNION ALL SELECT 1.0) g GROUP BY co.a, g.g",
     # GRA-22: squared differences along edges, each end divided by the root of its degree
-    "dirichlet_energy": on_cells(f"WITH {EDGES}, deg AS (SELECT n, count(*) AS d FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges) a GROUP BY n) SELECT e.rel, round(sum(power(a.x / sqrt(p.d * 1.0) - b.x / sqrt(q.d * 1.0), 2)), 4) AS energy FROM edges e JOIN CELLS a ON a.vec_id = e.u JOIN CELLS b ON b.vec_id = e.v AND a.i = b.i JOIN deg p ON p.n = e.u JOIN deg q ON q.n = e.v GROUP BY e.rel"),
+    "dirichlet_energy": on_edges("WITH EDGES, deg AS (SELECT n, count(*) AS d FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges) a GROUP BY n) SELECT e.rel, round(sum(power(a.x / sqrt(p.d * 1.0) - b.x / sqrt(q.d * 1.0), 2)), 4) AS energy FROM edges e JOIN CELLS a ON a.vec_id = e.u JOIN CELLS b ON b.vec_id = e.v AND a.i = b.i JOIN deg p ON p.n = e.u JOIN deg q ON q.n = e.v GROUP BY e.rel"),
     # GRA-23: mean cosine to relatives less mean cosine to drawn vectors
     "relative_contrast": on_cells("WITH c AS (SELECT * FROM CELLS z), nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM c GROUP BY vec_id), pairs AS (SELECT vec_id AS u, 1 AS near, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS v FROM nrm UNION ALL SELECT vec_id, 0, DRAW[CAST(vec_id AS STRING) || '|' || k.k] % (SELECT count(*) FROM embeddings) FROM nrm CROSS JOIN {SERIES} k), s AS (SELECT p.u, p.v, p.near, sum(a.x * b.x) / (max(m.l) * max(o.l)) AS cs FROM pairs p JOIN c a ON a.vec_id = p.u JOIN c b ON b.vec_id = p.v AND a.i = b.i JOIN nrm m ON m.vec_id = p.u JOIN nrm o ON o.vec_id = p.v WHERE p.u <> p.v GROUP BY p.u, p.v, p.near) SELECT round(avg(CASE WHEN near = 1 THEN cs END) - avg(CASE WHEN near = 0 THEN cs END), 4) + 0.0 AS contrast FROM s"),
     # LRN-04: mean of neighbours by relation, through weights of two bases; no root weight
-    "rgcn_step": on_cells(f"WITH {EDGES}, basis AS (SELECT b.b, i.i, o.i AS o, sin(b.b * 3.0 + i.i * 0.7 + o.i * 1.3) AS w FROM (SELECT 0 AS b UNION ALL SELECT 1) b CROSS JOIN (SELECT DISTINCT i FROM CELLS z) i CROSS JOIN (SELECT DISTINCT i FROM CELLS z) o), m AS (SELECT e.v, e.rel, c.i, avg(c.x) AS x FROM edges e JOIN CELLS c ON c.vec_id = e.u GROUP BY e.v, e.rel, c.i) SELECT m.v AS node, s.o, round(sum(m.x * s.w * cos(m.rel * 2.0 + s.b)), 4) + 0.0 AS y FROM m JOIN basis s ON s.i = m.i GROUP BY m.v, s.o"),
+    "rgcn_step": on_edges("WITH EDGES, basis AS (SELECT b.b, i.i, o.i AS o, sin(b.b * 3.0 + i.i * 0.7 + o.i * 1.3) AS w FROM (SELECT 0 AS b UNION ALL SELECT 1) b CROSS JOIN (SELECT DISTINCT i FROM CELLS z) i CROSS JOIN (SELECT DISTINCT i FROM CELLS z) o), m AS (SELECT e.v, e.rel, c.i, avg(c.x) AS x FROM edges e JOIN CELLS c ON c.vec_id = e.u GROUP BY e.v, e.rel, c.i) SELECT m.v AS node, s.o, round(sum(m.x * s.w * cos(m.rel * 2.0 + s.b)), 4) + 0.0 AS y FROM m JOIN basis s ON s.i = m.i GROUP BY m.v, s.o"),
     # LRN-06: product with the relation's vector, symmetric degree norm, mean of in, out and own direction
-    "compgcn_step": on_cells(f"WITH {EDGES}, deg AS (SELECT n, count(*) AS d FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges) a GROUP BY n), c AS (SELECT * FROM CELLS z), both_ways AS (SELECT u, v, rel FROM edges UNION ALL SELECT v, u, rel + 3 FROM edges), msg AS (SELECT e.v AS node, c.i, c.x * cos(e.rel * 1.0 + c.i) / sqrt(p.d * q.d * 1.0) AS x FROM both_ways e JOIN c ON c.vec_id = e.u JOIN deg p ON p.n = e.u JOIN deg q ON q.n = e.v UNION ALL SELECT vec_id, i, x * cos(6.0 + i) FROM c) SELECT node, i, round(sum(x) / 3.0, 4) + 0.0 AS y FROM msg GROUP BY node, i"),
+    "compgcn_step": on_edges("WITH EDGES, deg AS (SELECT n, count(*) AS d FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges) a GROUP BY n), c AS (SELECT * FROM CELLS z), both_ways AS (SELECT u, v, rel FROM edges UNION ALL SELECT v, u, rel + 3 FROM edges), msg AS (SELECT e.v AS node, c.i, c.x * cos(e.rel * 1.0 + c.i) / sqrt(p.d * q.d * 1.0) AS x FROM both_ways e JOIN c ON c.vec_id = e.u JOIN deg p ON p.n = e.u JOIN deg q ON q.n = e.v UNION ALL SELECT vec_id, i, x * cos(6.0 + i) FROM c) SELECT node, i, round(sum(x) / 3.0, 4) + 0.0 AS y FROM msg GROUP BY node, i"),
     # LRN-02: real part of the complex product, the halves of each vector being its real and imaginary parts
     "complex_scores": on_cells("WITH c AS (SELECT vec_id, i % 32 AS k, sum(CASE WHEN i < 32 THEN x ELSE 0.0 END) AS re, sum(CASE WHEN i >= 32 THEN x ELSE 0.0 END) AS im FROM CELLS z GROUP BY vec_id, i % 32) SELECT h.vec_id AS h, t.vec_id AS t, round(sum(h.re * r.re * t.re + h.im * r.re * t.im + h.re * r.im * t.im - h.im * r.im * t.re), 4) + 0.0 AS score FROM c h JOIN c r ON r.vec_id = 3 AND r.k = h.k JOIN c t ON t.vec_id = (h.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AND t.k = h.k GROUP BY h.vec_id, t.vec_id"),
     # FUN-16: circular correlation of paired vectors
