@@ -4,13 +4,15 @@ Windows of a document as long as a benchmark item get a SimHash of their
 weighted five-word shingles. Fingerprints are cut into one block more than the
 radius, so two within the radius agree on a block: a join on (length, block,
 value) finds all of them, and the exact weighted similarity of the shingle sets
-verifies them. Only windows that hold a shingle of some item can be similar to
-one; a join of the shingles finds where those begin.
+verifies them. A window can only be as similar to an item as the weight of the
+item's shingles that it holds allows. A join of the shingles gives where those
+are, and a sweep over the starts adds up what each window holds, so every window
+that can reach the limit gets a fingerprint, whatever the order of its passages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import WORD, materialize
@@ -55,6 +57,39 @@ def blocks(fp: Column, radius: int) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), p.alias("value")) for i, p in enumerate(parts)]))
 
 
+def starts(hits: DataFrame, known: DataFrame, n_items: int, k: int, similar: float) -> DataFrame:
+    """(row_key, start, n_words) of each window that holds ``similar`` of some item's weight.
+
+    ``hits`` are the places of an item's shingles in a document: (row_key, n, pos,
+    item_id, n_words, shingle, weight). A window counts a shingle once, at its first
+    place; so a place counts for the starts after the one before it, and the sums
+    change only where such a stretch begins or ends.
+    """
+    one = ["row_key", "item_id", "n_words"]
+    hits = hits.select(*one, "n", "pos", "shingle", "weight").distinct().repartition("row_key", "item_id")
+    before = F.lag("pos").over(Window.partitionBy(*one, "shingle").orderBy("pos"))
+    span = F.greatest(F.lit(1), F.col("n_words") - (k - 1))
+    first = F.greatest(F.lit(0), F.col("pos") - span + 1, F.coalesce(before + 1, F.lit(0)))
+    last = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("n_words")))
+    change = lambda at, by: F.struct(at.alias("start"), by.alias("by"))
+    order = Window.partitionBy(*one).orderBy("start")
+    sums = (
+        hits.select(*one, "weight", first.alias("first"), last.alias("last"))
+        .where("first <= last")
+        .select(*one, F.explode(F.array(change(F.col("first"), F.col("weight")), change(F.col("last") + 1, -F.col("weight")))).alias("x"))
+        .groupBy(*one, "x.start")
+        .agg(F.sum("x.by").alias("by"))
+        .withColumn("held", F.sum("by").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("next", F.lead("start").over(order))
+    )
+    return (
+        sums.join(small(known.select("item_id", F.col("total").alias("item_total")), n_items), "item_id")
+        .where(F.col("next").isNotNull() & (F.col("held") >= similar * F.col("item_total") - 1e-6))  # sums of doubles
+        .select("row_key", "n_words", F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
+        .distinct()
+    )
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """(row_key, doc_id, item_id, start, n_words, hamming, similarity): the best window of each document and item it leaks.
 
@@ -90,23 +125,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
                 F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, m))))
             ).alias("pos", "shingle"))
         )
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.col("n") - F.col("n_words")))
-    begun = at.join(small(items, n_rows), "shingle").select("row_key", "doc_id", start.alias("start"), "n_words").distinct()
-    begun = materialize(begun)
-    n_begun = begun.count()
-    again = docs.select(key.alias("row_key"), words_of(F.col("text")).alias("w"))
+    known = materialize(fingerprint(sets, ["item_id", "n_words"]))
+    begun = materialize(starts(at.join(small(sets, n_rows), "shingle"), known, n_rows, k, similar))
+    held = materialize(begun.select("row_key").distinct())
+    n_held = held.count()
+    again = docs.select(key.alias("row_key"), "doc_id", "text").join(small(held, n_held), "row_key", "left_semi").dropDuplicates(["row_key"])
     window = (
-        again.join(small(begun, n_begun), "row_key")
+        again.select("row_key", "doc_id", words_of(F.col("text")).alias("w"))
+        .join(begun, "row_key")
         .select("row_key", "doc_id", "start", "n_words", F.slice("w", F.col("start") + 1, F.col("n_words")).alias("v"))
         .select("row_key", "doc_id", "start", "n_words", F.explode(F.array_distinct(shingles_of(F.col("v"), k))).alias("shingle"))
-        .distinct()
         .join(small(weights, n_rows), "shingle", "left")
         .withColumn("weight", F.coalesce("weight", F.log(1 + alone)))
     )
     window = materialize(window)
     place = ["row_key", "start", "n_words"]
     seen = fingerprint(window, place)
-    known = fingerprint(sets, ["item_id", "n_words"])
     cut = lambda df: df.withColumn("x", blocks(F.col("fp"), radius)).select("*", "x.block", "x.value").drop("x")
     pairs = (
         cut(seen)
