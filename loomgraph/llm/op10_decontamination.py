@@ -61,12 +61,12 @@ def starts(hits: DataFrame, known: DataFrame, n_items: int, k: int, similar: flo
     """(row_key, start, n_words) of each window that holds ``similar`` of some item's weight.
 
     ``hits`` are the places of an item's shingles in a document: (row_key, n, pos,
-    item_id, n_words, shingle, weight). A window counts a shingle once, at its first
+    item_key, n_words, shingle, weight). A window counts a shingle once, at its first
     place; so a place counts for the starts after the one before it, and the sums
     change only where such a stretch begins or ends.
     """
-    one = ["row_key", "item_id", "n_words"]
-    hits = hits.select(*one, "n", "pos", "shingle", "weight").distinct().repartition("row_key", "item_id")
+    one = ["row_key", "item_key", "n_words"]
+    hits = hits.select(*one, "n", "pos", "shingle", "weight").distinct().repartition("row_key", "item_key")
     before = F.lag("pos").over(Window.partitionBy(*one, "shingle").orderBy("pos"))
     span = F.greatest(F.lit(1), F.col("n_words") - (k - 1))
     first = F.greatest(F.lit(0), F.col("pos") - span + 1, F.coalesce(before + 1, F.lit(0)))
@@ -83,7 +83,7 @@ def starts(hits: DataFrame, known: DataFrame, n_items: int, k: int, similar: flo
         .withColumn("next", F.lead("start").over(order))
     )
     return (
-        sums.join(small(known.select("item_id", F.col("total").alias("item_total")), n_items), "item_id")
+        sums.join(small(known.select("item_key", F.col("total").alias("item_total")), n_items), "item_key")
         .where(F.col("next").isNotNull() & (F.col("held") >= similar * F.col("item_total") - 1e-6))  # sums of doubles
         .select("row_key", "n_words", F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
         .distinct()
@@ -97,23 +97,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
     apart. A shingle weighs ln(1 + items / items that hold it), one that no item
     holds as if one did. An item or document of fewer than ``k`` words is one
     shingle, of all its words; without words it matches nothing. Windows are cut
-    off at the document's end. Null texts are empty; null ids match like others;
-    repeated items and rows are kept apart by id only; other columns are not read.
+    off at the document's end. Null texts are empty; null ids match like others.
+    An item is an id, null or not, and its words: texts of one id are searched
+    and given each by itself, rows of the same id and words count once; other
+    columns are not read.
     """
     items = (
-        benchmark.select("item_id", "text")
-        .where("item_id is not null")
-        .select("item_id", words_of(F.col("text")).alias("iw"))
+        benchmark.select("item_id", words_of(F.col("text")).alias("iw"))
         .where(F.size("iw") > 0)
-        .groupBy("item_id")
-        .agg(F.max("iw").alias("iw"))
-        .select("item_id", F.size("iw").alias("n_words"), F.posexplode(shingles_of(F.col("iw"), k)).alias("place", "shingle"))
+        .select("item_id", F.xxhash64("item_id", F.concat_ws(" ", "iw")).alias("item_key"), "iw")
+        .dropDuplicates(["item_key"])
+        .select("item_id", "item_key", F.size("iw").alias("n_words"), F.posexplode(shingles_of(F.col("iw"), k)).alias("place", "shingle"))
     )
     items = materialize(items)
-    n_items, n_rows = items.agg(F.countDistinct("item_id"), F.count("*")).first()
-    weights = items.groupBy("shingle").agg(F.countDistinct("item_id").alias("c")).select("shingle", F.log(1 + F.lit(float(n_items)) / F.col("c")).alias("weight"))
+    n_items, n_rows = items.agg(F.countDistinct("item_key"), F.count("*")).first()
+    weights = items.groupBy("shingle").agg(F.countDistinct("item_key").alias("c")).select("shingle", F.log(1 + F.lit(float(n_items)) / F.col("c")).alias("weight"))
     alone = F.lit(float(n_items))
-    sets = materialize(items.select("item_id", "n_words", "shingle").distinct().join(weights, "shingle"))
+    sets = materialize(items.select("item_key", "n_words", "shingle").distinct().join(weights, "shingle"))
 
     key = F.xxhash64("doc_id", "text")
     read = docs.select(key.alias("row_key"), "doc_id", words_of(F.col("text")).alias("w"))
@@ -125,7 +125,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
                 F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, m))))
             ).alias("pos", "shingle"))
         )
-    known = materialize(fingerprint(sets, ["item_id", "n_words"]))
+    known = materialize(fingerprint(sets, ["item_key", "n_words"]))
     begun = materialize(starts(at.join(small(sets, n_rows), "shingle"), known, n_rows, k, similar))
     held = materialize(begun.select("row_key").distinct())
     n_held = held.count()
@@ -144,21 +144,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
     cut = lambda df: df.withColumn("x", blocks(F.col("fp"), radius)).select("*", "x.block", "x.value").drop("x")
     pairs = (
         cut(seen)
-        .join(small(cut(known.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("total").alias("item_total")).withColumnRenamed("item_fp", "fp")).withColumnRenamed("fp", "item_fp"), n_rows), ["n_words", "block", "value"])
+        .join(small(cut(known.select("item_key", "n_words", F.col("fp").alias("item_fp"), F.col("total").alias("item_total")).withColumnRenamed("item_fp", "fp")).withColumnRenamed("fp", "item_fp"), n_rows), ["n_words", "block", "value"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .groupBy(*place, "item_id")
+        .groupBy(*place, "item_key")
         .agg(F.max("total").alias("total"), F.max("item_total").alias("item_total"), F.max(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).alias("hamming"))
     )
     shared = (
         window.join(pairs, place)
-        .join(small(sets.select("item_id", "shingle"), n_rows), ["item_id", "shingle"])
-        .groupBy(*place, "item_id")
+        .join(small(sets.select("item_key", "shingle"), n_rows), ["item_key", "shingle"])
+        .groupBy(*place, "item_key")
         .agg(F.first("doc_id").alias("doc_id"), F.sum("weight").alias("both"), F.max("total").alias("total"), F.max("item_total").alias("item_total"), F.max("hamming").alias("hamming"))
         .withColumn("similarity", F.round(F.col("both") / (F.col("total") + F.col("item_total") - F.col("both")), 9))
         .where(F.col("similarity") >= similar)
     )
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
-    return shared.groupBy("row_key", "item_id").agg(F.first("doc_id").alias("doc_id"), best.alias("b")).select("row_key", "doc_id", "item_id", "b.*")
+    found = shared.groupBy("row_key", "item_key").agg(F.first("doc_id").alias("doc_id"), best.alias("b"))
+    return found.join(small(items.select("item_key", "item_id").distinct(), n_rows), "item_key").select("row_key", "doc_id", "item_id", "b.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -37,3 +37,16 @@ def test_swapped_halves_at_equal_weights(spark):
     bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
     rows = op10_decontamination.find_leaks(df, bench).collect()
     assert [(r.item_id, r.start, r.similarity) for r in rows] == [(9, 70, round(48 / 56, 9))]
+
+
+def test_each_text_of_an_id_and_null_ids_are_searched(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abcde"}
+    items = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"].upper()), (None, texts["c"]), (None, texts["d"]), (2, texts["b"]), (3, None), (None, "")]
+    docs = [(n, f"before it {t} and after") for n, t in enumerate(texts.values())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for kind in ("long", "string"):
+        bench = spark.createDataFrame([(i if kind == "long" or i is None else str(i), t) for i, t in items], f"item_id {kind}, text string")
+        rows = op10_decontamination.find_leaks(df, bench).collect()
+        assert sorted((r.doc_id, str(r.item_id)) for r in rows) == [(0, "1"), (1, "1"), (1, "2"), (2, "None"), (3, "None")]
+        assert all(r.similarity == 1.0 and r.start == 2 for r in rows)
+        assert [r.doc_id for r in op10_decontamination.drop_leaks(df, bench).collect()] == [4]
