@@ -76,7 +76,8 @@ SELECT pos.head, pos.tail, coalesce(nh, pos.head) AS neg_head, coalesce(nt, pos.
 
 @add("neg_filtered", PARTS + NEGATIVE)
 def _(spark, sf):
-    return split.filtered_negatives(_parts(spark, sf).where("part = 'test'"))
+    parts = _parts(spark, sf)
+    return split.filtered_negatives(parts.where("part = 'test'"), parts)
 
 
 @add("split_undersample", "SELECT head, interaction, tail FROM kg ORDER BY md5('42|' || head || '|' || interaction || '|' || tail), head, interaction, tail LIMIT 500")

@@ -43,13 +43,15 @@ def oversample(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)).cast("array<long>")))
 
 
-def filtered_negatives(positives: DataFrame, attempts: int = 10, seed: int = 42) -> DataFrame:
+def filtered_negatives(positives: DataFrame, true: DataFrame, attempts: int = 50, seed: int = 42) -> DataFrame:
     """One negative (head, tail, neg_head, neg_tail) for each row of ``positives(head, tail)``.
 
-    A hash picks the side and candidates of the relation's own pool; the first
-    that is no positive is taken, else the positive itself comes back.
+    A hash picks the side and candidates of the relation's own pool, which holds the
+    ends of all ``true(head, tail)`` and positives; the first candidate that is none
+    of these pairs is taken, else the positive itself comes back.
     """
-    pool = lambda c: positives.select(F.col(c).alias("pick")).distinct()
+    known = true.select("head", "tail").unionByName(positives.select("head", "tail")).distinct()
+    pool = lambda c: known.select(F.col(c).alias("pick")).distinct()
     numbered = (
         pool("head").withColumn("side", F.lit("h")).unionByName(pool("tail").withColumn("side", F.lit("t")))
         .withColumn("i", (F.row_number().over(Window.partitionBy("side").orderBy("pick")) - 1).cast("long"))
@@ -66,8 +68,7 @@ def filtered_negatives(positives: DataFrame, attempts: int = 10, seed: int = 42)
         .select("head", "tail", "k", F.when(F.col("side") == "h", F.col("pick")).otherwise(F.col("head")).alias("neg_head"),
                 F.when(F.col("side") == "t", F.col("pick")).otherwise(F.col("tail")).alias("neg_tail"))
     )
-    known = positives.select(F.col("head").alias("neg_head"), F.col("tail").alias("neg_tail")).distinct()
-    first = tried.join(known, ["neg_head", "neg_tail"], "left_anti").groupBy("head", "tail").agg(F.min_by(F.struct("neg_head", "neg_tail"), "k").alias("x"))
+    first = tried.join(known.toDF("neg_head", "neg_tail"), ["neg_head", "neg_tail"], "left_anti").groupBy("head", "tail").agg(F.min_by(F.struct("neg_head", "neg_tail"), "k").alias("x"))
     return positives.select("head", "tail").join(first, ["head", "tail"], "left").select(
         "head", "tail", F.coalesce("x.neg_head", "head").alias("neg_head"), F.coalesce("x.neg_tail", "tail").alias("neg_tail")
     )

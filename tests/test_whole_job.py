@@ -1,5 +1,6 @@
 """Queries that read whole tables, against brute force that is written apart from the SQL twins."""
 
+import hashlib
 import math
 from collections import defaultdict
 
@@ -7,6 +8,8 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from loomgraph import catalog
+from loomgraph.operators import split
+from loomgraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +59,32 @@ def test_compgcn_step_over_every_edge(spark):
     got = {(r.node, r.i): r.y for r in catalog.QUERIES["compgcn_step"](spark, SF).collect()}
     assert set(got) == {(v, o) for v in x for o in range(64)}
     assert all(abs(y - want[v][o] / 3.0) < 1e-3 for (v, o), y in got.items())
+
+
+def number(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def negatives(test, true, attempts=50):
+    heads, tails = sorted({h for h, _ in true}), sorted({t for _, t in true})
+    for h, t in test:
+        by_head = number(f"42|{h}|{t}|side") % 2 == 0
+        draws = (number(f"42|{h}|{t}|{k}") for k in range(1, attempts + 1))
+        tried = ((heads[d % len(heads)], t) if by_head else (h, tails[d % len(tails)]) for d in draws)
+        yield (h, t, *next((x for x in tried if x not in true), (h, t)))
+
+
+def test_negatives_are_no_positive_of_any_part(spark):
+    parts = split.stratified(tables.triples(spark, SF, "RETURNED").select("head", "tail")).collect()
+    true, test = {(r.head, r.tail) for r in parts}, [(r.head, r.tail) for r in parts if r.part == "test"]
+    got = [tuple(r) for r in catalog.QUERIES["neg_filtered"](spark, SF).collect()]
+    assert sorted(got) == sorted(negatives(test, true))
+    assert not any((h, t) != (nh, nt) and (nh, nt) in true for h, t, nh, nt in got)
+
+
+def test_a_dense_anchor_gets_fifty_attempts(spark):
+    true = {(f"h{i}", f"t{j}") for i in range(20) for j in range(20) if (i * 7 + j) % 20 > 0}  # one free pair a head and a tail
+    df = spark.createDataFrame(sorted(true), "head string, tail string")
+    got = [tuple(r) for r in split.filtered_negatives(df, df).collect()]
+    assert sorted(got) == sorted(negatives(true, true))
+    assert sorted(got) != sorted(negatives(true, true, 10))
