@@ -92,7 +92,7 @@ def _(spark, sf):
 
 @add("components", "SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT head AS u, tail AS v FROM kg WHERE interaction IN ('NATION_REGION', 'SUPPLIER_NATION') UNION SELECT tail, head FROM kg WHERE interaction IN ('NATION_REGION', 'SUPPLIER_NATION')), w(node, reach) AS (SELECT u, u FROM e UNION SELECT w.node, e.v FROM w JOIN e ON w.reach = e.u) SELECT node, reach FROM w) x GROUP BY node")
 def _(spark, sf):
-    return graph.components(triples(spark, sf, "NATION_REGION", "SUPPLIER_NATION"))
+    return graph.components(triples(spark, sf))
 
 
 @add("bfs_distance", f"WITH e AS ({sql.BOTH}), s AS ({sql.ANCHORS}), d1 AS (SELECT DISTINCT node AS a, v AS b FROM s JOIN e ON e.u = s.node), d2 AS (SELECT DISTINCT a, v AS b FROM d1 JOIN e ON e.u = d1.b) SELECT source, node, min(dist) AS dist FROM (SELECT node AS source, node, 0 AS dist FROM s UNION ALL SELECT a, b, 1 FROM d1 UNION ALL SELECT a, b, 2 FROM d2) x GROUP BY source, node")
@@ -171,5 +171,5 @@ def _(spark, sf):
 
 @add("component_histogram", "WITH c AS (SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT head AS u, tail AS v FROM kg WHERE interaction = 'NATION_REGION' UNION SELECT tail, head FROM kg WHERE interaction = 'NATION_REGION'), w(node, reach) AS (SELECT u, u FROM e UNION SELECT w.node, e.v FROM w JOIN e ON w.reach = e.u) SELECT node, reach FROM w) x GROUP BY node) SELECT size, count(*) AS components, size = max(size) OVER () AS largest FROM (SELECT count(*) AS size FROM c GROUP BY component) y GROUP BY size")
 def _(spark, sf):
-    sizes = graph.components(triples(spark, sf, "NATION_REGION")).groupBy("component").agg(F.count("*").alias("size"))
+    sizes = graph.components(triples(spark, sf)).groupBy("component").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("components")).withColumn("largest", F.col("size") == F.max("size").over(Window.partitionBy()))

@@ -38,6 +38,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The rows of ``edges(head, tail, ...)`` with both ends in the component of most nodes; of equal ones the least node's."""
+    label = components(edges)
+    top = label.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
+    inside = label.join(F.broadcast(top), "component").select("node")  # one row
+    return edges.join(inside.withColumnRenamed("node", "head"), "head", "left_semi").join(inside.withColumnRenamed("node", "tail"), "tail", "left_semi").select(*edges.columns)
+
+
 def bfs(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """(source, node, dist) for every node within ``hops`` of each ``sources(node)``."""
     both = undirected(edges)

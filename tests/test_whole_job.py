@@ -2,13 +2,13 @@
 
 import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
 
 from loomgraph import catalog
-from loomgraph.operators import split
+from loomgraph.operators import graph, split
 from loomgraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,34 @@ def test_a_dense_anchor_gets_fifty_attempts(spark):
     got = [tuple(r) for r in split.filtered_negatives(df, df).collect()]
     assert sorted(got) == sorted(negatives(true, true))
     assert sorted(got) != sorted(negatives(true, true, 10))
+
+
+def union_find(pairs):
+    parent = {}
+
+    def find(a):
+        parent.setdefault(a, a)
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {a: find(a) for a in parent}
+
+
+def test_components_of_the_whole_graph(spark):
+    want = union_find([(r.head, r.tail) for r in tables.triples(spark, SF).collect()])
+    assert {r.node: r.component for r in catalog.QUERIES["components"](spark, SF).collect()} == want
+    sizes = Counter(Counter(want.values()).values())
+    got = sorted((r.size, r.components, r.largest) for r in catalog.QUERIES["component_histogram"](spark, SF).collect())
+    assert got == [(s, n, s == max(sizes)) for s, n in sorted(sizes.items())]
+
+
+def test_largest_component_keeps_its_edges(spark):
+    rows = [("a", "R", "b"), ("b", "S", "c"), ("c", "R", "d"), ("x", "R", "y"), ("y", "R", "x"), ("y", "S", "z"), ("b", "R", "a")]
+    df = spark.createDataFrame(rows, "head string, interaction string, tail string")
+    kept = graph.largest_component(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in "abcd")
