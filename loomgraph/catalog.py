@@ -98,7 +98,7 @@ def _(spark, sf):
 @add("bfs_distance", f"WITH e AS ({sql.BOTH}), s AS ({sql.ANCHORS}), d1 AS (SELECT DISTINCT node AS a, v AS b FROM s JOIN e ON e.u = s.node), d2 AS (SELECT DISTINCT a, v AS b FROM d1 JOIN e ON e.u = d1.b) SELECT source, node, min(dist) AS dist FROM (SELECT node AS source, node, 0 AS dist FROM s UNION ALL SELECT a, b, 1 FROM d1 UNION ALL SELECT a, b, 2 FROM d2) x GROUP BY source, node")
 def _(spark, sf):
     edges = triples(spark, sf, "CO_ORDER")
-    return graph.bfs(edges, spark.sql(sql.ANCHORS), 2)
+    return graph.bfs(edges, spark.sql(sql.ANCHORS), 4)
 
 
 _step = lambda i: f"m{i} AS (SELECT source, node, sum(m) AS m FROM (SELECT source, e.v AS node, 0.85 * m / d.n AS m FROM m{i - 1} JOIN e ON e.u = node JOIN d ON d.u = e.u UNION ALL SELECT node, node, 0.15 FROM s) x GROUP BY source, node)"
@@ -107,7 +107,7 @@ _step = lambda i: f"m{i} AS (SELECT source, node, sum(m) AS m FROM (SELECT sourc
 @add("ppr_3", f"WITH e AS ({sql.BOTH}), d AS (SELECT u, count(*) AS n FROM e GROUP BY u), s AS ({sql.ANCHORS}), m0 AS (SELECT node AS source, node, 1.0::DOUBLE AS m FROM s), {_step(1)}, {_step(2)}, {_step(3)} SELECT source, node, round(m, 6) AS mass FROM m3")
 def _(spark, sf):
     edges = triples(spark, sf, "CO_ORDER")
-    return graph.page_rank(edges, spark.sql(sql.ANCHORS), rounds=3).withColumn("mass", F.round("mass", 6))
+    return graph.page_rank(edges, spark.sql(sql.ANCHORS), rounds=30).withColumn("mass", F.round("mass", 6))
 
 
 @add("norm_name_parts", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (2+)')), '\s*\(\d*[+-]\)$', ''), '^\((?:r|s|e|z|\+|-)\)-', ''), '[^a-z0-9 ]', '', 'g')) AS name FROM part")

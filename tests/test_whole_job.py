@@ -119,3 +119,45 @@ def test_largest_component_keeps_its_edges(spark):
     df = spark.createDataFrame(rows, "head string, interaction string, tail string")
     kept = graph.largest_component(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in "abcd")
+
+
+def neighbours(spark):
+    near = defaultdict(set)
+    for r in tables.triples(spark, SF, "CO_ORDER").collect():
+        near[r.head].add(r.tail)
+        near[r.tail].add(r.head)
+    return near, [f"Part::{p}" for p in pq.read_table(f"{SF}/part.parquet")["p_partkey"].to_pylist()]
+
+
+def test_distance_to_four_hops(spark):
+    near, parts = neighbours(spark)
+    want = {}
+    for s in parts:
+        dist, front = {s: 0}, [s]
+        for d in range(1, 5):
+            front = sorted({v for u in front for v in near[u]} - set(dist))
+            dist.update(dict.fromkeys(front, d))
+        want.update({(s, v): d for v, d in dist.items()})
+    rows = catalog.QUERIES["bfs_distance"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r.source, r.node): r.dist for r in rows} == want and max(want.values()) > 2
+
+
+def test_mass_after_thirty_rounds(spark):
+    near, parts = neighbours(spark)
+    nodes = sorted(set(near) | set(parts))
+    at = {v: i for i, v in enumerate(nodes)}
+    step = np.zeros((len(nodes), len(nodes)))
+    for u, vs in near.items():
+        for v in vs:
+            step[at[v], at[u]] = 1 / len(vs)
+    start = np.zeros((len(nodes), len(parts)))
+    start[[at[s] for s in parts], range(len(parts))] = 1
+    mass = start
+    for _ in range(30):
+        mass = 0.15 * start + 0.85 * step @ mass
+    rows = catalog.QUERIES["ppr_3"](spark, SF).collect()
+    got = np.zeros_like(mass)
+    for r in rows:
+        got[at[r.node], parts.index(r.source)] = r.mass
+    assert len({(r.source, r.node) for r in rows}) == len(rows) >= (mass > 1e-6).sum()
+    assert np.abs(got - mass).max() < 2e-6
