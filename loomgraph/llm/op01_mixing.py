@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import WORD
+from loomgraph.llm.shared import WORD, columns_of, free_names
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -75,34 +75,45 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> Dat
     )
 
 
-def with_copies(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (rows of that name are replaced).
-
-    Empty table: empty result. Null text or a source without words: no copies.
-    Null source: a source of its own. Repeated rows draw the same number, as it
-    depends on the id and the seed alone; a null id draws one as well.
-    The table of sources is joined by key; a source with a third of all rows is
-    split by adaptive execution or meets a broadcast that its size allows.
-    """
-    keep = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
-    sized = docs.select(*keep, n_words(F.col("text")).alias("mix_size"))
-    per = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, limit).select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
+def _rated(docs: DataFrame, names: list[str], weights, limit: int, seed: str) -> DataFrame:
+    """All columns of ``docs`` and, under the four free ``names``, size, source's size, its target and copies."""
+    size, source_size, target, n = names
+    (source,) = free_names(docs.select("*", *[F.lit(None).alias(x) for x in names]), "mix_source")
+    sized = docs.select(*columns_of(docs), n_words(docs["text"]).alias(size))
+    per = source_targets(sized.select(sized["source"].alias("source"), F.col(size).alias("size")), weights, limit).select(
+        F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target)
     )
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = F.least(whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long"), F.lit(limit).cast("long"))
-    return (
-        sized.join(per, sized["source"].eqNullSafe(per["mix_source"]), "left")
-        .drop("mix_source")
-        .withColumn("mix_copies", copies.cast("long"))
-    )
+    return sized.join(per, sized["source"].eqNullSafe(per[source]), "left").drop(source).withColumn(n, copies.cast("long"))
 
 
-def mix_sources(docs: DataFrame, **how) -> DataFrame:
-    """Every document as often as the mix takes it: the rows and columns of ``docs``, repeated."""
-    got = with_copies(docs, **how).where("mix_copies > 0")
-    return got.withColumn("mix_n", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*docs.columns)
+def with_copies(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (columns of that name are replaced).
+
+    Empty table: empty result. Null or empty text, or a source without words: no
+    words to take, so no copies where the source has none. Null source: a source of its own,
+    after all others. Long texts are counted whole. Repeated rows draw the same
+    number, as it depends on the id and the seed alone; a null id draws one as
+    well. Ties: sources that fill up at one level go by code point, and a draw
+    equal to the fraction takes no copy. The table of sources is joined by key; a
+    source with a third of all rows is split by adaptive execution or meets a
+    broadcast that its size allows.
+    """
+    names = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    return _rated(docs.drop(*names), names, weights, limit, seed)
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
+    """Every document as often as the mix takes it: the rows of ``docs``, repeated, with all its columns and no others.
+
+    Columns may have any name. Nulls, empty and long texts, ties, repeated rows
+    and empty tables are handled as in ``with_copies``.
+    """
+    *names, turn = free_names(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_n")
+    got = _rated(docs, names, weights, limit, seed).where(F.col(names[3]) > 0)
+    return got.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[3])))).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
