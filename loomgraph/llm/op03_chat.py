@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.shared import materialize
+
 START, STOP = "<|im_start|>", "<|im_end|>"
-#: Turns whose digests order the tree; deeper shared turns still merge with the neighbour's.
+#: Turns whose digests each row carries; longer conversations are ordered by all of theirs beforehand.
 KEY_TURNS = 32
-#: A sequence holds whole conversations and ends after so many characters.
-MAX_SEQUENCE = 1_000_000
+#: Ids of longer conversations that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 250_000
 SEGMENT = (
     "conv_id long, seq_id string, node int, parent int, role string, start long, stop long, position long, loss_start long, "
     "loss_stop long, text string, attends array<struct<start:long,stop:long>>, last boolean"
@@ -54,53 +56,106 @@ def turn_text(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{STOP}\n", *loss
 
 
-def keyed(chats: DataFrame) -> DataFrame:
+def _digest(role: str, text: str, before: bytes) -> bytes:
+    return hashlib.blake2b(f"{len(role)}:{role}{text}".encode(), key=before, digest_size=8).digest()
+
+
+def whole_paths(chats: DataFrame) -> DataFrame:
+    """(conv_id, path): the digests of all turns of each conversation, one after the other."""
+
+    def path(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conv, digest, parts = None, b"", []
+        for b in batches:
+            out = []
+            for c, role, text in zip(b["conv_id"], b["role"], b["text"], strict=True):
+                if c != conv:
+                    if parts:
+                        out.append((conv, b"".join(parts)))
+                    conv, digest, parts = c, b"", []
+                digest = _digest(role if isinstance(role, str) else "", text if isinstance(text, str) else "", digest)
+                parts.append(digest)
+            yield pd.DataFrame(out, columns=["conv_id", "path"])
+        if parts:
+            yield pd.DataFrame([(conv, b"".join(parts))], columns=["conv_id", "path"])
+
+    return chats.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(path, "conv_id long, path binary")
+
+
+def ranked(chats: DataFrame, key_turns: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``chats`` with ``deep``, the place of a conversation of more than ``key_turns`` turns among all such in path order.
+
+    One row of such a conversation, with eight bytes a turn, is sorted; others
+    have 0. A single conversation without an id is not ranked.
+    """
+    long = materialize(chats.where("conv_id is not null").groupBy(F.col("conv_id").alias("k")).count().where(F.col("count") > key_turns).select("k"))
+    n = long.count()
+    if not n:
+        return chats.withColumn("deep", F.lit(0).cast("long"))
+    near = F.broadcast if n <= broadcast_rows else (lambda df: df)
+    paths = whole_paths(chats.join(near(long), chats["conv_id"] == long["k"], "left_semi"))
+    order = materialize(
+        paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select(F.col("conv_id").alias("k"), (F.monotonically_increasing_id() + 1).alias("deep"))
+    )
+    return chats.join(near(order), chats["conv_id"] == order["k"], "left").drop("k").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long")))
+
+
+def keyed(chats: DataFrame, key_turns: int = KEY_TURNS) -> DataFrame:
     """Rows with their conversation's tree key and their turn's place, conversation by conversation.
 
-    Only the first KEY_TURNS turns of one conversation wait in memory at a time.
+    The key is the path of the first ``key_turns`` turns and, beyond them, the
+    conversation's rank. Only so many turns of one conversation wait in memory at a time.
     """
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "conv_id", "place", "role", "text", "deep"]
         held: list[tuple] = []
         conv, digest, path, n, tree = object(), b"", b"", 0, None
         for b in batches:
             out: list[tuple] = []
-            for c, role, text in zip(b["conv_id"], b["role"], b["text"], strict=True):
+            for c, role, text, deep in zip(b["conv_id"], b["role"], b["text"], b["deep"], strict=True):
                 c = None if c is pd.NA or c != c else int(c)
                 role, text = role if isinstance(role, str) else "", text if isinstance(text, str) else ""
                 if c != conv:
                     out += [(path, *x) for x in held]
                     held, conv, digest, path, n, tree = [], c, b"", b"", 0, None
                 if tree is None:
-                    digest = hashlib.blake2b(f"{len(role)}:{role}{text}".encode(), key=digest, digest_size=8).digest()
+                    digest = _digest(role, text, digest)
                     path += digest
-                    held.append((c, n, role, text))
-                    if len(held) == KEY_TURNS:
+                    held.append((c, n, role, text, deep))
+                    if len(held) == key_turns:
                         out += [(path, *x) for x in held]
                         held, tree = [], path
                 else:
-                    out.append((tree, c, n, role, text))
+                    out.append((tree, c, n, role, text, deep))
                 n += 1
-            yield pd.DataFrame(out, columns=["path", "conv_id", "place", "role", "text"]).astype({"conv_id": "Int64"})
-        yield pd.DataFrame([(path, *x) for x in held], columns=["path", "conv_id", "place", "role", "text"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+        yield pd.DataFrame([(path, *x) for x in held], columns=names).astype({"conv_id": "Int64"})
 
-    rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = ranked(chats.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text"), key_turns)
     return (
         rows.repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .mapInPandas(key, "path binary, conv_id long, place long, role string, text string")
+        .mapInPandas(key, "path binary, conv_id long, place long, role string, text string, deep long")
     )
 
 
-def format_chats(chats: DataFrame) -> DataFrame:
+def format_chats(chats: DataFrame, key_turns: int = KEY_TURNS, max_sequence: int | None = None) -> DataFrame:
     """Segments of depth-first sequences, one a tree node, from ``chats(conv_id, turn, role, text)``.
 
     ``start`` and ``stop`` are the node's places in its sequence, ``position``
     the position id of its first character (ids go on along a path, so siblings
     repeat them), ``attends`` the intervals of its ancestors, ``loss_*`` the loss
     mask. A row with a null text and role and ``last`` ends a conversation at
-    ``parent``. Rows go by turn, ties by role and text; null text or role is
-    empty; a null conv_id is a conversation; repeated rows are turns of their own.
+    ``parent``. Positions and places count characters: the text goes on to a
+    tokenizer of the caller's choice. Rows go by turn, ties by role and text; null text or role is
+    empty; a null conv_id is a conversation, streamed by one task; repeated rows
+    are turns of their own; conversations and texts have any length; an empty
+    table gives no segments; other columns are not read.
+
+    A shared turn is written once in a range partition; a path that goes on over
+    its border is written again after it. With ``max_sequence`` a sequence ends
+    after the conversation that takes it beyond so many characters, and paths
+    that go on are written again as well; there is no such end by default.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +183,7 @@ def format_chats(chats: DataFrame) -> DataFrame:
                 if c != conv or not began:
                     if began:
                         out.append(end(depth))
-                    if at > MAX_SEQUENCE:
+                    if max_sequence is not None and at > max_sequence:
                         stack.clear()
                     conv, depth, matching, began = c, 0, True, True
                 digest = hashlib.blake2b(f"{len(role)}:{role}{text}".encode(), digest_size=16).digest()
@@ -148,7 +203,7 @@ def format_chats(chats: DataFrame) -> DataFrame:
         if began:
             yield pd.DataFrame([end(depth)], columns=names, dtype=object)
 
-    return keyed(chats).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id", "place").mapInPandas(emit, SEGMENT)
+    return keyed(chats, key_turns).repartitionByRange("path", "deep", "conv_id").sortWithinPartitions("path", "deep", "conv_id", "place").drop("deep").mapInPandas(emit, SEGMENT)
 
 
 TURN = re.compile(re.escape(START) + r"((?:(?!<\|[^|]).)*?)\n(.*)" + re.escape(STOP) + "\n", re.S)
