@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.shared import discard, materialize
 from loomgraph.llm.textkit import LOWER, SPACE, lean, text_chunks
 
 #: The classifier is fitted on at most so many labelled rows, taken by a hash of the id.
 FIT_ROWS = 20_000
-MAX_PARTS = 50_000
 #: Pseudo-documents of the prior; the least certainty and log-odds of a part that is kept; the greatest weight; what a word between costs.
 PRIOR, CERTAIN, STRONG, CAP, GAP = 20.0, 4.0, 2.5, 8.0, 0.1
 LIMIT = 0.3
@@ -142,16 +142,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from ``labels(doc_id, toxic)``, without the held-out rows.
 
-    Two thirds of the rows give the weights, one third the curve. Only counts of
-    parts and two numbers a document come to the driver, bounded by MAX_PARTS
-    and ``fit_rows``; the chosen labels, bounded by ``fit_rows``, are broadcast.
+    Two thirds of the rows give the weights, one third the curve. Counts of the
+    parts that tell toxic from clean and two numbers a document come to the
+    driver, both bounded by the texts of ``fit_rows`` documents; the chosen
+    labels, bounded by ``fit_rows``, are broadcast. An id with several label rows
+    is toxic if one of them says so; null ids and labels are left out. Without
+    rows of both classes, as in empty tables, every text scores alike.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = (
+        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy(F.col("doc_id").alias("k"))
+        .agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    )
     n = known.count()
     share = min(1.0, 0.95 * fit_rows / max(1, n))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(
-        F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("toxic")
-    ).limit(fit_rows)
+    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select(
         "text", "toxic", (F.crc32(F.col("k").cast("string").cast("binary")) % 4 == 3).alias("judge")
     )
@@ -166,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + PRIOR + 0.5) - F.col(c) - prior))  # a part may be in every document
     weight = odds("c1", n1) - odds("c0", n0)
     scored = per.where("c1 >= 4").select("part", weight.alias("w"), (weight / F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))).alias("z"))
-    best = scored.where(F.col("z") >= CERTAIN).where(F.col("w") >= STRONG).orderBy(F.desc("z"), "part").limit(MAX_PARTS).collect()
+    best = scored.where(F.col("z") >= CERTAIN).where(F.col("w") >= STRONG).collect()
     keys = np.array([r.part for r in best], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     model.keys, model.weights = keys[order], np.minimum(np.array([r.w for r in best]), CAP)[order]
@@ -190,16 +195,24 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                     ["y", "words", "hits", "weight", "scores"],
                 )
 
-    judged = rows.where("judge").select("text", "toxic").mapInArrow(lean(look), "y long, words long, hits long, weight double, scores array<double>").collect()
+    judged = materialize(rows.where("judge").select("text", "toxic").mapInArrow(lean(look), "y long, words long, hits long, weight double, scores array<double>"))
     calibrate(model, judged)
+    discard(judged)
     return model
 
 
-def calibrate(model: Model, judged: list) -> None:
-    """The extreme-value rate and scale from clean documents, then the logistic curve from all."""
-    clean = [r for r in judged if not r.y]
-    words = sum(r.words for r in clean) + 1000
-    hits, weight = sum(r.hits for r in clean) + 1.0, sum(r.weight for r in clean) + 3.0
+def calibrate(model: Model, judged: DataFrame) -> None:
+    """The extreme-value rate and scale from clean documents, then the logistic curve from all.
+
+    ``judged(y, words, hits, weight, scores)`` has a row a document; sums and
+    means of it, and then two numbers a document, come to the driver.
+    """
+    top = F.when(F.col("words") > 0, F.coalesce(F.array_max("scores"), F.lit(0.0)))
+    clean = judged.where("y = 0").agg(
+        F.sum("words").alias("words"), F.sum("hits").alias("hits"), F.sum("weight").alias("weight"), F.avg(top).alias("top"), F.avg(F.when(F.col("words") > 0, F.col("words"))).alias("n")
+    ).first()
+    words = (clean.words or 0) + 1000
+    hits, weight = (clean.hits or 0) + 1.0, (clean.weight or 0.0) + 3.0
     p, mean = hits / words, weight / hits
     lo, hi = 1e-6, 50.0
     for _ in range(80):  # the rate at which a random walk of such steps has expectation 1
@@ -207,19 +220,17 @@ def calibrate(model: Model, judged: list) -> None:
         grown = p * math.exp(min(700.0, mid * mean)) + (1 - p) * math.exp(-mid * GAP)
         lo, hi = (mid, hi) if grown < 1 else (lo, mid)
     model.rate = min(max(lo, 0.2), 5.0)
-    tops = [(max(r.scores, default=0.0), r.words) for r in clean if r.words]
-    if tops:
-        mean_top, mean_n = float(np.mean([t for t, _ in tops])), float(np.mean([n for _, n in tops]))
-        model.k = min(max(math.exp(model.rate * mean_top - 0.5772) / mean_n, 1e-3), 1.0)
-    x, y = [], []
-    for r in judged:
-        good = [v for s in r.scores if (v := model.rate * s - math.log(model.k * max(r.words, 1))) > 0]
-        x.append((1.0, max(good, default=0.0), math.log1p(sum(good))))
-        y.append(r.y)
-    if not judged or len(set(y)) < 2:
+    if clean.top is not None:
+        model.k = min(max(math.exp(model.rate * clean.top - 0.5772) / clean.n, 1e-3), 1.0)
+    beyond = F.filter(F.transform("scores", lambda s: s * model.rate - F.log(F.greatest(F.col("words"), F.lit(1)) * model.k)), lambda v: v > 0)
+    seen = judged.select("y", beyond.alias("v")).select(
+        "y", F.coalesce(F.array_max("v"), F.lit(0.0)).alias("best"), F.aggregate("v", F.lit(0.0), lambda a, v: a + v).alias("total")
+    ).collect()
+    t = np.array([r.y for r in seen], dtype=float)
+    if len(set(t.tolist())) < 2:
         model.curve = (-3.0, 0.5, 0.5)
         return
-    a, t, beta = np.array(x), np.array(y, dtype=float), np.zeros(3)
+    a, beta = np.array([(1.0, r.best, math.log1p(r.total)) for r in seen]), np.zeros(3)
     for _ in range(50):  # Newton with a small ridge
         q = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve((a * (q * (1 - q) + 1e-9)[:, None]).T @ a + 0.05 * np.eye(3), a.T @ (t - q) - 0.05 * beta)
@@ -231,8 +242,10 @@ def calibrate(model: Model, judged: list) -> None:
 def score_documents(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
     """(doc_id, score, predicted), with ``passages`` also the significant ones as (first word, last word, surprise).
 
-    Null or empty texts score what no evidence scores. Repeated rows and null
-    ids are scored row by row; nothing but the text is read.
+    Null or empty texts score what no evidence scores; long texts are read whole.
+    Repeated rows and null ids are scored row by row, an empty table gives none;
+    nothing but the text is read. Ties: of equal segments the first is the best,
+    and a score equal to LIMIT is predicted toxic.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +279,11 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = False) -> Da
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` that are not predicted toxic, in one pass."""
+    """The rows of ``docs`` that are not predicted toxic, with all columns, whatever their names, in one pass.
+
+    Null and empty texts, ties, repeated rows and empty tables are handled as in
+    ``train`` and ``score_documents``: what no evidence marks is kept.
+    """
     model = train(docs, labels)
     names = docs.columns
 
