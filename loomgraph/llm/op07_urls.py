@@ -90,12 +90,12 @@ class RuleIndex:
         for token in {"", *_TOKEN.findall(folded)}:
             for n, rule, pattern in self.by_token.get(token, ()):
                 if rule.site:
-                    if (site is None or len(rule.name) > len(site.name)) and host and pattern.match(host + path):
-                        site = rule
+                    if (site is None or (len(rule.name), -n) > (len(site[1].name), -site[0])) and host and pattern.match(host + path):
+                        site = (n, rule)
                 elif (other is None or n < other[0]) and pattern.search(folded):
                     other = (n, rule)
         if site is not None:
-            return host, path, site.name, site.verdict
+            return host, path, site[1].name, site[1].verdict
         return host, path, None, other[1].verdict if other else "allow"
 
 
@@ -109,9 +109,10 @@ def token_counts(urls: DataFrame, tokens: set[str]) -> dict[str, int]:
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + PATTERNS) -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each row of ``pages(page_id, url)``.
 
-    A null url or one without :// has an empty host and path and no site rule.
-    Longest site rule wins; else the first pattern rule; else allow. Repeated
-    rows and null ids are judged row by row. Other columns are not read.
+    A null, empty or other url without :// has an empty host and path and no site
+    rule. Longest site rule wins, of equally long ones the first; else the first
+    pattern rule; else allow. Urls of any length are read whole. Repeated rows and
+    null ids are judged row by row; an empty table gives none. Other columns are not read.
     """
     index = RuleIndex(rules, token_counts(pages, {t for r in rules for t in r.tokens}))
 
