@@ -2,9 +2,11 @@
 
 Every tree splits along random directions near the median; vectors close to a
 split go to both sides, so near vectors rarely part, and several trees make up
-for those that do. Thresholds come from a bounded sample, all vectors are
-indexed. Vectors meet within leaves of equal label, every pair is verified in
-double precision and counted in the first leaf that its two vectors share.
+for those that do. The depth follows the number of vectors. Thresholds come from
+a bounded sample; where a node has few sampled vectors left, the nodes below go on
+with their own directions and the quantiles of those vectors. All vectors are indexed.
+Vectors meet within leaves of equal label, every pair is verified in double
+precision and counted in the first leaf that its two vectors share.
 """
 
 from __future__ import annotations
@@ -21,56 +23,72 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.shared import connected_components, materialize
+from loomgraph.llm.textkit import mix
 
 COSINE = 0.98
-TREES = 4
+TREES = 6
 #: Vectors a leaf, over all labels; vectors of one leaf and label that are compared in one block.
-LEAF, BLOCK = 2_000, 1_500
-#: The forest's thresholds are fitted on at most so many vectors.
-FIT_SAMPLE = 100_000
+LEAF, BLOCK = 128, 1_500
+#: The forest's thresholds are fitted on at most so many vectors, and so many bytes of them in double precision.
+FIT_SAMPLE, FIT_BYTES = 100_000, 64_000_000
+#: Sampled vectors that a node needs for thresholds of its own.
+FIT_NODE = 32
+#: How far from a split a vector goes to both sides, in deviations of the difference of two vectors at the limit.
+SPILL = 0.3
 
 
 class Forest:
-    """Trees as thresholds in heap order; the direction of a level is shared by its nodes."""
+    """Trees as thresholds in heap order; a node takes one of its level's directions by a hash of its number.
 
-    def __init__(self, sample: np.ndarray, n: int, cosine: float, trees: int, leaf: int, seed: int):
+    A pair at the limit parts at one split with a probability of about 0.03 in 64
+    dimensions; six trees of depth 23, a thousand million vectors, keep 0.99 of such pairs.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, cosine: float, trees: int, leaf: int, seed: int, ways: int = 4):
         rng = np.random.default_rng(seed)
         d = sample.shape[1] if sample.ndim == 2 else 1
-        deepest = int(math.log2(max(1, len(sample) / 32)))
-        self.depth = max(0, min(math.ceil(math.log2(max(1, n / leaf))), deepest))
-        self.trees = trees
-        self.directions = rng.standard_normal((d, trees * max(1, self.depth)))
-        self.directions /= np.linalg.norm(self.directions, axis=0)
-        # the difference of two vectors at the limit, seen along a direction, has this deviation
-        self.spill = math.sqrt(2 * (1 - cosine)) / math.sqrt(d)
+        self.depth, self.trees, self.ways = math.ceil(math.log2(max(1, n / leaf))), trees, ways
+        self.fitted = max(0, min(self.depth, int(math.log2(max(1, len(sample) / FIT_NODE)))))
+        self.directions = rng.standard_normal((trees, max(1, self.depth), d, ways))
+        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
+        self.spill = SPILL * math.sqrt(2 * (1 - cosine)) / math.sqrt(d)
         self.cuts = []
-        seen = sample @ self.directions if len(sample) else np.zeros((0, self.directions.shape[1]))
         for t in range(trees):
             node = np.zeros(len(sample), dtype=np.int64)
             cuts = []
             for level in range(self.depth):
-                p = seen[:, t * self.depth + level]
-                cut = np.zeros(1 << level)
-                for x in range(1 << level):
-                    own = p[node == x]
+                deep = min(level, self.fitted)
+                held = node >> (level - deep)  # the node, or the last one above it with a sample of its own
+                seen = sample @ self.directions[t, level]
+                cut = np.zeros((1 << deep, ways))
+                order = np.argsort(held, kind="stable")
+                edge = np.searchsorted(held[order], np.arange((1 << deep) + 1))
+                for x in range(1 << deep):
+                    own = seen[order[edge[x] : edge[x + 1]]]
                     if len(own):
-                        cut[x] = np.quantile(own, rng.uniform(0.45, 0.55))
-                node = 2 * node + (p > cut[node])
+                        cut[x] = np.quantile(own, rng.uniform(0.45, 0.55), axis=0)
+                way = self.way(t, level, node)
+                node = 2 * node + (seen[np.arange(len(sample)), way] > cut[held, way])
                 cuts.append(cut)
             self.cuts.append(cuts)
 
+    def way(self, tree: int, level: int, node: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(node.astype(np.uint64) + np.uint64((tree << 8 | level) << 40)) % np.uint64(self.ways)).astype(np.int64)
+
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs, each once, over all trees; leaf ids are ordered by tree."""
-        seen = unit @ self.directions
         rows, ids = [], []
         for t in range(self.trees):
             row, node = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
             for level in range(self.depth):
-                p = seen[row, t * self.depth + level] - self.cuts[t][level][node]
+                way = self.way(t, level, node)
+                held = node >> (level - min(level, self.fitted))
+                p = (unit @ self.directions[t, level])[row, way] - self.cuts[t][level][held, way]
                 low, high = p <= self.spill, p > -self.spill
                 row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
             rows.append(row)
-            ids.append(node + (t << 32))
+            ids.append(node + (t << 48))
         return np.concatenate(rows), np.concatenate(ids)
 
 
@@ -122,7 +140,9 @@ def dedup_embeddings(
     vec_id; its component is its own id. Equal vectors of a label are one class
     from the start, so copies are counted and not compared. Rows that repeat are
     links of each other. Classes of one leaf and label beyond ``block`` are
-    compared block by block in tasks of their own. Other columns are not read.
+    compared block by block in tasks of their own. Vectors have any length. Ties:
+    a cosine equal to the limit, in double precision, links; of equal distances
+    nothing depends. An empty table gives no rows. Other columns are not read.
     """
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f8" if isinstance(element, T.DoubleType) else "<f4"
@@ -148,19 +168,19 @@ def dedup_embeddings(
     )
     size = classes.agg(F.count("*"), F.max(F.octet_length("raw"))).first()
     n, d = size[0], (size[1] or 0) // (8 if kind == "<f8" else 4)
-    share = min(1.0, FIT_SAMPLE * 0.95 / max(1, n))
-    sample = classes.where(F.pmod(F.xxhash64("vkey"), F.lit(1_000_000)) < int(share * 1_000_000)).select("raw").limit(FIT_SAMPLE)
+    most = max(1, min(FIT_SAMPLE, FIT_BYTES // (8 * max(1, d))))
+    share = min(1.0, most * 0.95 / max(1, n))
+    sample = classes.where(F.pmod(F.xxhash64("vkey"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select("raw").limit(most)
     forest = Forest(as_matrix([r[0] for r in sample.collect()], kind, d), n, cosine, trees, leaf, seed) if n else None
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            row, leaves = forest.leaves(as_matrix(b["raw"].tolist(), kind, d))
-            order = np.lexsort((leaves, row))
-            row, leaves = row[order], leaves[order]
-            own = np.split(leaves, np.flatnonzero(np.diff(row)) + 1)
-            yield b.assign(leaves=own)
+            for part in (b.iloc[at : at + 2_000] for at in range(0, len(b), 2_000)):
+                row, leaves = forest.leaves(as_matrix(part["raw"].tolist(), kind, d))
+                order = np.lexsort((leaves, row))
+                row, leaves = row[order], leaves[order]
+                own = np.split(leaves, np.flatnonzero(np.diff(row)) + 1)
+                yield part.assign(leaves=own)
 
     classes_schema = f"label {labelled}, vkey binary, rep long, n long, raw binary"
     indexed = classes.mapInPandas(index, f"{classes_schema}, leaves array<long>")
