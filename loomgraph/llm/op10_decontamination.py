@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Windows of a document as long as a benchmark item get a SimHash of their
-weighted five-word shingles. Fingerprints are cut into one block more than the
-radius, so two within the radius agree on a block: a join on (length, block,
-value) finds all of them, and the exact weighted similarity of the shingle sets
+weighted five-word shingles. Fingerprints are cut into four blocks of 16 bits.
+Two within the radius are within a fourth of it on some block, so each item is
+indexed under all values that near its own, and a window's own four values fetch
+all items within the radius; the exact weighted similarity of the shingle sets
 verifies them. A window can only be as similar to an item as the weight of the
 item's shingles that it holds allows. A join of the shingles gives where those
 are, and a sweep over the starts adds up what each window holds, so every window
@@ -12,6 +13,8 @@ that can reach the limit gets a fingerprint, whatever the order of its passages.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +22,11 @@ from loomgraph.llm.shared import WORD, materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 #: At similarity 0.8 about 10 of 64 bits differ, with a deviation of 3.
-RADIUS = 23
+RADIUS, BITS, BLOCK = 19, 64, 16
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Most words of the sieve, a bit map of the items' shingles ahead of that shuffle; 8 MB.
+SIEVE_WORDS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -40,6 +45,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _bit(shingle: Column, words: int) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(shingle, 6).bitwiseAND(words - 1), F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+
+
+def sieved(at: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``at`` whose shingle an item can have, by a bit map of at most SIEVE_WORDS longs.
+
+    The map lets through what it can't tell apart, so the join that follows
+    decides; it spares that join's shuffle nearly all other shingles of the corpus.
+    """
+    words = 64
+    while words < SIEVE_WORDS and words * 4 < rows:  # 16 bits a shingle
+        words *= 2
+    word, bit = _bit(F.col("shingle"), words)
+    held = sets.select(word.alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = at.sparkSession.range(words).join(held, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    bits = every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("bits"))
+    return at.where(F.element_at(bits.scalar(), (word + 1).cast("int")).bitwiseAND(bit) != 0)
+
+
 def fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
     """SimHash (fp) and total weight of rows (by..., shingle, weight)."""
     bit = lambda i: F.when(F.shiftrightunsigned("shingle", i).bitwiseAND(1) == 1, F.col("weight")).otherwise(-F.col("weight"))
@@ -50,13 +75,29 @@ def fingerprint(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "total", fp.alias("fp"))
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """(block, value) for radius + 1 blocks of the 64 bits."""
-    cuts = [64 * b // (radius + 1) for b in range(radius + 2)]
-    parts = [F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+def blocks(fp: Column) -> Column:
+    """(block, value): the 16-bit blocks of a fingerprint."""
+    parts = [F.shiftrightunsigned(fp, i * BLOCK).bitwiseAND((1 << BLOCK) - 1) for i in range(BITS // BLOCK)]
     return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), p.alias("value")) for i, p in enumerate(parts)]))
 
 
+def reach(radius: int) -> list[int]:
+    """Bits that each block is probed for: were all blocks farther apart than that, the sum would exceed the radius."""
+    m = BITS // BLOCK
+    left = radius - m + 1
+    return [max(0, left // m + (i < left % m)) for i in range(m)]
+
+
+def probes(fp: Column, radius: int) -> Column:
+    """(block, value): every value within reach of each block of a fingerprint."""
+    def near(i: int, bits: int) -> Column:
+        masks = F.lit(",".join(str(x) for x in range(1 << BLOCK) if x.bit_count() <= bits))
+        own = F.shiftrightunsigned(fp, i * BLOCK).bitwiseAND((1 << BLOCK) - 1)
+        return F.transform(F.split(masks, ",").cast("array<long>"), lambda x: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(x).alias("value")))
+
+    return F.explode(F.concat(*[near(i, bits) for i, bits in enumerate(reach(radius))]))
+
+
 def starts(hits: DataFrame, known: DataFrame, n_items: int, k: int, similar: float) -> DataFrame:
     """(row_key, start, n_words) of each window that holds ``similar`` of some item's weight.
 
@@ -97,7 +138,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
     apart. A shingle weighs ln(1 + items / items that hold it), one that no item
     holds as if one did. An item or document of fewer than ``k`` words is one
     shingle, of all its words; without words it matches nothing. Windows are cut
-    off at the document's end. Null texts are empty; null ids match like others.
+    off at the document's end. Null texts are empty; null ids match like others;
+    texts have any length; empty tables on either side give no rows. Ties: of
+    equally similar windows the first is given. Rows that repeat are one.
     An item is an id, null or not, and its words: texts of one id are searched
     and given each by itself, rows of the same id and words count once; other
     columns are not read.
@@ -126,6 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
             ).alias("pos", "shingle"))
         )
     known = materialize(fingerprint(sets, ["item_key", "n_words"]))
+    at = at if n_rows <= BROADCAST_ROWS else sieved(at, sets, n_rows)
     begun = materialize(starts(at.join(small(sets, n_rows), "shingle"), known, n_rows, k, similar))
     held = materialize(begun.select("row_key").distinct())
     n_held = held.count()
@@ -140,15 +184,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
     )
     window = materialize(window)
     place = ["row_key", "start", "n_words"]
-    seen = fingerprint(window, place)
-    cut = lambda df: df.withColumn("x", blocks(F.col("fp"), radius)).select("*", "x.block", "x.value").drop("x")
-    pairs = (
-        cut(seen)
-        .join(small(cut(known.select("item_key", "n_words", F.col("fp").alias("item_fp"), F.col("total").alias("item_total")).withColumnRenamed("item_fp", "fp")).withColumnRenamed("fp", "item_fp"), n_rows), ["n_words", "block", "value"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .groupBy(*place, "item_key")
-        .agg(F.max("total").alias("total"), F.max("item_total").alias("item_total"), F.max(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).alias("hamming"))
+    seen = materialize(fingerprint(window, place))
+    index = known.select("item_key", "n_words", F.col("fp").alias("item_fp"), F.col("total").alias("item_total"), probes(F.col("fp"), radius).alias("x"))
+    index = index.select("item_key", "n_words", "item_fp", "item_total", "x.block", "x.value")
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    met = (  # windows that read alike share a fingerprint, which is looked up once
+        seen.select("n_words", "fp").distinct()
+        .select("n_words", "fp", blocks(F.col("fp")).alias("x"))
+        .select("n_words", "fp", "x.block", "x.value")
+        .join(small(index, n_items * sum(math.comb(BLOCK, j) for bits in reach(radius) for j in range(bits + 1))), ["n_words", "block", "value"])
+        .where(apart <= radius)
+        .select("n_words", "fp", "item_key", "item_total", apart.alias("hamming"))
+        .distinct()
     )
+    pairs = seen.join(met, ["n_words", "fp"]).select(*place, "item_key", "total", "item_total", "hamming")
     shared = (
         window.join(pairs, place)
         .join(small(sets.select("item_key", "shingle"), n_rows), ["item_key", "shingle"])
@@ -163,7 +212,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows and columns of ``docs`` that leak no item."""
+    """The rows of ``docs`` that leak no item, with all columns, whatever their names.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables are handled
+    as in ``find_leaks``: a document without words leaks nothing and is kept.
+    """
     leaks = materialize(find_leaks(docs, benchmark, **how).select(F.col("row_key").alias("leak_key")).distinct())
     n = leaks.count()
     return docs.join(small(leaks, n), F.xxhash64(docs["doc_id"], docs["text"]) == leaks["leak_key"], "left_anti")
