@@ -56,6 +56,31 @@ def test_rows_without_own_ids(spark):
     assert op09_substrings.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_long_texts_that_repeat(spark, monkeypatch):
+    million = 1_000_000
+    docs = [(1, "x" * 20 * million), (2, "abcdefg" * 200_000 + "y" * 150 + "abcdefg" * 20), (3, "x" * 500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op09_substrings.dedup_substrings(df).collect()}
+    n = 1_400_000
+    assert got == {1: (20 * million, 20 * million - 1, 1), 2: (n + 290, n - 7 + 149 + 140, 2), 3: (500, 500, 1)}
+    rows = op09_substrings.anchors(df.withColumnRenamed("doc_id", "uid")).where("stop is null").count()
+    assert rows < 500  # not one for each window
+    monkeypatch.setattr(op09_substrings, "CHUNK", 700)
+    text = lambda r, m: "".join(r.choice("abc d") for _ in range(m))
+    rng = random.Random(8)
+    p = text(rng, 400)
+    docs = [(1, text(rng, 900) + p + "zz" * 600 + p + text(rng, 900)), (2, p + text(rng, 3000) + p[50:] + "zz" * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, op09_substrings.dedup_substrings(df).collect())) == brute(docs, 100)
+
+
+def test_lengths_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for length, k in ((400, 32), (32, 32), (10, 0)):
+        with pytest.raises(ValueError):
+            op09_substrings.dedup_substrings(df, length, k)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     rng = random.Random(9)
     vocab = [f"word{i}" for i in range(500)]
