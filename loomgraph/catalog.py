@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import graph, rank, split
-from loomgraph.plans import features, ranking, sql
+from loomgraph.operators import rank, split
+from loomgraph.plans import evaluation, features, ranking, sql
 from loomgraph.plans.ranking import plain_ranks as _rank_sql
 from loomgraph.sources.tables import KG, register, triples
 from loomgraph.streaming import windows
 
-WITH_KG = f"WITH RECURSIVE kg AS ({KG}) "
+WITH_KG = f"WITH RECURSIVE kg AS MATERIALIZED ({KG}) "
 
 
 def _plan(text_: str):
@@ -25,8 +25,8 @@ def _plan(text_: str):
 
 def _duck(text_: str) -> str:
     """Put ``kg`` before the plan's own common tables."""
-    t = text_.strip()
-    return WITH_KG.rstrip() + ", " + t[len("WITH "):] if t.startswith("WITH ") else WITH_KG + t
+    t = text_.strip().removeprefix("WITH RECURSIVE ").removeprefix("WITH ")
+    return WITH_KG.rstrip() + ", " + t if t != text_.strip() else WITH_KG + t
 
 
 QUERIES = {name: _plan(sql.spark_text(name)) for name in sql.PLANS}
@@ -34,6 +34,8 @@ ORACLES = {name: _duck(sql.duck_text(name)) for name in sql.PLANS}
 for _name, _text in (ranking.PLANS | features.PLANS).items():
     _here, _there = (_text, _text) if isinstance(_text, str) else _text
     QUERIES[_name], ORACLES[_name] = _plan(sql.dialect(_here, False)), _duck(sql.dialect(_there, True))
+QUERIES |= evaluation.QUERIES
+ORACLES |= {name: _duck(text_) for name, text_ in evaluation.ORACLES.items()}
 PARTS = "WITH parts AS (" + sql.SPLIT + ")"
 
 
@@ -47,8 +49,7 @@ def add(name: str, oracle: str | None = None):
     return keep
 
 
-def _parts(spark, sf):
-    return split.stratified(triples(spark, sf, "RETURNED").select("head", "tail"))
+_parts = evaluation.parts_of
 
 
 @add("rank_popularity_tail", _rank_sql("head", "tail"))
@@ -66,20 +67,6 @@ def _(spark, sf):
     return rank.mrr_hits(rank.popularity_ranks(_parts(spark, sf)))
 
 
-NEGATIVE = """, pos AS (SELECT head, tail FROM parts WHERE part = 'test'),
-pool AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY pick) - 1 AS i, count(*) OVER (PARTITION BY side) AS m FROM (SELECT DISTINCT 'h' AS side, head AS pick FROM pos UNION ALL SELECT DISTINCT 't', tail FROM pos) u),
-tries AS (SELECT head, tail, k, CASE WHEN ('0x' || substr(md5('42|' || head || '|' || tail || '|side'), 1, 8))::BIGINT % 2 = 0 THEN 'h' ELSE 't' END AS side, ('0x' || substr(md5('42|' || head || '|' || tail || '|' || k), 1, 8))::BIGINT AS d FROM pos CROSS JOIN range(1, 11) g(k)),
-cand AS (SELECT head, tail, k, CASE WHEN t.side = 'h' THEN pick ELSE head END AS nh, CASE WHEN t.side = 't' THEN pick ELSE tail END AS nt FROM tries t JOIN pool p ON t.side = p.side AND t.d % p.m = p.i),
-good AS (SELECT c.head, c.tail, nh, nt, row_number() OVER (PARTITION BY c.head, c.tail ORDER BY k) AS r FROM cand c WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.head = nh AND q.tail = nt))
-SELECT pos.head, pos.tail, coalesce(nh, pos.head) AS neg_head, coalesce(nt, pos.tail) AS neg_tail FROM pos LEFT JOIN good ON pos.head = good.head AND pos.tail = good.tail AND good.r = 1"""
-
-
-@add("neg_filtered", PARTS + NEGATIVE)
-def _(spark, sf):
-    parts = _parts(spark, sf)
-    return split.filtered_negatives(parts.where("part = 'test'"), parts)
-
-
 @add("split_undersample", "SELECT head, interaction, tail FROM kg ORDER BY md5('42|' || head || '|' || interaction || '|' || tail), head, interaction, tail LIMIT 500")
 def _(spark, sf):
     return split.undersample(triples(spark, sf), 500)
@@ -90,26 +77,6 @@ def _(spark, sf):
     return split.oversample(triples(spark, sf, "PART_BRAND"), 3)
 
 
-@add("components", "SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT head AS u, tail AS v FROM kg WHERE interaction IN ('NATION_REGION', 'SUPPLIER_NATION') UNION SELECT tail, head FROM kg WHERE interaction IN ('NATION_REGION', 'SUPPLIER_NATION')), w(node, reach) AS (SELECT u, u FROM e UNION SELECT w.node, e.v FROM w JOIN e ON w.reach = e.u) SELECT node, reach FROM w) x GROUP BY node")
-def _(spark, sf):
-    return graph.components(triples(spark, sf))
-
-
-@add("bfs_distance", f"WITH e AS ({sql.BOTH}), s AS ({sql.ANCHORS}), d1 AS (SELECT DISTINCT node AS a, v AS b FROM s JOIN e ON e.u = s.node), d2 AS (SELECT DISTINCT a, v AS b FROM d1 JOIN e ON e.u = d1.b) SELECT source, node, min(dist) AS dist FROM (SELECT node AS source, node, 0 AS dist FROM s UNION ALL SELECT a, b, 1 FROM d1 UNION ALL SELECT a, b, 2 FROM d2) x GROUP BY source, node")
-def _(spark, sf):
-    edges = triples(spark, sf, "CO_ORDER")
-    return graph.bfs(edges, spark.sql(sql.ANCHORS), 4)
-
-
-_step = lambda i: f"m{i} AS (SELECT source, node, sum(m) AS m FROM (SELECT source, e.v AS node, 0.85 * m / d.n AS m FROM m{i - 1} JOIN e ON e.u = node JOIN d ON d.u = e.u UNION ALL SELECT node, node, 0.15 FROM s) x GROUP BY source, node)"
-
-
-@add("ppr_3", f"WITH e AS ({sql.BOTH}), d AS (SELECT u, count(*) AS n FROM e GROUP BY u), s AS ({sql.ANCHORS}), m0 AS (SELECT node AS source, node, 1.0::DOUBLE AS m FROM s), {_step(1)}, {_step(2)}, {_step(3)} SELECT source, node, round(m, 6) AS mass FROM m3")
-def _(spark, sf):
-    edges = triples(spark, sf, "CO_ORDER")
-    return graph.page_rank(edges, spark.sql(sql.ANCHORS), rounds=30).withColumn("mass", F.round("mass", 6))
-
-
 @add("norm_name_parts", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (2+)')), '\s*\(\d*[+-]\)$', ''), '^\((?:r|s|e|z|\+|-)\)-', ''), '[^a-z0-9 ]', '', 'g')) AS name FROM part")
 def _(spark, sf):
     register(spark, sf)
@@ -169,7 +136,3 @@ def _(spark, sf):
     return rank.popularity_ranks(_parts(spark, sf), filtered=False)
 
 
-@add("component_histogram", "WITH c AS (SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT head AS u, tail AS v FROM kg WHERE interaction = 'NATION_REGION' UNION SELECT tail, head FROM kg WHERE interaction = 'NATION_REGION'), w(node, reach) AS (SELECT u, u FROM e UNION SELECT w.node, e.v FROM w JOIN e ON w.reach = e.u) SELECT node, reach FROM w) x GROUP BY node) SELECT size, count(*) AS components, size = max(size) OVER () AS largest FROM (SELECT count(*) AS size FROM c GROUP BY component) y GROUP BY size")
-def _(spark, sf):
-    sizes = graph.components(triples(spark, sf)).groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.groupBy("size").agg(F.count("*").alias("components")).withColumn("largest", F.col("size") == F.max("size").over(Window.partitionBy()))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.sinks import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -58,9 +60,104 @@ def bfs(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def page_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, rounds: int = 5) -> DataFrame:
-    """(source, node, mass) after ``rounds`` of r = alpha x + (1 - alpha) A D^-1 r from each source."""
+def pair_distance(edges: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
+    """(head, tail, dist) of ``pairs(head, tail)``: shortest path of at most ``hops`` edges, -1 beyond.
+
+    Both ends are searched halfway and meet in the middle, so what is held is
+    two half balls a node, not a whole ball a pair.
+    """
+    near = cut(bfs(edges, pairs.select(F.col("head").alias("node")).distinct(), hops - hops // 2))
+    far = cut(bfs(edges, pairs.select(F.col("tail").alias("node")).distinct(), hops // 2))
+    met = (
+        pairs.select("head", "tail").distinct()
+        .join(near.select(F.col("source").alias("head"), F.col("node").alias("mid"), F.col("dist").alias("d1")), "head")
+        .join(far.select(F.col("source").alias("tail"), F.col("node").alias("mid"), F.col("dist").alias("d2")), ["tail", "mid"])
+        .groupBy("head", "tail").agg(F.min(F.col("d1") + F.col("d2")).alias("dist"))
+    )
+    return pairs.select("head", "tail").join(met, ["head", "tail"], "left").fillna(-1, "dist")
+
+
+def common_neighbours(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(head, tail, cn, aa, ra) of ``anchors(head)`` and all nodes two steps away; sums are exact decimals of nine digits."""
+    both = undirected(edges)
+    deg = both.groupBy(F.col("u").alias("mid")).agg(F.count("*").alias("d")).where("d > 1").select(
+        "mid", F.round(1 / F.log("d"), 9).cast("decimal(18,9)").alias("x"), F.round(1 / F.col("d"), 9).cast("decimal(18,9)").alias("y")
+    )
+    first = anchors.select("head").distinct().join(both, F.col("head") == F.col("u")).select("head", F.col("v").alias("mid")).join(deg, "mid")
+    return (
+        first.join(both, F.col("mid") == F.col("u")).where("v <> head")
+        .groupBy("head", F.col("v").alias("tail")).agg(F.count("*").cast("double").alias("cn"), F.sum("x").cast("double").alias("aa"), F.sum("y").cast("double").alias("ra"))
+    )
+
+
+def walks(edges: DataFrame, anchors: DataFrame, length: int = 3) -> DataFrame:
+    """(head, tail, w1, w2, ...): walks of each length up to ``length`` from ``anchors(head)``, counted step by step."""
+    both = undirected(edges)
+    at = anchors.select("head", F.col("head").alias("tail"), F.lit(1).cast("long").alias("w")).distinct()
+    found = None
+    for n in range(1, length + 1):
+        at = cut(at.join(both, F.col("tail") == F.col("u")).groupBy("head", F.col("v").alias("tail")).agg(F.sum("w").cast("long").alias("w")))
+        rows = at.select("head", "tail", *[(F.col("w") if i == n else F.lit(0).cast("long")).alias(f"w{i}") for i in range(1, length + 1)])
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("head", "tail").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(1, length + 1)])
+
+
+def katz(counted: DataFrame, beta: float = 0.05) -> DataFrame:
+    """(head, tail, score) from ``walks``: beta w1 + beta^2 w2 + beta^3 w3."""
+    return counted.select("head", "tail", F.round(F.col("w1") * beta + F.col("w2") * (beta * beta) + F.col("w3") * (beta * beta * beta), 9).alias("score"))
+
+
+#: Directed edges that may be sent to each task of page_rank; beyond it the rounds are joins.
+BROADCAST_EDGES = 5_000_000
+
+
+def page_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, rounds: int = 30, broadcast_edges: int = BROADCAST_EDGES, pool: DataFrame | None = None) -> DataFrame:
+    """(source, node, mass) after ``rounds`` of r = alpha x + (1 - alpha) A D^-1 r from each ``sources(node)``.
+
+    With ``pool(node)`` only its nodes are given. A graph of at most
+    ``broadcast_edges`` directed edges is sent to the tasks as
+    arrays, and each task runs its sources in blocks; a larger one stays a table.
+    """
     both = cut(undirected(edges))
+    if both.count() > broadcast_edges:
+        mass = page_rank_by_joins(both, sources, alpha, rounds)
+        return mass if pool is None else mass.join(pool.select("node").distinct(), "node", "left_semi").select("source", "node", "mass")
+    wanted = None if pool is None else {r[0] for r in pool.select("node").distinct().join(both.select(F.col("u").alias("node")).distinct(), "node", "left_semi").collect()}
+    nodes = sorted({r[0] for r in both.select("u").distinct().collect()})
+    at = {v: i for i, v in enumerate(nodes)}
+    pairs = np.array([(at[r[0]], at[r[1]]) for r in both.collect()], dtype=np.int64).reshape(-1, 2)
+    pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
+    deg = np.bincount(pairs[:, 0], minlength=len(nodes))
+    into, start = np.unique(pairs[:, 1], return_index=True)
+    share = (1 - alpha) / deg[pairs[:, 0]] if len(pairs) else np.zeros(0)
+
+    names = pa.array(nodes, pa.string())
+    shown = np.array([wanted is None or v in wanted for v in nodes], dtype=bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.column(0).slice(i, 64) for i in range(0, b.num_rows, 64)):
+                own = part.to_pylist()
+                known = [(j, at[v]) for j, v in enumerate(own) if v in at]
+                x = np.zeros((len(nodes), len(own)))
+                for j, i in known:
+                    x[i, j] = 1
+                mass = x
+                for _ in range(rounds if known else 0):
+                    flow = np.zeros_like(x)
+                    flow[into] = np.add.reduceat(mass[pairs[:, 0]] * share[:, None], start, axis=0)
+                    mass = alpha * x + flow
+                i, j = np.nonzero(mass * shown[:, None])
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(j)), names.take(pa.array(i)), pa.array(mass[i, j])], ["source", "node", "mass"])
+                lone = [v for v in own if v not in at and wanted is None]  # without an edge, all that is left is what starts there
+                if lone:
+                    yield pa.RecordBatch.from_arrays([pa.array(lone), pa.array(lone), pa.array([alpha] * len(lone))], ["source", "node", "mass"])
+
+    return sources.select("node").distinct().repartition("node").mapInArrow(run, "source string, node string, mass double")
+
+
+def page_rank_by_joins(both: DataFrame, sources: DataFrame, alpha: float, rounds: int) -> DataFrame:
+    """The same over a table of directed edges ``both(u, v)``."""
     step = cut(both.join(both.groupBy("u").agg(F.count("*").alias("deg")), "u"))
     start = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("mass"))
     mass = start
@@ -69,3 +166,20 @@ def page_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, rounds:
         mass = flow.unionByName(start.withColumn("mass", F.lit(alpha))).groupBy("source", "node").agg(F.sum("mass").alias("mass"))
         mass = cut(mass) if i % 3 == 2 else mass
     return mass
+
+
+#: Upper ends of the size brackets, and their names.
+BRACKETS = ((1, "1 (isolated)"), (2, "2 (pairs)"), (5, "3-5"), (10, "6-10"), (100, "11-100"), (1000, "101-1000"), (10000, "1001-10000"))
+
+
+def component_sizes(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """(bracket, components, nodes, largest, density) of ``components``; density is of the whole graph."""
+    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+    name = F.lit(">10000")
+    for top, text in reversed(BRACKETS):
+        name = F.when(F.col("size") <= top, text).otherwise(name)
+    n, m = sizes.agg(F.sum("size")).first()[0] or 0, edges.count()
+    density = m / (n * (n - 1) / 2) if n > 1 else 0.0
+    return sizes.groupBy(name.alias("bracket")).agg(
+        F.count("*").alias("components"), F.sum("size").alias("nodes"), F.max("size").alias("largest"), F.lit(round(density, 9)).alias("density")
+    )

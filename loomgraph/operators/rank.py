@@ -39,6 +39,57 @@ def popularity_ranks(parts: DataFrame, anchor: str = "head", target: str = "tail
     return got.select("head", "tail", "greater", "ties", (F.col("greater") + F.col("ties") + 1).alias("rank"), (F.col("greater") + F.col("ties") / 2 + 1).alias("expected"))
 
 
+def score_ranks(parts: DataFrame, scores: DataFrame, pool: DataFrame | None = None, side: str = "tail", filtered: bool = True, default: float = 0.0) -> DataFrame:
+    """(head, tail, greater, ties, rank, expected) of the test rows by any ``scores(head, tail, score)``.
+
+    ``parts(head, tail, part)`` holds all splits. The pool of candidates is the
+    relation's own ends on ``side``, or the nodes of ``pool(node)``; candidates
+    without a score have ``default``. Filtered, other positives of the anchor are
+    no candidates. Test rows whose end is outside the pool are left out. One
+    window an anchor sorts its scored candidates; those without a score are only counted.
+    """
+    if side == "head":
+        swap = {"head": "tail", "tail": "head"}
+        flip = lambda df: df.select(*[F.col(c).alias(swap.get(c, c)) for c in df.columns])
+        got = score_ranks(flip(parts), flip(scores), pool, "tail", filtered, default)
+        return flip(got).select("head", "tail", "greater", "ties", "rank", "expected")
+    inside = (parts.select(F.col("tail").alias("node")) if pool is None else pool.select("node")).distinct().withColumnRenamed("node", "tail")
+    n_pool = inside.count()
+    scored = scores.select("head", "tail", F.col("score").cast("double").alias("score")).join(inside, "tail", "left_semi")
+    test = parts.where("part = 'test'").select("head", "tail").join(inside, "tail", "left_semi")
+    known = parts.select("head", "tail").distinct().join(inside, "tail", "left_semi")
+    mine = test.join(scored, ["head", "tail"], "left")
+    targets = mine.select("head", "tail", F.coalesce("score", F.lit(default)).alias("score"), F.lit(0).alias("c"), F.col("score").isNotNull().cast("int").alias("own"))
+    cand = scored.join(known, ["head", "tail"], "left_anti") if filtered else scored
+    rows = targets.unionByName(cand.select("head", "tail", "score", F.lit(1).alias("c"), F.lit(0).alias("own")))
+    by = Window.partitionBy("head")
+    counted = rows.select(
+        "*",
+        F.sum("c").over(by.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("ge"),
+        F.sum("c").over(Window.partitionBy("head", "score")).alias("same"),
+        F.sum("c").over(by).alias("all"),
+    ).where("c = 0")
+    if filtered:
+        counted = counted.join(known.groupBy("head").agg(F.count("*").alias("k")), "head").withColumn("silent", F.lit(n_pool) - F.col("k") - F.col("all"))
+        ge, same = F.col("ge"), F.col("same")
+    else:  # the row itself is no candidate
+        counted = counted.withColumn("silent", F.lit(n_pool) - F.col("all") - (1 - F.col("own")))
+        ge, same = F.col("ge") - F.col("own"), F.col("same") - F.col("own")
+    ge = ge + F.when(F.col("score") <= default, F.col("silent")).otherwise(0)
+    same = same + F.when(F.col("score") == default, F.col("silent")).otherwise(0)
+    return counted.select("head", "tail", (ge - same).alias("greater"), same.alias("ties")).select(
+        "*", (F.col("greater") + F.col("ties") + 1).alias("rank"), (F.col("greater") + F.col("ties") / 2 + 1).alias("expected")
+    )
+
+
+def summary(ranks: DataFrame, method: str) -> DataFrame:
+    """One row: n, MRR, hits at 10, median and mean rank of a method."""
+    return ranks.agg(
+        F.lit(method).alias("method"), F.count("*").alias("n"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"),
+        F.round(F.avg((F.col("rank") <= 10).cast("double")), 6).alias("hits_10"), F.median("rank").alias("median_rank"), F.round(F.avg("rank"), 4).alias("mean_rank"),
+    )
+
+
 def mrr_hits(ranks: DataFrame, ks=(1, 3, 10)) -> DataFrame:
     hits = [F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"hits_{k}") for k in ks]
     return ranks.agg(F.count("*").alias("n"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), F.round(F.avg(1 / F.col("expected")), 6).alias("mrr_expected"), *hits, F.max("rank").alias("worst"))

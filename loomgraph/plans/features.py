@@ -14,13 +14,12 @@ def on_cells(query: str) -> tuple[str, str]:
     return query.replace("CELLS", CELLS[0]), query.replace("CELLS", CELLS[1])
 
 
-#: An edge into every vector; the twin's text is as given and still lists the first 400.
-EDGES = ("edges AS (SELECT DISTINCT (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS u, vec_id AS v, vec_id % 3 AS rel FROM embeddings)",
-         "edges AS (SELECT DISTINCT (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS u, vec_id AS v, vec_id % 3 AS rel FROM embeddings WHERE vec_id < 400)")
+#: An edge into every vector.
+EDGES = "edges AS (SELECT DISTINCT (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS u, vec_id AS v, vec_id % 3 AS rel FROM embeddings)"
 
 
 def on_edges(query: str) -> tuple[str, str]:
-    return on_cells(query.replace("EDGES", EDGES[0]))[0], on_cells(query.replace("EDGES", EDGES[1]))[1]
+    return on_cells(query.replace("EDGES", EDGES))
 
 
 PLANS: dict[str, str | tuple[str, str]] = {
@@ -42,14 +41,14 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "mode_relation": f"SELECT ht, tt, interaction, n FROM (SELECT ht, tt, interaction, n, row_number() OVER (PARTITION BY ht, tt ORDER BY n DESC, interaction) AS r FROM (SELECT {HT} AS ht, {TT} AS tt, interaction, count(*) AS n FROM kg GROUP BY 1, 2, 3) a) b WHERE r = 1",
     # FLT-06 .. FLT-10: text filters, and a pattern that any row of a node may fit
     "text_filters": "SELECT p_brand, count(CASE WHEN instr(lower(p_name), 'green') > 0 THEN 1 END) AS has_word, count(CASE WHEN p_type LIKE 'STANDARD%' THEN 1 END) AS has_prefix, max(CASE WHEN {MATCH}(lower(p_type), 'brass|steel') THEN 1 ELSE 0 END) AS any_metal, count(CASE WHEN ' ' || lower(p_type) || ' ' LIKE '% tin %' THEN 1 END) AS in_group FROM part GROUP BY p_brand",
-    # GRA-11: training targets of an anchor vote for their relatives by shared suppliers
-    "relatives_score": P + f", attrs AS (SELECT head AS part, tail AS attr FROM kg WHERE interaction = 'PART_SUPPLIER'), s AS (SELECT attr, count(*) AS m FROM attrs GROUP BY attr HAVING count(*) BETWEEN 2 AND 500), rel AS (SELECT x.part AS a, y.part AS b, sum(1.0 / s.m) AS w FROM attrs x JOIN s ON x.attr = s.attr JOIN attrs y ON y.attr = s.attr WHERE x.part <> y.part GROUP BY x.part, y.part) SELECT p.head, rel.b AS tail, round(sum(rel.w), 6) AS score FROM parts p JOIN rel ON p.tail = rel.a WHERE p.part = 'train' GROUP BY p.head, rel.b",
-    # GRA-12, GRA-13: cosine votes at several exponents, as a grid for validation
+    # GRA-11: training targets of an anchor vote for their relatives by shared sizes
+    "relatives_score": P + f", attrs AS (SELECT head AS part, tail AS attr FROM kg WHERE interaction = 'PART_SIZE'), s AS (SELECT attr, count(*) AS m FROM attrs GROUP BY attr HAVING count(*) BETWEEN 2 AND 500), rel AS (SELECT x.part AS a, y.part AS b, sum(1.0 / s.m) AS w FROM attrs x JOIN s ON x.attr = s.attr JOIN attrs y ON y.attr = s.attr WHERE x.part <> y.part GROUP BY x.part, y.part) SELECT p.head, rel.b AS tail, round(sum(rel.w), 6) AS score FROM parts p JOIN rel ON p.tail = rel.a WHERE p.part = 'train' GROUP BY p.head, rel.b",
+    # GRA-12: cosine votes at several exponents
     "cf_votes_grid": P + f", n AS (SELECT tail, count(*) AS n FROM parts WHERE part = 'train' GROUP BY tail), co AS (SELECT a.tail AS a, b.tail AS b, count(*) AS c FROM parts a JOIN parts b ON a.head = b.head AND b.part = 'train' WHERE a.part = 'train' AND a.tail <> b.tail GROUP BY a.tail, b.tail) SELECT co.a, g.g AS exponent, round(sum(co.c / power(x.n * y.n * 1.0, g.g)), 6) AS mass FROM co JOIN n x ON x.tail = co.a JOIN n y ON y.tail = co.b CROSS JOIN (SELECT 0.25 AS g UNION ALL SELECT 0.5 UNION ALL SELECT 1.0) g GROUP BY co.a, g.g",
     # GRA-22: squared differences along edges, each end divided by the root of its degree
     "dirichlet_energy": on_edges("WITH EDGES, deg AS (SELECT n, count(*) AS d FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges) a GROUP BY n) SELECT e.rel, round(sum(power(a.x / sqrt(p.d * 1.0) - b.x / sqrt(q.d * 1.0), 2)), 4) AS energy FROM edges e JOIN CELLS a ON a.vec_id = e.u JOIN CELLS b ON b.vec_id = e.v AND a.i = b.i JOIN deg p ON p.n = e.u JOIN deg q ON q.n = e.v GROUP BY e.rel"),
     # GRA-23: mean cosine to relatives less mean cosine to drawn vectors
-    "relative_contrast": on_cells("WITH c AS (SELECT * FROM CELLS z), nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM c GROUP BY vec_id), pairs AS (SELECT vec_id AS u, 1 AS near, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS v FROM nrm UNION ALL SELECT vec_id, 0, DRAW[CAST(vec_id AS STRING) || '|' || k.k] % (SELECT count(*) FROM embeddings) FROM nrm CROSS JOIN {SERIES} k), s AS (SELECT p.u, p.v, p.near, sum(a.x * b.x) / (max(m.l) * max(o.l)) AS cs FROM pairs p JOIN c a ON a.vec_id = p.u JOIN c b ON b.vec_id = p.v AND a.i = b.i JOIN nrm m ON m.vec_id = p.u JOIN nrm o ON o.vec_id = p.v WHERE p.u <> p.v GROUP BY p.u, p.v, p.near) SELECT round(avg(CASE WHEN near = 1 THEN cs END) - avg(CASE WHEN near = 0 THEN cs END), 4) + 0.0 AS contrast FROM s"),
+    "relative_contrast": on_cells("WITH c AS (SELECT * FROM CELLS z), nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM c GROUP BY vec_id), pairs AS (SELECT vec_id AS u, 1 AS near, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS v FROM nrm UNION ALL SELECT vec_id, 0, DRAW[CAST(vec_id AS STRING) || '|' || k.k] % (SELECT count(*) FROM embeddings) FROM nrm CROSS JOIN {FIFTY} k), s AS (SELECT p.u, p.v, p.near, sum(a.x * b.x) / (max(m.l) * max(o.l)) AS cs FROM pairs p JOIN c a ON a.vec_id = p.u JOIN c b ON b.vec_id = p.v AND a.i = b.i JOIN nrm m ON m.vec_id = p.u JOIN nrm o ON o.vec_id = p.v WHERE p.u <> p.v GROUP BY p.u, p.v, p.near) SELECT round(avg(CASE WHEN near = 1 THEN cs END) - avg(CASE WHEN near = 0 THEN cs END), 4) + 0.0 AS contrast FROM s"),
     # LRN-04: mean of neighbours by relation, through weights of two bases; no root weight
     "rgcn_step": on_edges("WITH EDGES, basis AS (SELECT b.b, i.i, o.i AS o, sin(b.b * 3.0 + i.i * 0.7 + o.i * 1.3) AS w FROM (SELECT 0 AS b UNION ALL SELECT 1) b CROSS JOIN (SELECT DISTINCT i FROM CELLS z) i CROSS JOIN (SELECT DISTINCT i FROM CELLS z) o), m AS (SELECT e.v, e.rel, c.i, avg(c.x) AS x FROM edges e JOIN CELLS c ON c.vec_id = e.u GROUP BY e.v, e.rel, c.i) SELECT m.v AS node, s.o, round(sum(m.x * s.w * cos(m.rel * 2.0 + s.b)), 4) + 0.0 AS y FROM m JOIN basis s ON s.i = m.i GROUP BY m.v, s.o"),
     # LRN-06: product with the relation's vector, symmetric degree norm, mean of in, out and own direction
@@ -63,7 +62,7 @@ PLANS: dict[str, str | tuple[str, str]] = {
     # FUN-04 .. FUN-07, FUN-15, FUN-18: ids in text, tokens, tails of paths, digests, clean labels
     "scalar_text": ("SELECT p_partkey, array_join(regexp_extract_all(p_name || ' DB0' || (1000 + p_partkey) || ' DB09999', 'DB[0-9]{5}', 0), ';') AS ids, size(filter(split(trim(p_name), ' +'), x -> x <> '')) AS tokens, substring_index('http://x/a/' || p_partkey, '/', -1) AS tail, sha2(p_name, 256) AS digest, coalesce(replace(p_name, '\\t', ' '), '') AS label FROM part",
                     "SELECT p_partkey, array_to_string(regexp_extract_all(p_name || ' DB0' || (1000 + p_partkey) || ' DB09999', 'DB[0-9]{5}'), ';') AS ids, len(list_filter(regexp_split_to_array(trim(p_name), ' +'), lambda x: x <> '')) AS tokens, regexp_extract('http://x/a/' || p_partkey, '[^/]*$') AS tail, sha256(p_name) AS digest, coalesce(replace(p_name, chr(9), ' '), '') AS label FROM part"),
-    # FUN-09, FUN-13, SRC-13: fields read from lines of a log
+    # FUN-09, SRC-13: fields read from lines of a log
     "log_fields": "SELECT event_id, CAST(regexp_extract(line, 'run=([0-9]+)', 1) AS INT) AS run, CAST(regexp_extract(line, 'hits@10=([0-9.]+)', 1) AS DOUBLE) AS hits_10 FROM (SELECT event_id, 'TEST run=' || (event_id % 12) || ' mrr=0.5 hits@10=' || (event_id % 10) || '.25' AS line FROM events) x",
     # GRA-14, GRA-15: simple two-step chains of every anchor, as text
     "metapath_chains": f"WITH e AS ({BOTH}) SELECT a.u AS source, t.tail AS brand, count(*) AS chains, min(a.u || ' -- ' || a.v || ' -> ' || t.tail) AS first_chain FROM e a JOIN kg t ON t.head = a.v AND t.interaction = 'PART_BRAND' WHERE a.u <> a.v GROUP BY a.u, t.tail",

@@ -44,15 +44,6 @@ JOIN (SELECT 'Customer' AS s, 'linked to' AS p, 'Part' AS t, 'USES' AS rel UNION
     "kg_ablation_variants": "SELECT v.variant, count(*) AS edges FROM kg CROSS JOIN (SELECT 'full' AS variant, '' AS gone UNION ALL SELECT 'no_pairs', 'CO_ORDER' UNION ALL SELECT 'no_brand', 'PART_BRAND') v WHERE kg.interaction <> v.gone GROUP BY v.variant",
     # FLT-04, FLT-05, FUN-07
     "kg_target_label": f"SELECT label, count(*) AS n FROM (SELECT CASE WHEN lower(replace(interaction, ' ', '_')) IN ('returned') OR lower(replace(et, ' ', '_')) IN ('supplier-part', 'part-supplier') THEN 1 ELSE 0 END AS label FROM (SELECT interaction, {HT} || '-' || {TT} AS et FROM kg) a) b GROUP BY label",
-    # PRJ-05, PRJ-06, SET-05
-    "kg_ids": f"SELECT node, row_number() OVER (ORDER BY t, node) - 1 AS id, row_number() OVER (PARTITION BY t ORDER BY node) - 1 AS type_id FROM (SELECT node, {TYPE.format('node')} AS t FROM ({POOLED}) a) b",
-    # PRJ-07 .. PRJ-11, SET-08, LRN-07
-    "kg_message_graph": f"""
-SELECT kind, count(*) AS n, sum(h * 3 + r * 5 + t * 7) AS digest FROM (
-  WITH ids AS (SELECT node, row_number() OVER (ORDER BY {TYPE.format('node')}, node) - 1 AS id FROM ({POOLED}) a),
-  rels AS (SELECT interaction AS rel, dense_rank() OVER (ORDER BY interaction) - 1 AS r FROM (SELECT DISTINCT interaction FROM kg) d),
-  base AS (SELECT x.id AS h, rels.r AS r, y.id AS t FROM kg JOIN ids x ON kg.head = x.node JOIN ids y ON kg.tail = y.node JOIN rels ON kg.interaction = rels.rel)
-  SELECT 'fwd' AS kind, h, r, t FROM base UNION ALL SELECT 'rev', t, r + 8, h FROM base UNION ALL SELECT 'self', id, 16, id FROM ids) g GROUP BY kind""",
     # AGG-08, AGG-09, AGG-11
     "kg_degree_by_type": f"SELECT {TYPE.format('node')} AS t, count(*) AS nodes, max(d) AS top, sum(d) AS total FROM (SELECT node, count(*) AS d FROM (SELECT head AS node FROM kg UNION ALL SELECT tail FROM kg) a GROUP BY node) b GROUP BY 1",
     # JON-09, JON-10, SET-07
@@ -62,7 +53,7 @@ SELECT kind, count(*) AS n, sum(h * 3 + r * 5 + t * 7) AS digest FROM (
     # SET-11
     "kg_multiset_difference": "SELECT count(*) AS n FROM (SELECT head FROM kg WHERE interaction = 'BOUGHT' EXCEPT ALL SELECT head FROM kg WHERE interaction = 'RETURNED') x",
     # JON-16, FLT-11, FLT-12, GRA-10: shared attribute, weighted by its members, in groups of bounded size
-    "relatives_weight": "WITH a AS (SELECT head AS part, tail AS attr FROM kg WHERE interaction = 'PART_SUPPLIER'), s AS (SELECT attr, count(*) AS m FROM a GROUP BY attr HAVING count(*) BETWEEN 2 AND 500) SELECT x.part AS part, count(*) AS pairs, round(sum(1.0 / s.m), 6) AS weight FROM a x JOIN s ON x.attr = s.attr JOIN a y ON y.attr = s.attr WHERE x.part <> y.part GROUP BY x.part",
+    "relatives_weight": "WITH a AS (SELECT head AS part, tail AS attr FROM kg WHERE interaction = 'PART_SIZE'), s AS (SELECT attr, count(*) AS m FROM a GROUP BY attr HAVING count(*) BETWEEN 2 AND 500) SELECT x.part AS part, count(*) AS pairs, round(sum(1.0 / s.m), 6) AS weight FROM a x JOIN s ON x.attr = s.attr JOIN a y ON y.attr = s.attr WHERE x.part <> y.part GROUP BY x.part",
     # AGG-05, FUN-14
     "kg_collect_sets": "{SETS}",
     # AGG-12, STA-10, ORD-04
@@ -70,26 +61,18 @@ SELECT kind, count(*) AS n, sum(h * 3 + r * 5 + t * 7) AS digest FROM (
     "top_tails_per_head": "SELECT head, tail, r FROM (SELECT head, tail, row_number() OVER (PARTITION BY head ORDER BY c DESC, tail) AS r FROM (SELECT head, tail, count(*) OVER (PARTITION BY tail) AS c FROM kg WHERE interaction = 'RETURNED') a) b WHERE r <= 3",
     # ORD-06, ORD-07, ORD-11
     "rank_band": "SELECT tail, r FROM (SELECT tail, row_number() OVER (ORDER BY count(*) DESC NULLS LAST, tail) AS r FROM kg WHERE interaction = 'RETURNED' GROUP BY tail) a WHERE r BETWEEN 40 AND 100",
-    # SPL-01, SPL-02
+    # SPL-01
     "split_stratified": "WITH parts AS (" + SPLIT + ") SELECT head, tail, part FROM parts",
     # MET-14, STA-11, JON-08
     "strata_regime": "WITH parts AS (" + SPLIT + "), d AS (SELECT tail, count(*) AS n FROM parts WHERE part = 'train' GROUP BY tail), c AS (SELECT node, count(*) AS n FROM (SELECT head AS node FROM kg WHERE interaction <> 'RETURNED' UNION ALL SELECT tail FROM kg WHERE interaction <> 'RETURNED') x GROUP BY node) SELECT CASE WHEN d.n IS NOT NULL THEN 'warm' WHEN c.n IS NOT NULL THEN 'context-only' ELSE 'cold' END AS regime, count(*) AS n FROM parts p LEFT JOIN d ON p.tail = d.tail LEFT JOIN c ON p.tail = c.node WHERE p.part = 'test' GROUP BY 1",
     # AGG-10: clean context degree beside the published formula
     "degree_target_context": "WITH parts AS (" + SPLIT + ") SELECT x.node, sum(x.ctx) AS ctx_deg, sum(x.tgt) AS target_deg, 2 * sum(x.ctx) + sum(x.tgt) AS ctx_deg_compat FROM (SELECT head AS node, 1 AS ctx, 0 AS tgt FROM kg WHERE interaction <> 'RETURNED' UNION ALL SELECT tail, 1, 0 FROM kg WHERE interaction <> 'RETURNED' UNION ALL SELECT head, 0, 1 FROM parts WHERE part = 'train' UNION ALL SELECT tail, 0, 1 FROM parts WHERE part = 'train') x GROUP BY x.node",
-    # GRA-07, GRA-03
-    "cn_aa_ra": f"WITH e AS ({BOTH}), d AS (SELECT u AS k, count(*) AS n FROM e GROUP BY u), s AS ({ANCHORS}) SELECT a.u AS a, b.v AS b, count(*) AS cn, round(sum(1 / ln(d.n + 0.000001)), 6) AS aa, round(sum(1.0 / d.n), 6) AS ra FROM e a JOIN s ON a.u = s.node JOIN e b ON a.v = b.u JOIN d ON d.k = a.v WHERE a.u <> b.v AND d.n > 1 GROUP BY a.u, b.v",
-    # GRA-08
-    "katz3": f"WITH e AS ({BOTH}), s AS ({ANCHORS}), p1 AS (SELECT u AS a, v AS b, 1 AS w FROM e JOIN s ON e.u = s.node), p2 AS (SELECT a, v AS b, sum(w) AS w FROM p1 JOIN e ON p1.b = e.u GROUP BY a, v), p3 AS (SELECT a, v AS b, sum(w) AS w FROM p2 JOIN e ON p2.b = e.u GROUP BY a, v) SELECT a, b, round(sum(x), 6) AS katz FROM (SELECT a, b, 0.05 * w AS x FROM p1 UNION ALL SELECT a, b, 0.0025 * w FROM p2 UNION ALL SELECT a, b, 0.000125 * w FROM p3) z GROUP BY a, b",
     # GRA-12
     "cf_cosine": f"WITH r AS (SELECT head, tail FROM kg WHERE interaction = 'RETURNED'), n AS (SELECT tail, count(*) AS n FROM r GROUP BY tail), s AS ({ANCHORS}) SELECT a.tail AS a, b.tail AS b, round(count(*) / sqrt(max(x.n) * max(y.n) * 1.0), 6) AS sim FROM r a JOIN s ON a.tail = s.node JOIN r b ON a.head = b.head JOIN n x ON x.tail = a.tail JOIN n y ON y.tail = b.tail WHERE a.tail <> b.tail GROUP BY a.tail, b.tail",
     # GRA-14, GRA-15, JON-17, ORD-09: cheapest chain over hubs
     "metapath_best": "WITH d AS (SELECT node, count(*) AS n FROM (SELECT head AS node FROM kg UNION ALL SELECT tail FROM kg) a GROUP BY node), p AS (SELECT a.head AS c, a.tail AS m, b.tail AS s, n.tail AS nation, round(log10(x.n + 1) + log10(y.n + 1), 6) AS cost FROM kg a JOIN kg b ON a.tail = b.head AND b.interaction = 'PART_SUPPLIER' JOIN kg n ON b.tail = n.head AND n.interaction = 'SUPPLIER_NATION' JOIN d x ON x.node = a.tail JOIN d y ON y.node = b.tail WHERE a.interaction = 'RETURNED') SELECT c, nation, chain, cost FROM (SELECT c, nation, cost, c || ' -> ' || m || ' -> ' || s || ' -> ' || nation AS chain, row_number() OVER (PARTITION BY c, nation ORDER BY cost, m, s) AS r FROM p) q WHERE r = 1",
     # GRA-16 .. GRA-18, JON-18: evidence of a candidate against what is known, itself excluded
     "evidence_tiers": "WITH k AS (SELECT head, tail FROM kg WHERE interaction = 'RETURNED'), c AS (SELECT b.head, b.tail FROM kg b WHERE b.interaction = 'BOUGHT' AND NOT EXISTS (SELECT 1 FROM k WHERE k.head = b.head AND k.tail = b.tail)), e AS (" + BOTH + "), br AS (SELECT head, tail FROM kg WHERE interaction = 'PART_BRAND'), ppi AS (SELECT DISTINCT c.head, c.tail FROM c JOIN k ON c.head = k.head JOIN e ON e.u = c.tail AND e.v = k.tail), go AS (SELECT DISTINCT c.head, c.tail FROM c JOIN k ON c.head = k.head AND c.tail <> k.tail JOIN br x ON x.head = c.tail JOIN br y ON y.head = k.tail AND x.tail = y.tail) SELECT tier, count(*) AS n FROM (SELECT CASE WHEN p.head IS NOT NULL AND g.head IS NOT NULL THEN 1 WHEN p.head IS NOT NULL OR g.head IS NOT NULL THEN 2 ELSE 3 END AS tier FROM c LEFT JOIN ppi p ON p.head = c.head AND p.tail = c.tail LEFT JOIN go g ON g.head = c.head AND g.tail = c.tail) z GROUP BY tier",
-    # GRA-05: edges that a longer path replaces go
-    "dag_transitive_reduction": "WITH e AS (SELECT head AS c, tail AS p FROM kg WHERE interaction = 'NATION_REGION' UNION ALL SELECT DISTINCT tail, 'World::0' FROM kg WHERE interaction = 'NATION_REGION' UNION ALL SELECT head, 'World::0' FROM kg WHERE interaction = 'NATION_REGION') SELECT e.c, e.p FROM e LEFT JOIN (SELECT DISTINCT a.c, b.p FROM e a JOIN e b ON a.p = b.c) l ON e.c = l.c AND e.p = l.p WHERE l.c IS NULL",
-    # GRA-06, STA-12
-    "lca_distance": "WITH u AS (SELECT head AS n, head AS anc, 0 AS d FROM kg WHERE interaction = 'NATION_REGION' UNION ALL SELECT head, tail, 1 FROM kg WHERE interaction = 'NATION_REGION' UNION ALL SELECT head, 'World::0', 2 FROM kg WHERE interaction = 'NATION_REGION') SELECT a.n AS a, b.n AS b, min(a.d + b.d) AS dist FROM u a JOIN u b ON a.anc = b.anc AND a.n < b.n GROUP BY a.n, b.n",
     # AGG-13, AGG-14, STA-01
     "welch_moments": "SELECT round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round(power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)), 4) AS df FROM (SELECT avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS m1, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS m0, var_samp(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS v1, var_samp(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS v0, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n1, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS n0 FROM orders) x",
     # STA-02, JON-20, FLT-13
@@ -115,9 +98,13 @@ def _doubles(text: str) -> str:
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"CAST(\1 AS DOUBLE)", text)
 
 
-SERIES = "(SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14 UNION ALL SELECT 15 UNION ALL SELECT 16 UNION ALL SELECT 17 UNION ALL SELECT 18 UNION ALL SELECT 19 UNION ALL SELECT 20)"
+def series(n: int) -> tuple[str, str]:
+    """The numbers 1 to n as a table (k) in both dialects."""
+    return f"(SELECT explode(sequence(1, {n})) AS k)", f"(SELECT unnest(range(1, {n + 1}))::INT AS k)"
+
+
 #: What the two dialects call the same function.
-WORDS = ({"{bround}": "bround", "{MATCH}": "regexp", "{SERIES}": SERIES}, {"{bround}": "round_even", "{MATCH}": "regexp_matches", "{SERIES}": SERIES})
+WORDS = tuple({"{bround}": r, "{MATCH}": m, "{SERIES}": series(20)[i], "{FIFTY}": series(50)[i]} for i, (r, m) in enumerate((("bround", "regexp"), ("round_even", "regexp_matches"))))
 #: A number below 2**32 from the first digits of a digest: DRAW[text].
 DRAWS = (r"CAST(conv(substr(md5(\1), 1, 8), 16, 10) AS BIGINT)", r"CAST('0x' || substr(md5(\1), 1, 8) AS BIGINT)")
 

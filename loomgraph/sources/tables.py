@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources.sinks import shared_dir, write_triples
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents")
 
 RAW_NODE = T.StructType([T.StructField(c, T.StringType()) for c in ("uri", "entity_id", "label", "bioentity_type", "class_code", "namespace", "source")])
@@ -21,13 +25,15 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N'
 UNION ALL
 SELECT DISTINCT least(a, b), 'CO_ORDER', greatest(a, b) FROM (
   SELECT 'Part::' || x.l_partkey AS a, 'Part::' || y.l_partkey AS b
-  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_linenumber <= 2 AND y.l_linenumber <= 2) p
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey) p
 WHERE a <> b
 UNION ALL
-SELECT DISTINCT 'Part::' || l_partkey, 'PART_SUPPLIER', 'Supplier::' || l_suppkey FROM lineitem WHERE l_linenumber = 1
+SELECT DISTINCT 'Part::' || l_partkey, 'PART_SUPPLIER', 'Supplier::' || l_suppkey FROM lineitem
 UNION ALL
 SELECT 'Part::' || p_partkey, 'PART_BRAND', 'Brand::' || p_brand FROM part
 UNION ALL
+SELECT 'Part::' || p_partkey, 'PART_SIZE', 'Size::' || p_size FROM part
+UNION ALL
 SELECT 'Supplier::' || s_suppkey, 'SUPPLIER_NATION', 'Nation::' || s_nationkey FROM supplier
 UNION ALL
 SELECT 'Customer::' || c_custkey, 'CUST_NATION', 'Nation::' || c_nationkey FROM customer
@@ -36,11 +42,23 @@ SELECT 'Nation::' || n_nationkey, 'NATION_REGION', 'Region::' || n_regionkey FRO
 """
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Views of the tables and of the triples ``kg`` for SQL plans."""
+    """Views of the tables and of the triples ``kg`` for SQL plans.
+
+    The triples are written once a session and folder, by relation and sorted, so
+    plans read the relations and columns that they name.
+    """
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    spark.sql(KG).createOrReplaceTempView("kg")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/loom-kg-{uuid.uuid4().hex}"
+        write_triples(spark.sql(KG), path)
+        _written[key] = path
+    spark.read.schema("head string, tail string, interaction string").parquet(_written[key]).select("head", "interaction", "tail").createOrReplaceTempView("kg")
 
 
 def triples(spark: SparkSession, sf_dir: str, *relations: str) -> DataFrame:
