@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import connected_components, materialize
@@ -29,8 +29,10 @@ from loomgraph.llm.textkit import give_back, lean, shingle_hashes, signed, text_
 SHINGLE, SIMILAR = 4, Fraction(85, 100)
 #: Classes whose ids may be broadcast to fetch their texts; beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
-#: Sets and shingles that a task joins at once; a larger component is dealt by pairs of blocks.
-BLOCK_SETS, BLOCK_SHINGLES = 4_096, 6_000_000
+#: Sets and shingles that a task joins at once; a larger component is dealt by blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 6_000_000
+#: Of such a component so many sets meet all blocks first, those that stand for most others.
+LEADERS = 64
 STEP = 32
 
 
@@ -214,33 +216,6 @@ def join_sets(sets: list[np.ndarray], similar: Fraction) -> np.ndarray:
     return np.array([least.setdefault(int(r), i) for i, r in enumerate(roots)])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, those of one token together: adds its frequency and least class; lone tokens go."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        token = t.column("token").to_numpy()
-        if not len(token):
-            continue
-        cut = int(np.searchsorted(token, token[-1]))
-        held = t.slice(cut)
-        if cut:
-            yield from _runs(t.slice(0, cut))
-    if held is not None and held.num_rows:
-        yield from _runs(held)
-
-
-def _runs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    token, rep, n = (t.column(c).to_numpy() for c in ("token", "rep", "n"))
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.append(start, len(token)))
-    least, most = np.minimum.reduceat(rep, start), np.maximum.reduceat(rep, start)
-    keep = np.repeat(least != most, count)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(x[keep]) for x in (rep, n, token, np.repeat(count, count), np.repeat(least, count))], ["rep", "n", "token", "df", "least"]
-    )
-
-
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SIMILAR, broadcast_rows: int = BROADCAST_ROWS,
                        block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, dg), a row for each row of ``docs(doc_id, text)``.
@@ -249,8 +224,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
     the ``k``-word shingles, or the whole sequence if it is shorter. Null and
     empty texts have no set and link with nothing. component_id is the smallest
     doc_id that links reach. Rows without an id link with nothing unless a row
-    of equal text has one; rows that share an id are one node. Other columns are
-    not read.
+    of equal text has one; rows that share an id are one node. Texts have any
+    length and are read whole; a similarity equal to ``similar`` links, compared in
+    whole numbers. An empty table gives no rows. Other columns are not read.
     """
     sig = materialize(signatures(docs, k))
     classes = sig.where("n > 0 and doc_id is not null").groupBy("dg").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -284,12 +260,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
                 token = np.frombuffer(b"".join(c.column(2).to_pylist()), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(c.column(0).to_numpy(), n)), pa.array(np.repeat(n, n))], ["token", "rep", "n"])
 
-    shared = (
-        sets.mapInArrow(lean(flat), "token long, rep long, n long")
-        .repartition("token")
-        .sortWithinPartitions("token")
-        .mapInArrow(lean(_frequent), "rep long, n long, token long, df long, least long")
-    )
+    # a shingle that very many sets have is counted by partial sums, and its rows are joined back wherever they are
+    tokens = sets.mapInArrow(lean(flat), "token long, rep long, n long")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+    shared = tokens.join(counts.drop("most"), "token").select("rep", "n", "token", "df", "least")
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each class, sorted by frequency: the least class of each of its first shingles."""
@@ -315,26 +289,25 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
 
     candidates = shared.repartition("rep").sortWithinPartitions("rep", "df", "token").mapInArrow(lean(leading), "u long, v long")
     groups = materialize(connected_components(materialize(candidates.distinct())))
-    grouped = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
-    sizes = groups.join(sets.select("rep", "n"), F.col("rep") == F.col("node")).groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
-    )
-    dealt = (
-        grouped.join(sizes, "component")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("component", "rep", "shingles", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    members = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
+    sizes = materialize(
+        groups.join(sets.select("rep", "n"), F.col("rep") == F.col("node")).groupBy("component").agg(
+            F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
+        )
     )
+    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def within(t: pa.Table) -> pa.Table:
         rep = t.column("rep").to_numpy()
-        found = join_sets(_views(t.column("shingles")), similar) if len(rep) > 1 else np.zeros(1, np.int64)
+        found = join_sets(_views(t.column("shingles")), similar) if len(rep) > 1 else np.zeros(len(rep), np.int64)
         peer = rep[found]
         keep = rep != peer
         give_back()
         return pa.table({"u": rep[keep], "v": peer[keep]})
 
-    links = materialize(dealt.groupBy("component", "bi", "bj").applyInArrow(within, "u long, v long"))
+    links = materialize(dealt.select("component", "block", "rep", "shingles").groupBy("component", "block").applyInArrow(within, "u long, v long"))
+    if sizes.where("blocks > 1").count():
+        links = links.unionByName(between_blocks(dealt.where("blocks > 1"), links, within, block_sets, block_shingles))
     linked = connected_components(links)
     told = classes.select("dg", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("dg", F.coalesce("component", "rep").alias("component_id"))
     return sig.join(told, "dg", "left").select(
@@ -342,6 +315,42 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
     )
 
 
+def between_blocks(dealt: DataFrame, links: DataFrame, within, block_sets: int, block_shingles: int) -> DataFrame:
+    """(u, v): what links the blocks of ``dealt(component, blocks, block, rep, n, shingles)``, given the links inside them.
+
+    A group of near copies joins in two steps of linear size: the sets that stand
+    for most others meet what is not yet joined in each block. Then only sets
+    outside the largest group of a component can hold an unknown link. Those are
+    compared with every block, so nothing is missed; where sets share shingles
+    and do not link, that costs the square of their blocks.
+    """
+    own = materialize(dealt.join(links.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    roots = own.where("rep = root").select("component", "block", "rep", "shingles")
+    stand = own.groupBy("component", F.col("root").alias("rep")).agg(F.count("*").alias("size"))
+    first = Window.partitionBy("component").orderBy(F.desc("size"), "rep")  # names and sizes only
+    leaders = stand.withColumn("i", F.row_number().over(first)).where(F.col("i") <= LEADERS).select("component", "rep")
+    spread = (
+        roots.join(leaders, ["component", "rep"], "left_semi").drop("block")
+        .join(own.select("component", "blocks").distinct(), "component")
+        .select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "shingles")
+    )
+    met = materialize(roots.unionByName(spread).dropDuplicates(["component", "block", "rep"]).groupBy("component", "block").applyInArrow(within, "u long, v long"))
+    inside = own.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    label = connected_components(materialize(inside.unionByName(met)))
+    named = own.join(label.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    groups = named.groupBy("component", "label").agg(F.count("*").alias("size"))
+    most = groups.groupBy("component").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("hub"))
+    rest = materialize(named.join(most, "component").where("label <> hub").select("component", "blocks", "rep", "n", "shingles"))
+    parts = rest.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
+    sent = (
+        rest.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
+        .select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "part", "rep", "shingles")
+    )
+    every = own.join(parts, "component").select("component", "block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "rep", "shingles")
+    last = sent.unionByName(every).dropDuplicates(["component", "block", "part", "rep"]).groupBy("component", "block", "part").applyInArrow(within, "u long, v long")
+    return met.unionByName(materialize(last))
+
+
 def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
     """The sets of a binary column, without a copy of its bytes."""
     out = []
