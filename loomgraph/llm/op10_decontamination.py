@@ -13,8 +13,6 @@ that can reach the limit gets a fingerprint, whatever the order of its passages.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +23,6 @@ SHINGLE, SIMILAR = 5, 0.8
 RADIUS, BITS, BLOCK = 19, 64, 16
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Rows of the probed index that may be broadcast, each some 400 bytes in memory.
-BROADCAST_PROBES = 100_000
 #: Most words of the sieve, a bit map of the items' shingles ahead of that shuffle; 8 MB.
 SIEVE_WORDS = 1 << 20
 
@@ -43,8 +39,8 @@ def shingles_of(words: Column, k: int) -> Column:
     return F.when(n >= k, each).otherwise(whole)
 
 
-def small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
-    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _bit(shingle: Column, words: int) -> tuple[Column, Column]:
@@ -194,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar:
         seen.select("n_words", "fp").distinct()
         .select("n_words", "fp", blocks(F.col("fp")).alias("x"))
         .select("n_words", "fp", "x.block", "x.value")
-        .join(small(index, n_items * sum(math.comb(BLOCK, j) for bits in reach(radius) for j in range(bits + 1)), BROADCAST_PROBES), ["n_words", "block", "value"])
+        .join(index.hint("merge"), ["n_words", "block", "value"])  # its bytes look few, its rows are many: never broadcast
         .where(apart <= radius)
         .select("n_words", "fp", "item_key", "item_total", apart.alias("hamming"))
         .distinct()
