@@ -288,7 +288,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
     candidates = shared.repartition("rep").sortWithinPartitions("rep", "df", "token").mapInArrow(lean(leading), "u long, v long")
-    groups = materialize(connected_components(materialize(candidates.distinct())))
+    groups = materialize(connected_components(candidates))
     members = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
     sizes = materialize(
         groups.join(sets.select("rep", "n"), F.col("rep") == F.col("node")).groupBy("component").agg(
@@ -336,7 +336,7 @@ def between_blocks(dealt: DataFrame, links: DataFrame, within, block_sets: int,
     )
     met = materialize(roots.unionByName(spread).dropDuplicates(["component", "block", "rep"]).groupBy("component", "block").applyInArrow(within, "u long, v long"))
     inside = own.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
-    label = connected_components(materialize(inside.unionByName(met)))
+    label = connected_components(inside.unionByName(met))
     named = own.join(label.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     groups = named.groupBy("component", "label").agg(F.count("*").alias("size"))
     most = groups.groupBy("component").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("hub"))
