@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,10 @@ FIT_SAMPLE, FIT_BYTES = 100_000, 64_000_000
 FIT_NODE = 32
 #: How far from a split a vector goes to both sides, in deviations of the difference of two vectors at the limit.
 SPILL = 0.7
+#: Earlier leaves that a task looks at in one step.
+MET = 1_024
+#: Groups beyond one block that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
 
 
 class Forest:
@@ -95,38 +100,74 @@ class Forest:
 def as_matrix(raw: list[bytes], kind: str, d: int) -> np.ndarray:
     """Unit vectors in double precision; shorter ones are filled up with zeros."""
     out = np.zeros((len(raw), d))
-    for i, x in enumerate(raw):
-        v = np.frombuffer(x, dtype=kind).astype(np.float64)
-        v = v / np.abs(v).max()
-        out[i, : len(v)] = v / np.sqrt(v @ v)
+    size = np.array([len(x) for x in raw], dtype=np.int64) // np.dtype(kind).itemsize
+    for width in np.unique(size):
+        at = np.flatnonzero(size == width)
+        v = np.frombuffer(b"".join(raw[i] for i in at), dtype=kind).reshape(len(at), width).astype(np.float64)
+        v /= np.abs(v).max(axis=1, keepdims=True)
+        out[at, :width] = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
     return out
 
 
-def compare(pdf: pd.DataFrame, kind: str, d: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of one leaf and label: links of each class by members, and each class's least linked class."""
-    unit = as_matrix(pdf["raw"].tolist(), kind, d)
+def met_before(row: np.ndarray, leaf: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` vectors share one of the (row, leaf) given, at most MET leaves at a time."""
+    met = np.zeros((n, n), dtype=bool)
+    names, at, held = np.unique(leaf, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(held > 1)
+    for low in range(0, len(shared), MET):
+        place = np.full(len(names), -1)
+        place[shared[low : low + MET]] = np.arange(len(shared[low : low + MET]))
+        here = place[at] >= 0
+        m = np.zeros((n, min(MET, len(shared) - low)), dtype=np.float32)
+        m[row[here], place[at[here]]] = 1
+        met |= m @ m.T > 0
+    return met
+
+
+def compare(unit: np.ndarray, n: np.ndarray, cosine: float, block: np.ndarray | None, row: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one leaf and label: links of each class by members, and each class's least linked class.
+
+    With ``block`` only pairs of different blocks count, as those within one are
+    another task's. Pairs that share one of the earlier (row, leaf) are counted there.
+    """
     link = unit @ unit.T >= cosine
     np.fill_diagonal(link, False)
-    block = pdf["own"].to_numpy()
-    i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    if i != j:  # pairs within a block are another task's
+    if block is not None:
         link &= block[:, None] != block[None, :]
-    label = np.arange(len(pdf))
-    if link.any():
-        while True:  # least reachable class
-            least = np.minimum(label, np.where(link, label[None, :], len(pdf)).min(axis=1))
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
-    leaf = int(pdf["leaf"].iloc[0])
-    earlier: dict[int, int] = {}
-    where = [(r, earlier.setdefault(x, len(earlier))) for r, own in enumerate(pdf["leaves"]) for x in own if x < leaf]
-    if where:
-        m = np.zeros((len(pdf), len(earlier)), dtype=np.float32)
-        m[tuple(np.array(where).T)] = 1
-        link &= m @ m.T == 0
-    return link @ pdf["n"].to_numpy(), label
+    label = np.arange(len(unit))
+    if not link.any():
+        return np.zeros(len(unit), dtype=np.int64), label
+    while True:  # least reachable class
+        least = np.minimum(label, np.where(link, label[None, :], len(unit)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    if len(row):
+        link &= ~met_before(row, leaf, len(unit))
+    return link @ n, label
+
+
+def in_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of whole runs of rows that agree on ``keys``, and the runs' borders; the stream is sorted by those.
+
+    Besides one batch, only the run that goes on is held.
+    """
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        differs = np.zeros(max(0, b.num_rows - 1), dtype=bool)
+        for k in keys:
+            c = b.column(k)
+            differs |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        at = [0, *(np.flatnonzero(differs) + 1).tolist()]
+        held = b.slice(at[-1])
+        if len(at) > 1:
+            yield b.slice(0, at[-1]), at
+    if held is not None:
+        yield held, [0, held.num_rows]
 
 
 def dedup_embeddings(
@@ -184,25 +225,53 @@ def dedup_embeddings(
 
     classes_schema = f"label {labelled}, vkey binary, rep long, n long, raw binary"
     indexed = classes.mapInPandas(index, f"{classes_schema}, leaves array<long>")
-    indexed = indexed.withColumn("length", F.octet_length("raw")).withColumn("leaf", F.explode("leaves"))
-    group = ["leaf", "label", "length"]
-    placed = materialize(indexed)
-    counts = placed.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    group = ["leaf", "mark", "length"]
+    placed = materialize(  # a vector, once a leaf, with the leaves that it meets others in before
+        indexed.select("*", F.posexplode("leaves").alias("pos", "leaf"))
+        .withColumn("leaves", F.slice("leaves", F.lit(1), F.col("pos")))
+        .withColumn("length", F.octet_length("raw"))
+        .withColumn("mark", F.col("label").cast("string"))
+        .drop("pos")
+    )
+    over = materialize(placed.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1"))
+    over = F.broadcast(over) if over.count() <= BROADCAST_ROWS else over
     dealt = (
-        placed.join(counts, group)
+        placed.join(over, group, "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("vkey"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("bi", F.least("own", "other"))
         .withColumn("bj", F.greatest("own", "other"))
+        .drop("other", "blocks")
     )
+    task = [*group, "bi", "bj"]
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        links, least = compare(pdf, kind, d, cosine)
-        out = pdf[["label", "vkey", "rep"]].assign(links=links, peer=pdf["rep"].to_numpy()[least])
-        return out[(out["links"] > 0) | (out["peer"] != out["rep"])]
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(kind).itemsize
+        for b, at in in_runs(batches, task):
+            raw, before = b.column("raw").to_pylist(), b.column("leaves")
+            n, rep, own, bi, bj = (b.column(c).to_numpy() for c in ("n", "rep", "own", "bi", "bj"))
+            edge, value = before.offsets.to_numpy(), before.values.to_numpy()
+            rows, links, peers = [], [], []
+            for s, e in zip(at, at[1:]):
+                if e - s < 2:
+                    continue
+                row, leaf = np.repeat(np.arange(e - s), np.diff(edge[s : e + 1])), value[edge[s] : edge[e]]
+                unit = as_matrix(raw[s:e], kind, len(raw[s]) // size)
+                link, least = compare(unit, n[s:e], cosine, own[s:e] if bi[s] != bj[s] else None, row, leaf)
+                found = np.flatnonzero((link > 0) | (least != np.arange(e - s)))
+                rows.append(found + s)
+                links.append(link[found])
+                peers.append(rep[s:e][least[found]])
+            if rows:
+                take = np.concatenate(rows)
+                kept = [b.column(c).take(pa.array(take)) for c in ("label", "vkey", "rep")]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(np.concatenate(links)), pa.array(np.concatenate(peers))], ["label", "vkey", "rep", "links", "peer"]
+                )
 
     found = materialize(
-        dealt.groupBy(*group, "bi", "bj").applyInPandas(within, f"label {labelled}, vkey binary, rep long, links long, peer long")
+        dealt.repartition(*task).sortWithinPartitions(*task).mapInArrow(within, f"label {labelled}, vkey binary, rep long, links long, peer long")
     )
     components = connected_components(found.where("rep <> peer").select(F.col("rep").alias("u"), F.col("peer").alias("v")))
     links = found.groupBy("label", "vkey").agg(F.sum("links").alias("links"))
