@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ids import numbered
+
 
 def popularity_ranks(parts: DataFrame, anchor: str = "head", target: str = "tail", filtered: bool = True) -> DataFrame:
     """(head, tail, greater, ties, rank, expected) of the test rows of ``parts(head, tail, part)``.
@@ -113,3 +115,17 @@ def auprc(rows: DataFrame) -> DataFrame:
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     h = _by_score(rows).withColumn("precision", F.sum("tp").over(w) / F.sum("n").over(w))
     return h.agg(F.round(F.sum(F.col("tp") * F.col("precision")) / F.sum("tp"), 6).alias("auprc"))
+
+
+def first_novel(heads: DataFrame, known: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """(head, tail, s, place): of each head the first ``k`` tails by ``scores(tail, s)``, then name, that ``known(head, tail)`` lacks.
+
+    A head with m known tails finds them among the first m + k of all, so it is joined with those places only.
+    """
+    order = numbered(scores.withColumn("_d", -F.col("s")), "_d", "tail", name="at").select("tail", "s", "at")
+    mine = known.distinct().join(heads, "head", "left_semi")
+    many = mine.groupBy("head").agg(F.count("*").alias("m"))
+    need = heads.join(many, "head", "left").select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(0)) + (k - 1))).alias("at"))
+    w = Window.partitionBy("head").orderBy("at")
+    left = need.join(order, "at").join(mine, ["head", "tail"], "left_anti").withColumn("place", F.row_number().over(w))
+    return left.where(F.col("place") <= k).select("head", "tail", "s", "place")

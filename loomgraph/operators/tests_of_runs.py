@@ -64,3 +64,22 @@ def verdicts(compared: DataFrame, level: float = 0.05) -> DataFrame:
         F.when((F.col("role") != "secondary") & (F.col("p_holm") < level), F.when(F.col("delta") > 0, "better").otherwise("worse"))
         .when(F.col("p_equiv") < level, "equivalent").when(F.col("p_t").isNull(), "not testable").otherwise("undecided"),
     )
+
+
+def early_stop(points: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
+    """(run, best_epoch, best, stopped): the best value of ``points(run, epoch, value)`` up to the epoch where it stops, null if it doesn't.
+
+    A value is better if it exceeds the best before by more than ``min_delta``; the run stops at the first epoch
+    ``patience`` or more after the last better one. Null and NaN values are none. A run's epochs are held in one row.
+    """
+    good = points.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    runs = good.groupBy("run").agg(F.sort_array(F.collect_list(F.struct(F.col("epoch").cast("int").alias("epoch"), F.col("value").cast("double").alias("value")))).alias("x"))
+    start = F.struct(F.lit(None).cast("int").alias("epoch"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("int").alias("stopped"))
+
+    def step(at, x):
+        better = at["epoch"].isNull() | (x["value"] > at["value"] + min_delta)
+        over = ~better & (x["epoch"] - at["epoch"] >= patience)
+        new = F.struct(F.when(better, x["epoch"]).otherwise(at["epoch"]).alias("epoch"), F.when(better, x["value"]).otherwise(at["value"]).alias("value"), F.when(over, x["epoch"]).alias("stopped"))
+        return F.when(at["stopped"].isNotNull(), at).otherwise(new)
+
+    return runs.select("run", F.aggregate("x", start, step).alias("y")).select("run", F.col("y.epoch").alias("best_epoch"), F.col("y.value").alias("best"), F.col("y.stopped").alias("stopped"))
