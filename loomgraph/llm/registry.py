@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomgraph.llm import op01_mixing, op02_embeddings, op03_chat, op04_packing, op05_jaccard, op06_toxicity, op07_urls, op08_secrets, op09_substrings, op10_decontamination
+from loomgraph.llm import op01_mixing, op02_embeddings, op03_chat, op04_packing, op05_jaccard, op06_toxicity, op07_urls, op08_secrets, op09_substrings, op10_decontamination, op11_best_fit, op12_resampling, op13_alignment
 
 
 def queries() -> dict:
@@ -18,9 +18,12 @@ def queries() -> dict:
         "op8_secret_formats": op08_secrets.query,
         "op9_suffix_levels": op09_substrings.query,
         "op10_benchmark_leaks": op10_decontamination.query,
+        "op11_best_fit_rounds": op11_best_fit.query,
+        "op12_target_resampling": op12_resampling.query,
+        "op13_group_alignment": op13_alignment.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": op01_mixing.SQL, "op7_url_rules": op07_urls.SQL}
+    return {"op1_mix_sources": op01_mixing.SQL, "op7_url_rules": op07_urls.SQL, "op12_target_resampling": op12_resampling.SQL}
