@@ -13,6 +13,7 @@ documents that no gap can hold any more, as few as their tokens need.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.op02_embeddings import in_runs
 from loomgraph.llm.shared import discard, materialize
-from loomgraph.llm.textkit import lean
+from loomgraph.llm.textkit import SPACE, lean, text_chunks, word_hashes
 from loomgraph.llm.vocab import Chunks, tokenizer as load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,28 +36,98 @@ CAPACITY = 4_096
 END = 1
 #: Rows that a range aims at, and the greatest number of ranges; with more rows, ranges grow.
 RANGE_ROWS, RANGES = 4_000, 20_000
-#: Characters at which every tokenizer of words cuts a text, so chunks between them can be encoded alone.
-_GAP = re.compile("[ \n]+")
+#: How the tokenizer divides a lower-case ASCII word, and marks that it parts from a letter before them.
+_PARTS, _MARKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t\n\v\f\r a-z0-9]+"), ",.;:!?"
+#: Parts whose ids a worker remembers, from task to task; those that are encoded in one text; bytes of text that are handled at once.
+PARTS, TOGETHER, CHUNK = 1_000_000, 256, 4_000_000
 #: Kinds of rows in a sweep; gaps come before documents of their size.
 GAP, WAITS, PLACED = 0, 1, 2
 _SWEPT = "kind int, id long, size int, part int, rank long, sequence long"
 
 
+def parts_of(word: str) -> list[str]:
+    """Parts of a word, as white space in ASCII divides a text, that give the same ids alone as in it; they repeat more often than words do."""
+    if word.isascii():
+        return _PARTS.findall(word.lower())
+    body = word.rstrip(_MARKS)
+    return [body, word[len(body) :]] if body[-1:].isalpha() and len(body) < len(word) else [word]
+
+
+@functools.lru_cache(2)
+def known_words(name: str) -> Chunks:
+    """Ids of words by the tokenizer ``name``, as bytes; what a worker has learnt stays from task to task.
+
+    Parts of words that are one run of letters, digits or marks are encoded many at a time: the last id of each run ends a word.
+    """
+    tool = load(name, False)
+    ends = np.zeros(tool.get_vocab_size(), bool)
+    ends[[i for w, i in tool.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def encode(parts: list[str]) -> list[bytes]:
+        found = tool.encode_batch_fast([" ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        at = np.append(0, np.flatnonzero(ends[ids]) + 1).tolist()
+        if len(at) != len(parts) + 1:  # one of them was more than one run
+            return [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch_fast(parts, add_special_tokens=False)]
+        raw = ids.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(at, at[1:])]
+
+    def many(parts: list[str]) -> list[bytes]:
+        single = [p.isascii() or p.isalpha() for p in parts]
+        runs, others = ([p for p, one in zip(parts, single) if one is which] for which in (True, False))
+        alone = tool.encode_batch_fast(others, add_special_tokens=False)
+        a, b = iter(encode(runs) if runs else []), (np.array(e.ids, "<u4").tobytes() for e in alone)
+        return [next(a if one else b) for one in single]
+
+    known = Chunks(many, PARTS)
+
+    def make(words: list[str]) -> list[bytes]:
+        parts = [parts_of(w) for w in words]
+        ids = iter(known.of([p for own in parts for p in own]))
+        return [b"".join([next(ids) for _ in own]) for own in parts]
+
+    return Chunks(make)
+
+
+def ids_of_rows(buf: np.ndarray, offs: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows of some text one after the other, where each row's begin). Equal words of the rows are looked up once."""
+    hashes, starts, first = word_hashes(buf, offs)
+    if not len(hashes):
+        return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
+    stops = np.append(np.flatnonzero(SPACE[buf]), len(buf))
+    row = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
+    ends = np.minimum(stops[np.searchsorted(stops, starts)], offs[row + 1])
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    raw = buf.tobytes()
+    ids = known_words(name).of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+    n = np.array([len(x) // 4 for x in ids])
+    flat, begin, lengths = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n, n[which]
+    to = np.append(0, np.cumsum(lengths))
+    return flat[np.repeat(begin[which] - to[:-1], lengths) + np.arange(to[-1])], to[first]
+
+
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = True) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32[, ids]) of ``docs(doc_id, text)``; ids are little-endian 32-bit numbers.
 
     ``uid`` tells pieces apart, whatever their ids; it is only steady once the rows are written.
     """
     names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    end = np.array([END], "<u4").tobytes()
+
+    def texts(b: pa.RecordBatch) -> Iterator[bytes]:
+        for row, buf, offs in text_chunks(b.column(1), CHUNK):
+            ids, first = ids_of_rows(buf, offs, tokenizer)
+            for i in range(len(offs) - 1):
+                own = ids[first[i] : first[i + 1]]
+                if b"<|" in (raw := buf[offs[i] : offs[i + 1]].tobytes()):  # special tokens begin so, and are told by their case
+                    own = np.array(load(tokenizer, False).encode(raw.decode(), add_special_tokens=False).ids, "<u4")
+                yield own.tobytes() + end
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, uid = load(tokenizer, False), TaskContext.get().partitionId() << 36
-        known = Chunks(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch(chunks, add_special_tokens=False)])
-        end = np.array([END], "<u4").tobytes()
+        uid = TaskContext.get().partitionId() << 36
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = b"".join(known.of(c for c in _GAP.split(text.as_py() or "") if c)) + end
+            for doc, ids in zip(b.column(0).to_pylist(), texts(b)):
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     rows.append((uid, doc, n, at // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None))

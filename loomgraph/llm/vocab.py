@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterable
 
 #: Chunks that a task remembers, and the longest of them in characters.
 CACHED, CACHED_CHARS = 500_000, 64
@@ -38,21 +37,21 @@ def pieces(name: str):
 
 
 class Chunks(dict):
-    """What ``make`` gives for each of a list of chunks. Short chunks are remembered until too many are."""
+    """What ``make`` gives for each of a list of chunks. Short chunks are remembered until there are too many."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHED):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
-    def of(self, chunks: Iterable[str]) -> list:
+    def of(self, chunks: list[str]) -> list:
         """One value a chunk, in order; those not yet known are made together."""
-        chunks = list(chunks)
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        if not new:
-            return [self[c] for c in chunks]
+        got = list(map(self.get, chunks))
+        if None not in got:
+            return got
+        new = list(dict.fromkeys([c for c, v in zip(chunks, got) if v is None]))
         made = dict(zip(new, self.make(new)))
-        got = [made[c] if c in made else self[c] for c in chunks]
-        if len(self) + len(made) > CACHED:
+        got = [made[c] if v is None else v for c, v in zip(chunks, got)]
+        if len(self) + len(made) > self.most:
             self.clear()
         self.update((c, v) for c, v in made.items() if len(c) <= CACHED_CHARS)
         return got
