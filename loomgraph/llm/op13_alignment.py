@@ -25,19 +25,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import materialize
-from loomgraph.llm.textkit import lean
-from loomgraph.llm.vocab import Chunks, pieces, tokenizer
+from loomgraph.llm.textkit import SPACE, _powers, lean, mix, text_chunks
+from loomgraph.llm.vocab import CACHED, Chunks, pieces, tokenizer
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text that a block takes; a longer text is a block of its own.
-BLOCK = 16_000_000
+#: Bytes of text after which a block ends, rows that are read and bytes that are handled at once.
+BLOCK, ROWS, TEXT = 16_000_000, 200, 4_000_000
+#: New units that are encoded in one text; groups that a worker may know before it begins anew.
+TOGETHER, GROUPS = 256, 600_000
 DOC, GROUP, TWICE = 0, 1, 2
 _ENCODED = (
     "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
     "held array<int>, times array<int>, number int, key string, n long, a int, b int"
 )
-#: A space between two characters that are none: tokens of neither vocabulary reach over its beginning.
-_CUT = re.compile(r" (?=\S)(?<=\S )")
+#: Marks that units end before, where a letter stands before them.
+_MARKS = ",.;:!?"
+#: White space beyond ASCII, and what some take for it: texts with any are encoded whole.
+_HARD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -64,8 +68,9 @@ def bytes_of_b(name: str) -> list[bytes]:
 
 @functools.lru_cache(2)
 def may_cut(name: str) -> bool:
-    """Whether no piece of B holds a space after something else, so that texts can be encoded chunk by chunk."""
-    return not any(re.search(rb"[^ ] ", p) for p in bytes_of_b(name))
+    """Whether no piece of B reaches over a place where texts are cut: before a space, at a line end, before a mark after a letter."""
+    found = map(pieces(name).id_to_piece, range(pieces(name).get_piece_size()))
+    return not any("\n" in p or any(y == "▁" != x or (y in _MARKS and x.isalpha()) for x, y in zip(p, p[1:])) for p in found)
 
 
 def overlaps(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[int, int]]:
@@ -97,53 +102,166 @@ def ids_of(key: str) -> tuple[list[int], list[int]]:
 
 
 class Aligner:
-    """Groups of whole texts, put together from the groups of their chunks."""
+    """Groups of whole texts as numbers, put together from the groups of their units.
+
+    A text is cut into chunks at its single spaces, chunks into units at single
+    line ends and before marks that follow a letter: no token of either side
+    reaches over such a place, so a unit has the same tokens alone. Equal chunks
+    and units are looked up once; new units are encoded many at a time.
+    """
 
     def __init__(self, name_a: str, name_b: str):
         self.a, self.b = tokenizer(name_a, True), pieces(name_b)
         self.a_bytes, self.b_bytes = bytes_of_a(name_a), bytes_of_b(name_b)
-        self.chunks, self.cut = Chunks(self.make), may_cut(name_b)
-        self.links: dict[str, list[tuple[int, int]]] = {}
-
-    def make(self, chunks: list[str]) -> list[tuple | None]:
-        """(groups, A tokens, B tokens, links) of each chunk, or None where the bytes are not a space and the chunk."""
-        all_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.cut = may_cut(name_b)
+        self.chunks, self.units = Chunks(self._of_chunks), Chunks(self._of_units, 2 * CACHED)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the dictionary of groups, and what counts on its numbers."""
+        self.chunks.clear()
+        self.units.clear()
+        self.number, self.key = {}, []
+        self.n_a, self.n_b, self.links = [], [], []
+
+    def _numbers(self, keys: list[str]) -> bytes:
         out = []
-        for c, a, b in zip(chunks, all_a, self.b.encode(chunks, num_threads=1)):
-            raw = b" " + c.encode()
-            if raw != b"".join([self.a_bytes[x] for x in a]) or raw != b"".join([self.b_bytes[x] for x in b]):
-                out.append(None)
-                continue
-            keys = groups_of(a, b, self.a_bytes, self.b_bytes)
-            out.append((keys, len(a), len(b), sum(len(overlaps(*ids_of(k), self.a_bytes, self.b_bytes)) if "," in k else 1 for k in keys)))
+        for k in keys:
+            i = self.number.get(k)
+            if i is None:
+                i = self.number[k] = len(self.key)
+                self.key.append(k)
+                a, b = ids_of(k)
+                self.n_a.append(len(a))
+                self.n_b.append(len(b))
+                pairs = {x << 32 | y for x, y in overlaps(a, b, self.a_bytes, self.b_bytes)} if len(a) > 1 or len(b) > 1 else (a[0] << 32 | b[0],)
+                self.links.append(np.array(sorted(pairs), np.int64).tobytes())
+            out.append(i)
+        return np.array(out, np.int32).tobytes()
+
+    def _alone(self, text: str, space: bool) -> bytes | None:
+        """Of one text, after a space or, where B can be made to leave it out, after none; None where bytes differ."""
+        raw = (" " * space + text).encode()
+        a = self.a.encode(" " * space + text, add_special_tokens=False).ids
+        b = self.b.encode(text if space else "\n" + text)[0 if space else 2 :]
+        if raw != b"".join([self.a_bytes[x] for x in a]) or raw != b"".join([self.b_bytes[x] for x in b]):
+            return None
+        return self._numbers(groups_of(a, b, self.a_bytes, self.b_bytes))
+
+    def _together(self, units: list[str], space: bool) -> list[bytes | None]:
+        """Of units that neither begin nor end with white space: with a space before each, or parted by line ends."""
+        glue = " " if space else "\n"
+        text = glue.join(units)
+        a = np.array(self.a.encode(glue + text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(text if space else glue + text)[0 if space else 1 :], np.int64)
+        raw = (glue + text).encode()
+        if raw != b"".join([self.a_bytes[x] for x in a]) or raw != b"".join([self.b_bytes[x] for x in b]):
+            return [self._alone(u, space) for u in units]
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        at_a, at_b = (np.append(0, np.searchsorted(ends, both) + 1).tolist() for ends in (ends_a, ends_b))
+        ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        keys = [f"{','.join(ids_a[i:j])}|{','.join(ids_b[k:m])}" for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
+        sizes = np.cumsum([len(u.encode()) + 1 for u in units])
+        last = np.searchsorted(both, sizes)
+        if (last >= len(both)).any() or (both[last] != sizes).any():
+            return [self._alone(u, space) for u in units]
+        last = np.append(-1, last)
+        skip = 0 if space else 1  # the line end before each unit is a group of its own
+        return [self._numbers(keys[i + 1 + skip : j + 1]) for i, j in zip(last, last[1:])]
+
+    def _of_units(self, units: list[str]) -> list[bytes | None]:
+        made: dict[str, bytes | None] = {}
+        for space in (True, False):
+            own = [u for u in units if (u[0] == " ") is space]
+            bare = [u[1:] if space else u for u in own]
+            easy = [u for u in bare if u and not u[0].isspace() and not u[-1].isspace()]
+            for i in range(0, len(easy), TOGETHER):
+                part = easy[i : i + TOGETHER]
+                made.update((" " * space + u, got) for u, got in zip(part, self._together(part, space)))
+            made.update((u, self._alone(t, space)) for u, t in zip(own, bare) if u not in made)
+        return [made[u] for u in units]
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes | None]:
+        cut = [units_of(c) for c in chunks]
+        got = iter(self.units.of([u for own in cut for u in own]))
+        out = []
+        for own in cut:
+            found = [next(got) for _ in own]
+            out.append(None if None in found else b"".join(found))
         return out
 
-    def text(self, text: str | None) -> tuple[list[str], int, int, int]:
-        if not text:
-            return [], 0, 0, 0
-        found = self.chunks.of(_CUT.split(text) if self.cut else [text])
-        if None in found:  # bytes that differ within chunks may still agree as a whole
-            found = self.make([text])
-        if None in found:
-            return [], 0, 0, 0
-        keys = [k for f in found for k in f[0]]
-        return keys, sum(f[1] for f in found), sum(f[2] for f in found), sum(f[3] for f in found)
-
-    def twice(self, keys: Counter) -> dict[tuple[int, int], int]:
-        """Links that several of a document's groups hold, and how often too many they would count."""
-        seen, out = set(), Counter()
-        for k in keys:
-            got = self.links.get(k)
-            if got is None:
-                if len(self.links) > 500_000:
-                    self.links.clear()
-                got = self.links[k] = list(dict.fromkeys(overlaps(*ids_of(k), self.a_bytes, self.b_bytes)))
-            for pair in got:
-                if pair in seen:
-                    out[pair] += 1
+    def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The numbers of each text's groups, in order; none for a text without tokens."""
+        for _, buf, offs in text_chunks(column, TEXT):
+            raw = buf.tobytes()
+            hashes, starts, ends, first = chunk_hashes(buf, offs)
+            _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+            found = self.chunks.of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]) if self.cut else [None] * len(at)
+            bad = np.array([f is None for f in found], bool)
+            n = np.array([len(f or b"") // 4 for f in found], np.int64)
+            flat, begin = np.frombuffer(b"".join([f for f in found if f]), np.int32), np.cumsum(n) - n
+            hard = {int(np.searchsorted(offs, m.start(), side="right")) - 1 for m in _HARD.finditer(raw)}
+            for i in range(len(offs) - 1):
+                own = which[first[i] : first[i + 1]]
+                if not len(own):
+                    yield np.zeros(0, np.int32)
+                elif i in hard or bad[own].any():  # encoded whole: bytes that differ in a chunk may still agree in the text
+                    yield np.frombuffer(self._alone(raw[offs[i] : offs[i + 1]].decode(), True) or b"", np.int32)
                 else:
-                    seen.add(pair)
-        return out
+                    k = n[own]
+                    to = np.cumsum(k)
+                    yield flat[np.repeat(begin[own] - (to - k), k) + np.arange(to[-1])]
+
+
+def units_of(chunk: str) -> list[str]:
+    """Units of a chunk, the first with the space before it."""
+    lines = chunk.split("\n") if "\n" in chunk else [chunk]
+    if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        lines = [chunk]
+    out = []
+    for n, line in enumerate(lines):
+        if n:
+            out.append("\n")
+        body = line.rstrip(_MARKS)
+        part = body[-1:].isalpha() and len(body) < len(line)
+        out.append(" " * (not n) + (body if part else line))
+        if part:
+            out.append(line[len(body) :])
+    return out
+
+
+def chunk_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, first byte, byte after the last, and the first one of each row) of the chunks that a row's single spaces part."""
+    n = len(buf)
+    space = SPACE[buf]
+    single = buf == 32
+    single[1:] &= ~space[:-1]
+    single[:-1] &= ~space[1:]
+    edge = offs[(offs > 0) & (offs < n)]
+    single[edge] = False  # the first and the last byte of a row part nothing
+    single[edge - 1] = False
+    if n:
+        single[[0, n - 1]] = False
+    cuts = np.flatnonzero(single)
+    filled = offs[:-1][np.diff(offs) > 0]
+    starts = np.sort(np.concatenate([filled, cuts + 1]))
+    ends = np.sort(np.concatenate([offs[1:][np.diff(offs) > 0], cuts]))
+    first = np.searchsorted(starts, offs)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, first
+    r, inverse = _powers(n + 1)
+    with np.errstate(over="ignore"):
+        v = (buf.astype(np.uint64) + np.uint64(1)) * r[:n]
+        v[cuts] = 0
+        return mix(np.add.reduceat(v, starts) * inverse[starts]), starts, ends, first
+
+
+@functools.lru_cache(2)
+def aligner(name_a: str, name_b: str) -> Aligner:
+    """What a worker has learnt stays from task to task."""
+    return Aligner(name_a, name_b)
 
 
 def encode(docs: DataFrame, name_a: str = A, name_b: str = B, block: int = BLOCK, keep_groups: bool = False) -> DataFrame:
@@ -153,42 +271,62 @@ def encode(docs: DataFrame, name_a: str = A, name_b: str = B, block: int = BLOCK
     """
     names = [x.split()[0] for x in _ENCODED.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-    types = [kinds[x.split()[1]] for x in _ENCODED.split(", ")]
+    types = {x.split()[0]: kinds[x.split()[1]] for x in _ENCODED.split(", ")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, at = Aligner(name_a, name_b), TaskContext.get().partitionId() << 32
-        rows: list[dict] = []
-        numbers, n_docs, twice, size = {}, [], Counter(), 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal rows, numbers, n_docs, twice, size, at
-            rows += [{"kind": GROUP, "block": at, "number": i, "key": k, "n": n} for (k, i), n in zip(numbers.items(), n_docs)]
-            rows += [{"kind": TWICE, "block": at, "a": a, "b": b, "n": n} for (a, b), n in twice.items()]
-            made = pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types)], names)
-            rows, numbers, n_docs, twice, size, at = [], {}, [], Counter(), 0, at + 1
-            return made
+    def batch(rows: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[c], types[c]) if c in given else pa.nulls(rows, types[c]) for c in names], names)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                if rows and size + len(text or "") > block:
-                    yield flush()
-                keys, n_a, n_b, n_links = tool.text(text)
-                told = ";".join(keys)
-                times = Counter(keys)
-                held = np.array([numbers.setdefault(k, len(numbers)) for k in times], np.int32)
-                n_docs += [0] * (len(numbers) - len(n_docs))
-                for i in held.tolist():
-                    n_docs[i] += 1
-                twice.update(tool.twice(times))
-                rows.append({
-                    "kind": DOC, "block": at, "doc_id": doc, "n_a": n_a, "n_b": n_b, "n_groups": len(keys), "n_links": n_links,
-                    "groups": told if keep_groups or not keys else hashlib.sha256(told.encode()).hexdigest(),
-                    "held": held, "times": np.array(list(times.values()), np.int32),
-                })
-                size += len(text or "")
-        if rows:
-            yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, at = aligner(name_a, name_b), TaskContext.get().partitionId() << 32
+        ids: list = []
+        found: list[np.ndarray] = []
+        told: list[str] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, found, told, size, at
+            n, lengths = len(ids), np.array([len(f) for f in found])
+            groups = np.concatenate(found)
+            all_a, all_b = np.array(tool.n_a, np.int64), np.array(tool.n_b, np.int64)
+            edge = np.append(0, np.cumsum(lengths))
+            sums = [np.diff(np.append(0, np.cumsum(x[groups]))[edge]) for x in (all_a, all_b)]
+            # each document's different groups and how often it holds them, numbered within the block
+            own, number = np.unique(groups, return_inverse=True)
+            key, times = np.unique(np.repeat(np.arange(n), lengths) * max(1, len(own)) + number, return_counts=True)
+            doc, held = key // max(1, len(own)), (key % max(1, len(own))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(x.astype(np.int32))) for x in (held, times)]
+            yield batch(
+                n, kind=np.full(n, DOC), block=np.full(n, at), doc_id=ids, n_a=sums[0], n_b=sums[1], n_groups=lengths, n_links=sums[0] + sums[1] - lengths, groups=told, held=lists[0], times=lists[1]
+            )  # within a group no ends agree but the last, so it has a link for each token but one
+            n_docs = np.bincount(held, minlength=len(own))
+            yield batch(len(own), kind=np.full(len(own), GROUP), block=np.full(len(own), at), number=np.arange(len(own)), key=[tool.key[i] for i in own], n=n_docs)
+            # links that a document holds in several of its groups would count more than once
+            raw = [tool.links[i] for i in own]
+            many = np.array([len(x) // 8 for x in raw], np.int64)
+            pair, which = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
+            k = many[held]
+            to = np.cumsum(k)
+            rows = which[np.repeat((np.cumsum(many) - many)[held] - (to - k), k) + np.arange(to[-1] if len(to) else 0)]
+            single = np.unique(np.repeat(doc, k) * max(1, len(pair)) + rows) % max(1, len(pair))
+            more = np.bincount(rows, minlength=len(pair)) - np.bincount(single, minlength=len(pair))
+            over = np.flatnonzero(more)
+            yield batch(len(over), kind=np.full(len(over), TWICE), block=np.full(len(over), at), a=pair[over] >> 32, b=pair[over] & 0xFFFFFFFF, n=more[over])
+            ids, found, told, size, at = [], [], [], 0, at + 1
+            if len(tool.key) > GROUPS:
+                tool.forget()
+
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                if size > block or len(tool.key) > 2 * GROUPS:
+                    yield from flush()
+                size += b.column(1).nbytes
+                ids += b.column(0).to_pylist()
+                for got in tool.rows(b.column(1)):
+                    found.append(got)
+                    text = ";".join([tool.key[i] for i in got.tolist()])
+                    told.append(text if keep_groups or not text else hashlib.sha256(text.encode()).hexdigest())
+        if ids:
+            yield from flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _ENCODED)
 
