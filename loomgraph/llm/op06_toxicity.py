@@ -1,9 +1,10 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
-Tokens are the words of a text, known by their five-byte parts. A part's weight
-is its log-odds between toxic and clean documents under an informative Dirichlet
-prior; a word has the weight of its strongest part, or costs a little. All
-maximal scoring segments come from one scan, extreme-value statistics of clean
+Tokens are runs of letters and digits. A token's weight is its log-odds between
+toxic and clean documents under an informative Dirichlet prior, drawn back
+towards zero by its standard deviation: what was seen too rarely to tell weighs
+nothing, for a toxic token as for a clean one. Tokens without a weight cost a
+little. All maximal scoring segments come from one scan, extreme-value statistics of clean
 documents turn them into surprise beyond chance, and a logistic curve into a score.
 """
 
@@ -19,37 +20,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import discard, materialize
-from loomgraph.llm.textkit import LOWER, SPACE, lean, text_chunks
+from loomgraph.llm.textkit import lean, text_chunks, word_hashes
 
 #: The classifier is fitted on at most so many labelled rows, taken by a hash of the id.
 FIT_ROWS = 20_000
-#: Pseudo-documents of the prior; the least certainty and log-odds of a part that is kept; the greatest weight; what a word between costs.
-PRIOR, CERTAIN, STRONG, CAP, GAP = 20.0, 4.0, 2.5, 8.0, 0.1
+#: Pseudo-documents of the prior for each document; the least weight that is told from none, and the greatest; the least and the greatest cost of a token between.
+PRIOR, LEAST, CAP, GAP, STEEP = 0.02, 0.5, 8.0, 0.1, 1.0
 LIMIT = 0.3
-_BITS = 22
+#: ASCII letters and digits, and whatever is beyond ASCII, belong to tokens.
+PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], dtype=np.uint8)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
-def parts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(five bytes as a number at each place, whether no word ends inside, word number at each place).
-
-    Rows get a space before each; words of a row are numbered on through the chunk.
-    """
-    b = np.append(np.insert(LOWER[buf], offs[:-1], 32), np.full(5, 32, np.uint8))
-    space = SPACE[b]
-    b[space] = 32
-    wide = b.astype(np.uint64)
-    n = len(b) - 4
-    key = wide[:n]
-    for j in range(1, 5):
-        key = (key << np.uint64(8)) | wide[j : n + j]
-    inside = space[1 : n + 1] | space[2 : n + 2] | space[3 : n + 3]
-    word = np.cumsum(space[:-1] & ~space[1:])  # a part that begins at the space before a word is that word's
-    return key, ~inside, word[:n]
+def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of each token, first token of each row and the total); A-Z count as a-z."""
+    hashes, _, first = word_hashes(PLAIN[buf], offs)
+    return hashes, first
 
 
 @dataclass
@@ -60,53 +45,45 @@ class Model:
     k: float = 0.1
     curve: tuple[float, float, float] = (-4.0, 0.0, 0.0)
 
-    def table(self) -> np.ndarray:
-        t = np.zeros(1 << _BITS, dtype=bool)
-        t[_slot(self.keys)] = True
-        return t
-
-    def hits(self, buf: np.ndarray, offs: np.ndarray, table: np.ndarray):
-        """(row, word in its row, weight) of each word with a known part, and the words of each row."""
-        key, good, word = parts(buf, offs)
-        at = offs[:-1] + np.arange(len(offs) - 1)  # where a row's own space is
-        edge = np.append(at, len(key) - 1)
-        before = word[at] - (1 - SPACE[np.append(buf, 32)[offs[:-1]]])  # number of the last word before the row
-        counts = np.diff(np.append(before, word[-1] if len(word) else 0))
-        pos = np.flatnonzero(table[_slot(key)] & good)
-        if not len(pos) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), counts
-        i = np.minimum(np.searchsorted(self.keys, key[pos]), len(self.keys) - 1)
-        pos, i = pos[self.keys[i] == key[pos]], i[self.keys[i] == key[pos]]
-        w, first = np.unique(word[pos], return_index=True)
-        weight = np.maximum.reduceat(self.weights[i], first) if len(first) else np.zeros(0)
-        row = np.searchsorted(edge, pos[first], side="right") - 1
-        return row, w - before[row] - 1, weight, counts
-
-    def features(self, place: np.ndarray, weight: np.ndarray, n: int) -> tuple[float, float]:
+    def hits(self, buf: np.ndarray, offs: np.ndarray):
+        """(row, token in its row, weight, cost of the tokens before it up to the hit before) of each token that tells toxic texts; tokens and cost of each row."""
+        key, first = tokens(buf, offs)
+        counts = np.diff(first)
+        if not len(key) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), counts, counts * GAP
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        weight = np.where(self.keys[i] == key, self.weights[i], 0.0)
+        pos = np.flatnonzero(weight > 0)
+        paid = np.append(0, np.cumsum(np.where(weight > 0, 0, np.clip(-weight, GAP, STEEP))))
+        row = np.searchsorted(first, pos, side="right") - 1
+        return row, pos - first[row], weight[pos], np.diff(paid[pos], prepend=0.0), counts, np.diff(paid[first])
+
+    def features(self, place: np.ndarray, weight: np.ndarray, cost: np.ndarray, n: int) -> tuple[float, float]:
         """Surprise of the best passage beyond chance, and the sum over all significant ones."""
-        beyond = [self.rate * s - math.log(self.k * max(n, 1)) for _, _, s in segments(place, weight)]
+        beyond = [self.rate * s - math.log(self.k * max(n, 1)) for _, _, s in segments(place, weight, cost)]
         good = [x for x in beyond if x > 0]
         return max(good, default=0.0), sum(good)
 
     def score(self, best: float, total: float) -> float:
-        z = self.curve[0] + self.curve[1] * best + self.curve[2] * math.log1p(total)
+        z = self.curve[0] + self.curve[1] * math.log1p(best) + self.curve[2] * math.log1p(total)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def segments(place: np.ndarray, weight: np.ndarray, gap: float = GAP) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score) in one pass.
+def segments(place: np.ndarray, weight: np.ndarray, cost: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first token, last token, score) in one pass.
 
-    ``place`` are the numbers of the words with a positive weight, in order; each
-    word between costs ``gap``. The stack holds candidates with the sums before
-    and after them; a new one joins those that it cannot be parted from.
+    ``place`` are the numbers of the tokens with a positive weight, in order;
+    ``cost`` is what those between one and the one before take off. The stack
+    holds candidates with the sums before and after them; a new one joins those
+    that it cannot be parted from.
     """
     out: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    total, last = 0.0, -1
-    for p, w in zip(place.tolist(), weight.tolist()):
-        total -= gap * (p - last - 1)
-        first, left = p, total
+    total = 0.0
+    for last, w, c in zip(place.tolist(), weight.tolist(), cost.tolist()):
+        total -= c
+        first, left = last, total
         total += w
-        last, right = p, total
+        right = total
         at = len(out) - 1
         while True:
             while at >= 0 and out[at][2] >= left:
@@ -128,26 +105,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         toxic = b.column(1).to_numpy(zero_copy_only=False)
         for at, buf, offs in text_chunks(b.column(0)):
-            key, good, _ = parts(buf, offs)
-            edge = np.append(offs[:-1] + np.arange(len(offs) - 1), len(key))
+            key, first = tokens(buf, offs)
             found: tuple[list, list] = ([], [])
             for r in range(len(offs) - 1):
-                found[int(toxic[at + r] == 1)].append(np.unique(key[edge[r] : edge[r + 1]][good[edge[r] : edge[r + 1]]]))
+                found[int(toxic[at + r] == 1)].append(np.unique(key[first[r] : first[r + 1]]))
             for y in (0, 1):
                 if found[y]:
                     k, n = np.unique(np.concatenate(found[y]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), y)), pa.array(n)], ["part", "y", "n"])
 
 
+def weigh(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, weights) of ``rows(text, toxic)``; without rows of both classes there are none."""
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    seen = rows.select("text", "toxic").mapInArrow(lean(_count), "part long, y long, n long")
+    per = seen.groupBy("part").agg(F.sum(F.col("n") * F.col("y")).alias("c1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("c0"))
+    prior, pseudo = (F.col("c1") + F.col("c0")) * F.lit(PRIOR), PRIOR * (n1 + n0)
+    odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + pseudo + 0.5) - F.col(c) - prior))  # a token may be in every document
+    weight, deviation = odds("c1", n1) - odds("c0", n0), F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))
+    drawn = F.signum(weight) * (F.abs(weight) - deviation)
+    best = per.where(F.abs(weight) > deviation + LEAST).select("part", drawn.alias("w")).toArrow()
+    keys = best["part"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.minimum(best["w"].to_numpy(), CAP)[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from ``labels(doc_id, toxic)``, without the held-out rows.
 
-    Two thirds of the rows give the weights, one third the curve. Counts of the
-    parts that tell toxic from clean and two numbers a document come to the
-    driver, both bounded by the texts of ``fit_rows`` documents; the chosen
-    labels, bounded by ``fit_rows``, are broadcast. An id with several label rows
-    is toxic if one of them says so; null ids and labels are left out. Without
-    rows of both classes, as in empty tables, every text scores alike.
+    Four fifths of the rows give the weights, the others the curve. The weights
+    that are not zero and two numbers a document come to the driver, both
+    bounded by the texts of ``fit_rows`` documents; the chosen labels, bounded by
+    ``fit_rows``, are broadcast. An id with several label rows is toxic if one of them says so; null
+    ids and labels are left out. Without rows of both classes, as in empty
+    tables, every text scores alike.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -157,67 +151,61 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     n = known.count()
     share = min(1.0, 0.95 * fit_rows / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select(
-        "text", "toxic", (F.crc32(F.col("k").cast("string").cast("binary")) % 4 == 3).alias("judge")
+    rows = materialize(
+        docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select(
+            "text", "toxic", (F.pmod(F.xxhash64("k", F.lit(5)), F.lit(5)) == 0).alias("judge")
+        )
     )
-    sizes = {r[0]: r[1] for r in rows.where("not judge").groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
     model = Model()
-    if not n1 or not n0:
+    model.keys, model.weights = weigh(rows.where("not judge"))
+    if not len(model.keys):
+        discard(rows)
         return model
-    seen = rows.where("not judge").select("text", "toxic").mapInArrow(lean(_count), "part long, y long, n long")
-    per = seen.groupBy("part").agg(F.sum(F.col("n") * F.col("y")).alias("c1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("c0"))
-    prior = (F.col("c1") + F.col("c0")) * F.lit(PRIOR / (n1 + n0))
-    odds = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + PRIOR + 0.5) - F.col(c) - prior))  # a part may be in every document
-    weight = odds("c1", n1) - odds("c0", n0)
-    scored = per.where("c1 >= 4").select("part", weight.alias("w"), (weight / F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))).alias("z"))
-    best = scored.where(F.col("z") >= CERTAIN).where(F.col("w") >= STRONG).collect()
-    keys = np.array([r.part for r in best], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model.keys, model.weights = keys[order], np.minimum(np.array([r.w for r in best]), CAP)[order]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
         for b in batches:
             toxic = b.column(1).to_pylist()
             for at, buf, offs in text_chunks(b.column(0)):
-                row, place, w, counts = model.hits(buf, offs, table)
+                row, place, w, cost, counts, loss = model.hits(buf, offs)
                 lo = np.searchsorted(row, np.arange(len(offs)))
-                every = [segments(place[lo[r] : lo[r + 1]], w[lo[r] : lo[r + 1]]) for r in range(len(offs) - 1)]
+                every = [segments(place[lo[r] : lo[r + 1]], w[lo[r] : lo[r + 1]], cost[lo[r] : lo[r + 1]]) for r in range(len(offs) - 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(toxic[at + r] == 1) for r in range(len(every))], pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array([lo[r + 1] - lo[r] for r in range(len(every))], pa.int64()),
                         pa.array([float(w[lo[r] : lo[r + 1]].sum()) for r in range(len(every))], pa.float64()),
+                        pa.array(loss, pa.float64()),
                         pa.array([[s for _, _, s in x] for x in every], pa.list_(pa.float64())),
                     ],
-                    ["y", "words", "hits", "weight", "scores"],
+                    ["y", "words", "hits", "weight", "loss", "scores"],
                 )
 
-    judged = materialize(rows.where("judge").select("text", "toxic").mapInArrow(lean(look), "y long, words long, hits long, weight double, scores array<double>"))
+    judged = materialize(rows.where("judge").select("text", "toxic").mapInArrow(lean(look), "y long, words long, hits long, weight double, loss double, scores array<double>"))
     calibrate(model, judged)
     discard(judged)
+    discard(rows)
     return model
 
 
 def calibrate(model: Model, judged: DataFrame) -> None:
     """The extreme-value rate and scale from clean documents, then the logistic curve from all.
 
-    ``judged(y, words, hits, weight, scores)`` has a row a document; sums and
+    ``judged(y, words, hits, weight, loss, scores)`` has a row a document; sums and
     means of it, and then two numbers a document, come to the driver.
     """
     top = F.when(F.col("words") > 0, F.coalesce(F.array_max("scores"), F.lit(0.0)))
     clean = judged.where("y = 0").agg(
-        F.sum("words").alias("words"), F.sum("hits").alias("hits"), F.sum("weight").alias("weight"), F.avg(top).alias("top"), F.avg(F.when(F.col("words") > 0, F.col("words"))).alias("n")
+        F.sum("words").alias("words"), F.sum("hits").alias("hits"), F.sum("weight").alias("weight"), F.sum("loss").alias("loss"), F.avg(top).alias("top"), F.avg(F.when(F.col("words") > 0, F.col("words"))).alias("n")
     ).first()
     words = (clean.words or 0) + 1000
     hits, weight = (clean.hits or 0) + 1.0, (clean.weight or 0.0) + 3.0
     p, mean = hits / words, weight / hits
+    gap = max(GAP, (clean.loss or 0.0) / max(1.0, words - hits))
     lo, hi = 1e-6, 50.0
     for _ in range(80):  # the rate at which a random walk of such steps has expectation 1
         mid = (lo + hi) / 2
-        grown = p * math.exp(min(700.0, mid * mean)) + (1 - p) * math.exp(-mid * GAP)
+        grown = p * math.exp(min(700.0, mid * mean)) + (1 - p) * math.exp(-mid * gap)
         lo, hi = (mid, hi) if grown < 1 else (lo, mid)
     model.rate = min(max(lo, 0.2), 5.0)
     if clean.top is not None:
@@ -228,9 +216,9 @@ def calibrate(model: Model, judged: DataFrame) -> None:
     ).collect()
     t = np.array([r.y for r in seen], dtype=float)
     if len(set(t.tolist())) < 2:
-        model.curve = (-3.0, 0.5, 0.5)
+        model.curve = (-3.0, 1.0, 0.5)
         return
-    a, beta = np.array([(1.0, r.best, math.log1p(r.total)) for r in seen]), np.zeros(3)
+    a, beta = np.array([(1.0, math.log1p(r.best), math.log1p(r.total)) for r in seen]), np.zeros(3)
     for _ in range(50):  # Newton with a small ridge
         q = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve((a * (q * (1 - q) + 1e-9)[:, None]).T @ a + 0.05 * np.eye(3), a.T @ (t - q) - 0.05 * beta)
@@ -240,7 +228,7 @@ def calibrate(model: Model, judged: DataFrame) -> None:
 
 
 def score_documents(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
-    """(doc_id, score, predicted), with ``passages`` also the significant ones as (first word, last word, surprise).
+    """(doc_id, score, predicted), with ``passages`` also the significant ones as (first token, last token, surprise).
 
     Null or empty texts score what no evidence scores; long texts are read whole.
     Repeated rows and null ids are scored row by row, an empty table gives none;
@@ -249,20 +237,19 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = False) -> Da
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
         for b in batches:
             for at, buf, offs in text_chunks(b.column(1)):
-                row, place, w, counts = model.hits(buf, offs, table)
+                row, place, w, cost, counts, loss = model.hits(buf, offs)
                 lo = np.searchsorted(row, np.arange(len(offs)))
                 scores, found = [], []
                 for r in range(len(offs) - 1):
-                    p, v = place[lo[r] : lo[r + 1]], w[lo[r] : lo[r + 1]]
-                    scores.append(model.score(*model.features(p, v, int(counts[r]))))
+                    p, v, c = (x[lo[r] : lo[r + 1]] for x in (place, w, cost))
+                    scores.append(model.score(*model.features(p, v, c, int(counts[r]))))
                     if passages:
                         found.append(
                             [
                                 {"first": a, "last": z, "surprise": x}
-                                for a, z, s in segments(p, v)
+                                for a, z, s in segments(p, v, c)
                                 if (x := model.rate * s - math.log(model.k * max(int(counts[r]), 1))) > 0
                             ]
                         )
@@ -288,15 +275,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
         text = names.index("text")
         for b in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             ok = np.zeros(b.num_rows, dtype=bool)
             for at, buf, offs in text_chunks(b.column(text)):
-                row, place, w, counts = model.hits(buf, offs, table)
+                row, place, w, cost, counts, loss = model.hits(buf, offs)
                 lo = np.searchsorted(row, np.arange(len(offs)))
                 for r in range(len(offs) - 1):
-                    s = model.score(*model.features(place[lo[r] : lo[r + 1]], w[lo[r] : lo[r + 1]], int(counts[r])))
+                    s = model.score(*model.features(place[lo[r] : lo[r + 1]], w[lo[r] : lo[r + 1]], cost[lo[r] : lo[r + 1]], int(counts[r])))
                     ok[at + r] = s < LIMIT
             yield b.filter(pa.array(ok))
 

@@ -38,8 +38,8 @@ END = 1
 RANGE_ROWS, RANGES = 4_000, 20_000
 #: How the tokenizer divides a lower-case ASCII word, and marks that it parts from a letter before them.
 _PARTS, _MARKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t\n\v\f\r a-z0-9]+"), ",.;:!?"
-#: Parts whose ids a worker remembers, from task to task; those that are encoded in one text; bytes of text that are handled at once.
-PARTS, TOGETHER, CHUNK = 1_000_000, 256, 4_000_000
+#: Words and parts of them whose ids a worker remembers, from task to task; parts that are encoded in one text; bytes of text that are handled at once.
+WORDS, PARTS, TOGETHER, CHUNK = 300_000, 800_000, 256, 4_000_000
 #: Kinds of rows in a sweep; gaps come before documents of their size.
 GAP, WAITS, PLACED = 0, 1, 2
 _SWEPT = "kind int, id long, size int, part int, rank long, sequence long"
@@ -86,7 +86,7 @@ def known_words(name: str) -> Chunks:
         ids = iter(known.of([p for own in parts for p in own]))
         return [b"".join([next(ids) for _ in own]) for own in parts]
 
-    return Chunks(make)
+    return Chunks(make, WORDS)
 
 
 def ids_of_rows(buf: np.ndarray, offs: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +94,10 @@ def ids_of_rows(buf: np.ndarray, offs: np.ndarray, name: str) -> tuple[np.ndarra
     hashes, starts, first = word_hashes(buf, offs)
     if not len(hashes):
         return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
-    stops = np.append(np.flatnonzero(SPACE[buf]), len(buf))
-    row = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
-    ends = np.minimum(stops[np.searchsorted(stops, starts)], offs[row + 1])
+    space = SPACE[buf]
+    over = np.append(space[1:], True)  # after which bytes a word can't go on
+    over[offs[offs > 0] - 1] = True
+    ends = np.flatnonzero(over & ~space) + 1
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
     raw = buf.tobytes()
     ids = known_words(name).of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])

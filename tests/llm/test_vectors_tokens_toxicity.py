@@ -100,10 +100,21 @@ def test_segments_equal_brute_force():
             top = max(found, key=lambda x: (x[0], -x[1]), default=(0, 0, 0))
             return [] if top[0] <= 1e-9 else best(lo, top[1]) + [(top[1], top[2], round(top[0], 6))] + best(top[2] + 1, hi)
 
-        got = [(a, b, round(s, 6)) for a, b, s in op06_toxicity.segments(np.array(place), np.array(weight), 0.4)]
+        got = [(a, b, round(s, 6)) for a, b, s in op06_toxicity.segments(np.array(place), np.array(weight), 0.4 * (np.diff(place, prepend=-1) - 1))]
         assert got == best(0, 31)
 
 
+def test_toxicity_of_the_fixture_held_out(spark):
+    """The measure of the README: rows that the model has not seen, over three languages."""
+    folder = "/root/testdata/sf0.1"
+    got = op06_toxicity.query(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null"), "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([r.score for r in got if r.toxic == y] for y in (1, 0))
+    area = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
+    found = sum(r.predicted for r in got if r.toxic)
+    print("held out", len(got), "area", area, "recall", found / len(toxic), "precision", found / sum(r.predicted for r in got))
+    assert area >= 0.95 and found >= 0.9 * len(toxic) and found >= 0.9 * sum(r.predicted for r in got)
+
+
 def test_toxicity_held_out_and_edge_cases(spark):
     rng = random.Random(4)
     plain = ["".join(rng.choice(["the", "on", "er", "ti", "sh"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
