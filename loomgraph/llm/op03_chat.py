@@ -113,7 +113,7 @@ def keyed(chats: DataFrame, key_turns: int = KEY_TURNS) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for c, role, text, deep in zip(b["conv_id"], b["role"], b["text"], b["deep"], strict=True):
-                c = None if c is pd.NA or c != c else int(c)
+                c = None if c is None else int(c)
                 role, text = role if isinstance(role, str) else "", text if isinstance(text, str) else ""
                 if c != conv:
                     out += [(path, *x) for x in held]
@@ -128,13 +128,14 @@ def keyed(chats: DataFrame, key_turns: int = KEY_TURNS) -> DataFrame:
                 else:
                     out.append((tree, c, n, role, text, deep))
                 n += 1
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
-        yield pd.DataFrame([(path, *x) for x in held], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        yield pd.DataFrame([(path, *x) for x in held], columns=names, dtype=object)
 
     rows = ranked(chats.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text"), key_turns)
     return (
         rows.repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
+        .withColumn("conv_id", F.col("conv_id").cast("string"))  # pandas would turn whole numbers beside nulls into floats
         .mapInPandas(key, "path binary, conv_id long, place long, role string, text string, deep long")
     )
 
@@ -179,7 +180,7 @@ def format_chats(chats: DataFrame, key_turns: int = KEY_TURNS, max_sequence: int
         for batch in batches:
             out: list[tuple] = []
             for c, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                c = None if c is pd.NA or c != c else int(c)
+                c = None if c is None else int(c)
                 if c != conv or not began:
                     if began:
                         out.append(end(depth))
@@ -203,7 +204,8 @@ def format_chats(chats: DataFrame, key_turns: int = KEY_TURNS, max_sequence: int
         if began:
             yield pd.DataFrame([end(depth)], columns=names, dtype=object)
 
-    return keyed(chats, key_turns).repartitionByRange("path", "deep", "conv_id").sortWithinPartitions("path", "deep", "conv_id", "place").drop("deep").mapInPandas(emit, SEGMENT)
+    rows = keyed(chats, key_turns).repartitionByRange("path", "deep", "conv_id").sortWithinPartitions("path", "deep", "conv_id", "place").drop("deep")
+    return rows.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(emit, SEGMENT)
 
 
 TURN = re.compile(re.escape(START) + r"((?:(?!<\|[^|]).)*?)\n(.*)" + re.escape(STOP) + "\n", re.S)
@@ -226,7 +228,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                     seq, path = r.seq_id, {-1: (0, hashlib.sha256(), 0, hashlib.sha256(), 0, -1)}
                 n, turns, loss_n, loss, chars, _ = path[int(r.parent)]
                 if r.last:
-                    conv = None if r.conv_id is None or r.conv_id is pd.NA or r.conv_id != r.conv_id else int(r.conv_id)
+                    conv = None if r.conv_id is None else int(r.conv_id)
                     out.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
                     continue
                 while path and next(reversed(path)) != int(r.parent):
@@ -237,11 +239,9 @@ def read_back(segments: DataFrame) -> DataFrame:
                 learnt = unescape(r.text[int(r.loss_start) : int(r.loss_stop)])
                 loss.update(learnt.encode())
                 path[int(r.node)] = (n + 1, turns, loss_n + len(learnt), loss, chars + len(r.text), int(r.parent))
-            yield pd.DataFrame(
-                out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            ).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], dtype=object)
 
-    return segments.mapInPandas(
+    return segments.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(
         read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 

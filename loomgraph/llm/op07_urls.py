@@ -123,10 +123,9 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + PATTERNS) ->
             out.insert(0, "page_id", b["page_id"].to_numpy())
             yield out
 
-    ids = pages.schema["page_id"].dataType.simpleString()
-    return pages.select(F.col("page_id").alias("page_id"), "url").mapInPandas(
-        judge, f"page_id {ids}, host string, path string, rule string, verdict string"
-    )
+    # pandas would turn whole numbers beside nulls into floats, so ids pass as text
+    judged = pages.select(F.col("page_id").cast("string").alias("page_id"), "url").mapInPandas(judge, "page_id string, host string, path string, rule string, verdict string")
+    return judged.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

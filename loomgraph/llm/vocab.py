@@ -6,7 +6,7 @@ import functools
 import os
 
 #: Chunks that a task remembers, and the longest of them in characters.
-CACHED, CACHED_CHARS = 500_000, 64
+CACHED, CACHED_CHARS = 300_000, 64
 
 
 def file_of(name: str) -> str:
