@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evidence, rank, review, tests_of_runs
-from loomgraph.plans.evaluation import P, parts_of
 from loomgraph.plans.sql import BOTH
 from loomgraph.sources.tables import register, triples
 from loomgraph.streaming import windows
@@ -69,23 +67,6 @@ def _(spark, sf):
 
 # --- predictions ----------------------------------------------------------------------------------
 
-DEGREE = "d AS MATERIALIZED (SELECT x.tail, count(p.tail) AS s FROM (SELECT DISTINCT tail FROM parts) x LEFT JOIN parts p ON p.tail = x.tail AND p.part = 'train' GROUP BY x.tail)"
-
-
-def _degrees(parts):
-    return parts.groupBy("tail").agg(F.count(F.when(F.col("part") == "train", 1)).alias("s"))
-
-
-@add("competitors_above", P + f""", {DEGREE}, cand AS (SELECT t.head, d.tail, d.s, row_number() OVER (PARTITION BY t.head ORDER BY d.s DESC, d.tail) AS place FROM (SELECT DISTINCT head FROM parts WHERE part = 'test') t CROSS JOIN d WHERE NOT EXISTS (SELECT 1 FROM parts k WHERE k.head = t.head AND k.tail = d.tail))
-SELECT t.head, t.tail, c.place::INT AS place, c.tail AS competitor, c.s AS score FROM parts t JOIN d x ON x.tail = t.tail JOIN cand c ON c.head = t.head AND c.place <= 3 AND c.s >= x.s WHERE t.part = 'test'""")  # ORD-05, JON-21
-def _(spark, sf):
-    parts = parts_of(spark, sf)
-    deg, test = _degrees(parts), parts.where("part = 'test'").select("head", "tail")
-    first = rank.first_novel(test.select("head").distinct(), parts.select("head", "tail"), deg, 3)
-    true = test.join(deg.withColumnRenamed("s", "own"), "tail")
-    return true.join(first.withColumnRenamed("tail", "competitor"), "head").where("s >= own").select("head", "tail", "place", "competitor", F.col("s").alias("score"))
-
-
 BUSY = "b AS MATERIALIZED (SELECT tail, count(*) AS s FROM kg WHERE interaction = 'BOUGHT' GROUP BY tail)"
 
 
@@ -101,15 +82,6 @@ def _(spark, sf):
     return first.join(inside, "tail", "left").groupBy("head").agg(F.count("*").alias("n"), F.round(out, 6).alias("outside"))
 
 
-@add("review_items")  # SPL-10: tested against plain Python
-def _(spark, sf):
-    parts = parts_of(spark, sf)
-    heads = parts.where("part = 'test'").select("head").distinct()
-    deg = _degrees(parts)
-    ranked = rank.first_novel(heads, parts.where("part <> 'test'").select("head", "tail"), deg, 100).select("head", "tail", F.col("place").alias("rank"))
-    return review.items(ranked, parts.select("head", "tail"), parts.select("tail"), mid=(40, 100))
-
-
 FILLED = "SELECT 'IT' || p_partkey AS item_id, CASE p_size % 3 WHEN 0 THEN 'topk' WHEN 1 THEN 'decoy_midrank' ELSE 'decoy_random' END AS stratum, CASE p_partkey % 5 WHEN 0 THEN 'High' WHEN 1 THEN ' moderate' WHEN 2 THEN '3' WHEN 3 THEN 'low' ELSE '' END AS expert_tier, CASE WHEN p_size > 20 THEN 'Yes' ELSE 'n' END AS expert_plausible FROM part"
 
 
@@ -162,12 +134,3 @@ def _(spark, sf):
     known = _pairs(triples(spark, sf), "RETURNED")
     names = spark.table("part").where("p_size > 10").select(F.concat(F.lit("Part::"), F.col("p_partkey").cast("string")).alias("tail"), "p_name")
     return known.join(names, "tail", "left").groupBy(F.col("tail").alias("entity"), F.coalesce("p_name", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
-
-
-@add("full_ranking", P + f""", {DEGREE}, h AS (SELECT head, count(*) AS m FROM parts WHERE part = 'train' GROUP BY head) SELECT t.head, t.tail, round(ln(1 + coalesce(h.m, 0)) + ln(1 + d.s), 6) AS score, row_number() OVER (PARTITION BY t.head ORDER BY d.s DESC, t.tail)::INT AS place FROM parts t JOIN d ON d.tail = t.tail LEFT JOIN h ON h.head = t.head WHERE t.part = 'test'""")  # ORD-03, MET-09
-def _(spark, sf):
-    parts = parts_of(spark, sf)
-    own = parts.where("part = 'train'").groupBy("head").agg(F.count("*").alias("m"))
-    scored = parts.where("part = 'test'").join(_degrees(parts), "tail").join(own, "head", "left")
-    score = F.log1p(F.coalesce("m", F.lit(0))) + F.log1p("s")
-    return scored.select("head", "tail", F.round(score, 6).alias("score"), F.row_number().over(Window.partitionBy("head").orderBy(F.desc("s"), "tail")).alias("place"))
