@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.op02_embeddings import in_runs
 from loomgraph.llm.shared import discard, materialize
-from loomgraph.llm.textkit import SPACE, lean, text_chunks, word_hashes
+from loomgraph.llm.textkit import LOWER, _powers, lean, mix, text_chunks
 from loomgraph.llm.vocab import Chunks, tokenizer as load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,17 +36,19 @@ CAPACITY = 4_096
 END = 1
 #: Rows that a range aims at, and the greatest number of ranges; with more rows, ranges grow.
 RANGE_ROWS, RANGES = 4_000, 20_000
+#: White space in ASCII, letters, digits, other marks in ASCII, and what a word is handled as a whole for.
+_KIND = np.array([4 if b >= 128 or b == 39 else 0 if b in (32, *range(9, 14)) else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 #: How the tokenizer divides a lower-case ASCII word, and marks that it parts from a letter before them.
 _PARTS, _MARKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t\n\v\f\r a-z0-9]+"), ",.;:!?"
-#: Words and parts of them whose ids a worker remembers, from task to task; parts that are encoded in one text; bytes of text that are handled at once.
-WORDS, PARTS, TOGETHER, CHUNK = 300_000, 800_000, 256, 4_000_000
+#: Units, and parts of those that are cut further, whose ids a worker remembers; units that are encoded in one text; bytes of text that are handled at once.
+UNITS, PARTS, TOGETHER, CHUNK = 300_000, 100_000, 256, 2_000_000
 #: Kinds of rows in a sweep; gaps come before documents of their size.
 GAP, WAITS, PLACED = 0, 1, 2
 _SWEPT = "kind int, id long, size int, part int, rank long, sequence long"
 
 
 def parts_of(word: str) -> list[str]:
-    """Parts of a word, as white space in ASCII divides a text, that give the same ids alone as in it; they repeat more often than words do."""
+    """Parts of a word with an apostrophe or characters beyond ASCII that give the same ids alone as in it."""
     if word.isascii():
         return _PARTS.findall(word.lower())
     body = word.rstrip(_MARKS)
@@ -54,10 +56,10 @@ def parts_of(word: str) -> list[str]:
 
 
 @functools.lru_cache(2)
-def known_words(name: str) -> Chunks:
-    """Ids of words by the tokenizer ``name``, as bytes; what a worker has learnt stays from task to task.
+def known_units(name: str) -> Chunks:
+    """Ids of units by the tokenizer ``name``, as bytes; what a worker has learnt stays from task to task.
 
-    Parts of words that are one run of letters, digits or marks are encoded many at a time: the last id of each run ends a word.
+    Parts that are one run of letters, digits or marks are encoded many at a time: the last id of each run ends a word.
     """
     tool = load(name, False)
     ends = np.zeros(tool.get_vocab_size(), bool)
@@ -79,28 +81,56 @@ def known_words(name: str) -> Chunks:
         a, b = iter(encode(runs) if runs else []), (np.array(e.ids, "<u4").tobytes() for e in alone)
         return [next(a if one else b) for one in single]
 
-    known = Chunks(many, PARTS)
+    inner = Chunks(many, PARTS)
 
-    def make(words: list[str]) -> list[bytes]:
-        parts = [parts_of(w) for w in words]
-        ids = iter(known.of([p for own in parts for p in own]))
-        return [b"".join([next(ids) for _ in own]) for own in parts]
+    def make(units: list[str]) -> list[bytes]:
+        plain = [u.isascii() and "'" not in u for u in units]
+        cut = [parts_of(u) for u, easy in zip(units, plain) if not easy]
+        easy = [u for u, own in zip(units, plain) if own]
+        ids, runs = iter(inner.of([p for own in cut for p in own])), iter(encode(easy) if easy else [])
+        words = (b"".join([next(ids) for _ in own]) for own in cut)
+        return [next(runs if own else words) for own in plain]
 
-    return Chunks(make, WORDS)
+    return Chunks(make, UNITS)
+
+
+def units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, first byte, byte after the last, and the first one of each row) of the units of some rows of text.
+
+    White space in ASCII parts words. A word of ASCII without an apostrophe is cut
+    where the tokenizer cuts it, into runs of letters, digits and runs of marks;
+    another one is a unit. A-Z count as a-z, as they do for the tokenizer.
+    """
+    n = len(buf)
+    kind = _KIND[buf]
+    space = kind == 0
+    begin = np.append(True, space[:-1]) & ~space
+    row = offs[:-1][offs[:-1] < n]
+    begin[row] = ~space[row]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts, np.zeros(len(offs), np.int64)
+    whole = np.logical_or.reduceat(kind == 4, starts)[np.maximum(np.cumsum(begin) - 1, 0)]
+    begin |= ~space & ~whole & ((kind != np.append(0, kind[:-1])) | (kind == 2))
+    starts = np.flatnonzero(begin)
+    over = np.append(space[1:] | begin[1:], True)  # a unit ends before white space, the next one, or the end of its row
+    over[offs[offs > 0] - 1] = True
+    r, inverse = _powers(n + 1)
+    with np.errstate(over="ignore"):
+        v = (LOWER[buf].astype(np.uint64) + np.uint64(1)) * r[:n]
+        v[space] = 0
+        hashes = mix(np.add.reduceat(v, starts) * inverse[starts])
+    return hashes, starts, np.flatnonzero(over & ~space) + 1, np.searchsorted(starts, offs)
 
 
 def ids_of_rows(buf: np.ndarray, offs: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all rows of some text one after the other, where each row's begin). Equal words of the rows are looked up once."""
-    hashes, starts, first = word_hashes(buf, offs)
+    """(ids of all rows of some text one after the other, where each row's begin). Equal units of the rows are looked up once."""
+    hashes, starts, ends, first = units(buf, offs)
     if not len(hashes):
         return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
-    space = SPACE[buf]
-    over = np.append(space[1:], True)  # after which bytes a word can't go on
-    over[offs[offs > 0] - 1] = True
-    ends = np.flatnonzero(over & ~space) + 1
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
     raw = buf.tobytes()
-    ids = known_words(name).of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+    ids = known_units(name).of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
     n = np.array([len(x) // 4 for x in ids])
     flat, begin, lengths = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n, n[which]
     to = np.append(0, np.cumsum(lengths))
