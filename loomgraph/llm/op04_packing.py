@@ -17,15 +17,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.textkit import lean
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50_256
 ROW = 2_048
 #: Tokens that a task packs at once.
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 #: Fixed value: how the byte-level vocabulary divides a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "pack_id string, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>"
-CACHED = 400_000
+#: Words whose ids a task remembers; they are forgotten at its end, as idle workers would keep them beside those of other stages.
+CACHED = 150_000
 
 
 @functools.lru_cache(2)
@@ -152,7 +155,7 @@ def pack_documents(docs: DataFrame, row: int = ROW, tokenizer: str = TOKENIZER,
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
 
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = token_ids(text.as_py() or "", tokenizer) + end
                 for at in range(0, len(ids), 2 * row):
@@ -162,8 +165,9 @@ def pack_documents(docs: DataFrame, row: int = ROW, tokenizer: str = TOKENIZER,
                     yield flush()
         if pieces:
             yield flush()
+        words(tokenizer).clear()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(pack, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(pack), SCHEMA)
 
 
 def unpack(rows: list, tokenizer: str = TOKENIZER) -> list[tuple[int | None, str]]:
