@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import exact, layers, rank, review, scoring, training
+from loomgraph.operators import draws, exact, layers, paths, rank, review, scoring, training
 from loomgraph.plans.evaluation import P, parts_of
 from loomgraph.sources.sinks import shared_dir
 from loomgraph.sources.tables import register, triples
@@ -223,3 +223,71 @@ def _(spark, sf):
     test = rank.mrr_hits(training.distmult_ranks(parts, got.vectors, got.relations[0]))
     history = spark.createDataFrame(got.history, "epoch int, val_mrr double").withColumn("kept", F.col("epoch") == got.best)
     return history.join(F.broadcast(test.select(F.col("n").alias("test_n"), F.col("mrr").alias("test_mrr"))))  # one row
+
+
+# --- draws and chains -----------------------------------------------------------------------------
+
+#: The permutation by its definition: the least prime from the pool's size on, a step and a start by digests.
+PRIME = "pr AS MATERIALIZED (SELECT n, (SELECT min(c) FROM (SELECT unnest(range(2, 4000)) AS c) x WHERE c >= n AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 64)) AS d) y WHERE d < c AND c % d = 0)) AS p FROM (SELECT count(*) AS n FROM pool) z)"
+DRAWN = "list_slice(list_filter(list_transform(range(0, least(p, least({k}, n) + p - n)), lambda i: ((('0x' || substr(md5({key} || '|a'), 1, 8))::BIGINT % (p - 1) + 1) * i + ('0x' || substr(md5({key} || '|b'), 1, 8))::BIGINT % p) % p), lambda x: x < n), 1, {k})"
+
+
+@add("rank_sampled", f"""{P}, {DEGREE}, pool AS MATERIALIZED (SELECT tail, s, row_number() OVER (ORDER BY tail) - 1 AS i FROM d), {PRIME},
+t AS (SELECT head, tail, unnest({DRAWN.format(k=500, key="('42|' || head || '|' || tail)")}) AS i FROM parts, pr WHERE part = 'test')
+SELECT t.head, t.tail, count(*) AS drawn, count(CASE WHEN c.s >= o.s THEN 1 END) + 1 AS rank FROM t JOIN pool c ON c.i = t.i AND c.tail <> t.tail JOIN pool o ON o.tail = t.tail GROUP BY t.head, t.tail""")  # SPL-09, MET-04: without replacement
+def _(spark, sf):
+    parts = parts_of(spark, sf)
+    degree = parts.groupBy("tail").agg(F.count(F.when(F.col("part") == "train", 1)).alias("s"))
+    return draws.sampled_ranks(parts.where("part = 'test'").select("head", "tail"), degree, 500)
+
+
+CRITERIA = """crit AS MATERIALIZED (SELECT 'brand' AS criterion, a.head AS t, b.head AS o FROM kg a JOIN kg b ON b.tail = a.tail AND b.interaction = 'PART_BRAND' AND a.head <> b.head WHERE a.interaction = 'PART_BRAND'
+UNION ALL SELECT 'size', a.head, b.head FROM kg a JOIN kg b ON b.tail = a.tail AND b.interaction = 'PART_SIZE' AND a.head <> b.head WHERE a.interaction = 'PART_SIZE' UNION ALL SELECT 'together', head, tail FROM kg WHERE interaction = 'CO_ORDER' UNION ALL SELECT 'together', tail, head FROM kg WHERE interaction = 'CO_ORDER')"""
+
+
+@add("enrichment_criteria", f"""{P}, {DEGREE}, {CRITERIA}, pool AS MATERIALIZED (SELECT tail, row_number() OVER (ORDER BY tail) - 1 AS i FROM d), {PRIME},
+cand AS (SELECT t.head, d.tail, d.s, row_number() OVER (PARTITION BY t.head ORDER BY d.s DESC, d.tail) AS place FROM (SELECT DISTINCT head FROM parts WHERE part = 'test') t CROSS JOIN d WHERE NOT EXISTS (SELECT 1 FROM parts k WHERE k.head = t.head AND k.tail = d.tail)),
+obs AS MATERIALIZED (SELECT t.head || '|' || t.tail AS item, t.tail AS t, c.tail AS o FROM parts t JOIN d x ON x.tail = t.tail JOIN cand c ON c.head = t.head AND c.place <= 10 AND c.s > x.s WHERE t.part = 'test'),
+m AS (SELECT item, t, count(*) AS m FROM obs GROUP BY item, t), rnd AS MATERIALIZED (SELECT item, t, pool.tail AS o FROM (SELECT item, t, unnest({DRAWN.format(k="m", key="('0|' || item)")}) AS i FROM m, pr) z JOIN pool ON pool.i = z.i),
+both_ AS (SELECT *, 1 AS seen FROM obs UNION ALL SELECT *, 0 FROM rnd), sz AS (SELECT item, seen, count(*) AS size FROM both_ GROUP BY item, seen),
+h AS (SELECT c.criterion, b.item, b.seen, count(*) AS hits FROM both_ b JOIN crit c ON c.t = b.t AND c.o = b.o GROUP BY c.criterion, b.item, b.seen), f AS (SELECT h.criterion, h.seen, h.hits::DOUBLE / sz.size AS share FROM h JOIN sz ON sz.item = h.item AND sz.seen = h.seen),
+g AS (SELECT criterion, sum(CASE WHEN seen = 1 THEN share ELSE 0.0::DOUBLE END) AS o, sum(CASE WHEN seen = 0 THEN share ELSE 0.0::DOUBLE END) AS r FROM f GROUP BY criterion)
+SELECT criterion, (SELECT count(*) FROM m) AS n, round(o / (SELECT count(*) FROM m), 6) AS observed, round(r / (SELECT count(*) FROM m), 6) AS random, round(o / nullif(r, 0), 4) AS ratio FROM g""")  # STA-08
+def _(spark, sf):
+    parts = parts_of(spark, sf)
+    kg = spark.table("kg")
+    known = parts.select(F.col("head").alias("anchor"), F.col("tail").alias("node")).distinct()
+    first = whole_lists(parts, 10, known).select("head", F.col("tail").alias("other"), "score")
+    own = parts.groupBy("tail").agg(F.count(F.when(F.col("part") == "train", 1)).alias("own"))
+    above = parts.where("part = 'test'").select("head", "tail").join(own, "tail").join(first, "head").where("score > own")
+    observed = above.select(F.concat("head", F.lit("|"), "tail").alias("item"), F.col("tail").alias("target"), "other")
+    shares = lambda relation, name: paths_of_two(kg.where(F.col("interaction") == relation)).withColumn("criterion", F.lit(name))
+    near = kg.where("interaction = 'CO_ORDER'").select(F.col("head").alias("target"), F.col("tail").alias("other"))
+    near = near.unionByName(near.select(F.col("other").alias("target"), F.col("target").alias("other"))).withColumn("criterion", F.lit("together"))
+    return draws.enrichment(observed, parts.select(F.col("tail").alias("node")), shares("PART_BRAND", "brand").unionByName(shares("PART_SIZE", "size")).unionByName(near))
+
+
+def paths_of_two(edges):
+    """(target, other): heads that share a tail of ``edges``."""
+    a, b = edges.select(F.col("head").alias("target"), "tail"), edges.select(F.col("head").alias("other"), "tail")
+    return a.join(b, "tail").where("target <> other").select("target", "other").distinct()
+
+
+KINDS = {"made": "-RETURNED-> -PART_SUPPLIER->", "near": "-RETURNED-> <-CO_ORDER-> -PART_SUPPLIER->", "home": "-CUST_NATION-> <-SUPPLIER_NATION-"}
+
+
+@add("best_chains", """WITH deg AS MATERIALIZED (SELECT node, round(log10(count(*) + 1) * 1000000)::BIGINT AS c FROM (SELECT head AS node FROM kg UNION ALL SELECT tail FROM kg) z GROUP BY node),
+co AS (SELECT head AS u, tail AS v FROM kg WHERE interaction = 'CO_ORDER' UNION SELECT tail, head FROM kg WHERE interaction = 'CO_ORDER'), r AS (SELECT head AS u, tail AS v FROM kg WHERE interaction = 'RETURNED'), sup AS (SELECT head AS u, tail AS v FROM kg WHERE interaction = 'PART_SUPPLIER'),
+every AS (SELECT r.u AS source, sup.v AS target, 'made' AS kind, [r.u, r.v, sup.v] AS chain, d.c AS cost FROM r JOIN sup ON sup.u = r.v JOIN deg d ON d.node = r.v
+UNION ALL SELECT r.u, sup.v, 'near', [r.u, r.v, co.v, sup.v], d.c + e.c FROM r JOIN co ON co.u = r.v JOIN sup ON sup.u = co.v JOIN deg d ON d.node = r.v JOIN deg e ON e.node = co.v
+UNION ALL SELECT a.head, b.head, 'home', [a.head, a.tail, b.head], d.c FROM kg a JOIN kg b ON b.tail = a.tail AND b.interaction = 'SUPPLIER_NATION' JOIN deg d ON d.node = a.tail WHERE a.interaction = 'CUST_NATION'),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY len(chain), cost, kind, array_to_string(chain, '|')) AS i FROM every) z WHERE i = 1),
+kn AS (SELECT DISTINCT a.head AS source, b.tail AS target FROM kg a JOIN kg b ON b.head = a.tail AND b.interaction = 'PART_SUPPLIER' WHERE a.interaction = 'BOUGHT'),
+p AS (SELECT o.*, kn.source IS NOT NULL AS known, row_number() OVER (PARTITION BY o.source ORDER BY len(o.chain), kn.source IS NULL, o.cost, o.kind, array_to_string(o.chain, '|')) AS place FROM one o LEFT JOIN kn ON kn.source = o.source AND kn.target = o.target)
+SELECT source, place::INT AS place, target, kind, array_to_string(chain, '|') AS chain, cost, known FROM p WHERE place <= 3""")  # GRA-14, JON-17, ORD-09: several kinds, the best chain of each target
+def _(spark, sf):
+    kg = triples(spark, sf)
+    pairs = lambda relation: kg.where(F.col("interaction") == relation).select("head", "tail")
+    known = pairs("BOUGHT").join(pairs("PART_SUPPLIER").toDF("tail", "target"), "tail").select(F.col("head").alias("source"), "target")
+    sources = pairs("CUST_NATION").select(F.col("head").alias("node")).distinct()
+    return paths.best_chains(kg, sources, KINDS, paths.hub_costs(kg), known).withColumn("chain", F.array_join("chain", "|"))

@@ -52,11 +52,6 @@ PLANS: dict[str, str | tuple[str, str]] = {
         f"{P}, {SCORES}, board AS (SELECT tail, score, row_number() OVER (ORDER BY score DESC, tail) AS i FROM scores), places AS (SELECT head, explode(sequence(1, n + 3)) AS i FROM ({KNOWN}) a), c AS (SELECT p.head, b.tail, b.score FROM places p JOIN board b ON p.i = b.i) {TOP_NOVEL.format('c')}",
         f"{P}, {SCORES}, c AS (SELECT h.head, s.tail, s.score FROM (SELECT DISTINCT head FROM parts) h CROSS JOIN scores s) {TOP_NOVEL.format('c')}",
     ),
-    # SPL-09, MET-04: rank against twenty drawn candidates of the pool
-    "rank_sampled": (P + ", " + SCORES + """, pool AS (SELECT tail, score, row_number() OVER (ORDER BY tail) - 1 AS i, count(*) OVER () AS m FROM scores),
-size AS (SELECT count(*) AS m FROM scores),
-draws AS (SELECT DISTINCT p.head, p.tail, DRAW[p.head || '|' || p.tail || '|' || k.k] % size.m AS i FROM parts p CROSS JOIN size CROSS JOIN {SERIES} k WHERE p.part = 'test')
-SELECT d.head, d.tail, count(CASE WHEN c.tail <> d.tail AND c.score >= s.score THEN 1 END) + 1 AS rank, count(*) AS drawn FROM draws d JOIN pool c ON d.i = c.i JOIN scores s ON s.tail = d.tail GROUP BY d.head, d.tail"""),
     # SPL-05: each round other positives supervise, the rest stay in the graph
     "split_disjoint_supervision": P + ", t AS (SELECT head, tail, row_number() OVER (ORDER BY md5('7|' || head || '|' || tail), head, tail) AS i, count(*) OVER () AS n FROM parts WHERE part = 'train') SELECT head, tail, i <= least(n - 1, greatest(1, CAST({bround}(n * 0.3, 0) AS BIGINT))) AS supervises FROM t",
     # SPL-06: one end replaced by any target node

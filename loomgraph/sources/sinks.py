@@ -51,10 +51,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def write_rankings(ranked: DataFrame, path: str, top: int = 1000) -> None:
-    """A JSON line a head: {head, ranking: [{tail, rank, ...}]} of its first ``top`` places, in order of rank."""
+def write_rankings(ranked: DataFrame, path: str, top: int | None = None) -> None:
+    """A JSON line a head: {head, ranking: [{tail, rank, ...}]} in order of rank, all of it or its first ``top`` places."""
     rest = [c for c in ranked.columns if c not in ("head", "rank")]
-    first = ranked.where(F.col("rank") <= top).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", *rest))).alias("ranking"))
+    first = (ranked if top is None else ranked.where(F.col("rank") <= top)).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", *rest))).alias("ranking"))
     first.write.json(path)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 
 import pytest
 
@@ -105,6 +106,23 @@ def test_logs(spark, tmp_path):
     assert {(r["name"], r["value"]) for r in runs.configurations(spark, f"{tmp_path}/*.json").collect()} == {("lr", "0.1"), ("layers", "[1,2]"), ("name", "x")}
 
 
+def test_other_lines_of_logs_and_any_spelling_of_numbers(spark, tmp_path):
+    (tmp_path / "e1_DTI_rgcn_20250101_000000.log").write_text(
+        "[val] 2025-01-01 00:00:00 run 0 epoch 10 | loss 4.1e-05 | AUROC 0.5 | AUPRC 1 | MRR .25 | M 1E-3\n"
+        "[val]  2025-01-01 00:00:01  run  1  epoch  20|loss 0.5|  AUROC   nan | AUPRC 0.2 | MRR 0.3 | M 0.4\n"
+        "Run 0 | Test Auroc: 0.9, Test Auprc: 0.8, Test MRR: 1e-02, TEST HITS: {1: 0.0, 10: 5e-05}\n"
+        "Run 0 | best_epoch: 40 | train_time_sec: 12.5\nRun 1 | best_epoch: None | train_time_sec: 3\n"
+        "Run 0 | cold-start test triples: 3/12 (25.00%)\nRun 0 | WARM Test Auroc: 0.91, Test Auprc: 0.81, Test MRR: 0.41, TEST HITS: {1: 0.1}\n"
+        "Run 0 | dedup: test triples whose fact is already in train via a twin node: 1/4 (25.00%)\nRun 0 | DEDUP_STEREO Test Auroc: 0.92, Test Auprc: 0.82, Test MRR: 0.42, TEST HITS: {1: 0.2}\n"
+    )
+    points = {(r.run, r.epoch): tuple(r)[4:] for r in runs.curves(spark, str(tmp_path)).collect()}
+    assert points[0, 10] == (4.1e-05, 0.5, 1.0, 0.25, 0.001) and points[1, 20][0] == 0.5 and math.isnan(points[1, 20][1]) and len(points) == 2
+    got = {r.subset: (r.mrr, r.hits) for r in runs.test_results(spark, str(tmp_path)).collect()}
+    assert got == {"": (0.01, {1: 0.0, 10: 5e-05}), "warm": (0.41, {1: 0.1}), "dedup_stereo": (0.42, {1: 0.2})}
+    facts = {(r.run, r.name): r.value for r in runs.run_facts(spark, str(tmp_path)).collect()}
+    assert facts == {(0, "best_epoch"): 40.0, (0, "seconds"): 12.5, (1, "seconds"): 3.0, (0, "cold-start"): 0.25, (0, "dedup"): 0.25}
+
+
 def test_kept_results_and_sinks(spark, tmp_path):
     calls = []
     compute = lambda: calls.append(1) or spark.range(3)
