@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.exact import vector_sums
 from loomgraph.sources.sinks import shared_dir
 
 
@@ -107,65 +104,34 @@ def katz(counted: DataFrame, beta: float = 0.05) -> DataFrame:
     return counted.select("head", "tail", F.round(F.col("w1") * beta + F.col("w2") * (beta * beta) + F.col("w3") * (beta * beta * beta), 9).alias("score"))
 
 
-#: Directed edges that may be sent to each task of page_rank; beyond it the rounds are joins.
-BROADCAST_EDGES = 5_000_000
+#: Sources whose masses one row of a node holds.
+SOURCES = 64
 
 
-def page_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, rounds: int = 30, broadcast_edges: int = BROADCAST_EDGES, pool: DataFrame | None = None) -> DataFrame:
+def page_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, rounds: int = 30, pool: DataFrame | None = None, together: int = SOURCES) -> DataFrame:
     """(source, node, mass) after ``rounds`` of r = alpha x + (1 - alpha) A D^-1 r from each ``sources(node)``.
 
-    With ``pool(node)`` only its nodes are given. A graph of at most
-    ``broadcast_edges`` directed edges is sent to the tasks as
-    arrays, and each task runs its sources in blocks; a larger one stays a table.
+    A row holds a node's masses from ``together`` sources; a round joins rows with
+    the edges of their node and adds up what arrives, order-free. A source
+    without an edge keeps what starts there. With ``pool(node)`` only its nodes
+    are given. Neither the graph nor the sources pass through one task.
     """
-    both = cut(undirected(edges))
-    if both.count() > broadcast_edges:
-        mass = page_rank_by_joins(both, sources, alpha, rounds)
-        return mass if pool is None else mass.join(pool.select("node").distinct(), "node", "left_semi").select("source", "node", "mass")
-    wanted = None if pool is None else {r[0] for r in pool.select("node").distinct().join(both.select(F.col("u").alias("node")).distinct(), "node", "left_semi").collect()}
-    nodes = sorted({r[0] for r in both.select("u").distinct().collect()})
-    at = {v: i for i, v in enumerate(nodes)}
-    pairs = np.array([(at[r[0]], at[r[1]]) for r in both.collect()], dtype=np.int64).reshape(-1, 2)
-    pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
-    deg = np.bincount(pairs[:, 0], minlength=len(nodes))
-    into, start = np.unique(pairs[:, 1], return_index=True)
-    share = (1 - alpha) / deg[pairs[:, 0]] if len(pairs) else np.zeros(0)
-
-    names = pa.array(nodes, pa.string())
-    shown = np.array([wanted is None or v in wanted for v in nodes], dtype=bool)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.column(0).slice(i, 64) for i in range(0, b.num_rows, 64)):
-                own = part.to_pylist()
-                known = [(j, at[v]) for j, v in enumerate(own) if v in at]
-                x = np.zeros((len(nodes), len(own)))
-                for j, i in known:
-                    x[i, j] = 1
-                mass = x
-                for _ in range(rounds if known else 0):
-                    flow = np.zeros_like(x)
-                    flow[into] = np.add.reduceat(mass[pairs[:, 0]] * share[:, None], start, axis=0)
-                    mass = alpha * x + flow
-                i, j = np.nonzero(mass * shown[:, None])
-                yield pa.RecordBatch.from_arrays([part.take(pa.array(j)), names.take(pa.array(i)), pa.array(mass[i, j])], ["source", "node", "mass"])
-                lone = [v for v in own if v not in at and wanted is None]  # without an edge, all that is left is what starts there
-                if lone:
-                    yield pa.RecordBatch.from_arrays([pa.array(lone), pa.array(lone), pa.array([alpha] * len(lone))], ["source", "node", "mass"])
-
-    return sources.select("node").distinct().repartition("node").mapInArrow(run, "source string, node string, mass double")
-
-
-def page_rank_by_joins(both: DataFrame, sources: DataFrame, alpha: float, rounds: int) -> DataFrame:
-    """The same over a table of directed edges ``both(u, v)``."""
-    step = cut(both.join(both.groupBy("u").agg(F.count("*").alias("deg")), "u"))
-    start = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("mass"))
+    from loomgraph.operators.ids import numbered  # which cuts lineages with this module
+
+    both = undirected(edges)
+    step = cut(both.join(both.groupBy("u").agg(F.lit(1 - alpha) / F.count("*")).toDF("u", "weight"), "u"))
+    told = cut(numbered(sources.select("node").distinct(), "node", name="i").select("node", F.floor(F.col("i") / together).alias("block"), (F.col("i") % together).cast("int").alias("slot")))
+    ones = F.transform(F.sequence(F.lit(0), F.lit(together - 1)), lambda j: F.when(j == F.col("slot"), 1.0).otherwise(0.0))
+    start = cut(told.select("block", "node", ones.alias("vector")))
     mass = start
     for i in range(rounds):
-        flow = mass.join(step, mass["node"] == step["u"]).select("source", F.col("v").alias("node"), ((1 - alpha) * F.col("mass") / F.col("deg")).alias("mass"))
-        mass = flow.unionByName(start.withColumn("mass", F.lit(alpha))).groupBy("source", "node").agg(F.sum("mass").alias("mass"))
+        sent = mass.join(step, mass["node"] == step["u"]).select("block", F.col("v").alias("node"), "vector", "weight")
+        mass = vector_sums(sent.unionByName(start.withColumn("weight", F.lit(alpha))), ["block", "node"]).select("block", "node", F.col("total").alias("vector"))
         mass = cut(mass) if i % 3 == 2 else mass
-    return mass
+    if pool is not None:
+        mass = mass.join(pool.select("node").distinct(), "node", "left_semi")
+    each = mass.select("block", "node", F.posexplode("vector").alias("slot", "mass")).where("mass <> 0")
+    return each.join(told.withColumnRenamed("node", "source"), ["block", "slot"]).select("source", "node", "mass")
 
 
 #: Upper ends of the size brackets, and their names.

@@ -1,10 +1,12 @@
 """Review sheets, evidence, run logs, sinks and growing triples against plain Python."""
 
+import datetime
 import hashlib
 import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import catalog
 from loomgraph.operators import evidence, rank, review, tests_of_runs
@@ -161,3 +163,27 @@ def test_stream_without_repeats(spark, tmp_path):
 
 def test_every_reviewing_query_is_registered():
     assert set(reviewing.QUERIES) <= set(catalog.QUERIES)
+
+
+def test_degrees_grow_by_batches_and_late_rows_are_counted(spark, tmp_path):
+    day = lambda d: datetime.datetime(2025, 1, d)
+    schema = "ts timestamp, head string, interaction string, tail string"
+    batches = [
+        [(day(1), "a", "r", "b"), (day(1), "a", "r", "b"), (day(2), "c", "r", "d")],
+        [(day(9), "a", "r", "c"), (day(9), "a", "q", "b")],
+        [(day(1), "late", "r", "b"), (day(9), "a", "r", "c"), (day(10), "e", "r", "e")],
+    ]
+    query = None
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = windows.growing_degrees(stream, f"{tmp_path}/out", f"{tmp_path}/mark")
+        query.awaitTermination()
+    assert windows.late_rows(query) == 1
+    want = {"a": 3, "b": 2, "c": 2, "d": 1, "e": 2}
+    got = {r.node: (r.degree, r.place) for r in windows.grown_degrees(spark, f"{tmp_path}/out").collect()}
+    assert got == {n: (d, 1 + sum(x > d for x in want.values())) for n, d in want.items()}
+    told = spark.read.parquet(f"{tmp_path}/out").groupBy("batch").agg(F.sort_array(F.collect_set("node")).alias("n")).collect()
+    assert sorted(r.n for r in told if r.n) == sorted([["a", "b", "c", "d"], ["a", "b", "c"], ["e"]])  # what a batch changes, nothing else
+    windows.compact_degrees(spark, f"{tmp_path}/out", f"{tmp_path}/one")
+    assert {r.node: r.degree for r in windows.grown_degrees(spark, f"{tmp_path}/one").collect()} == want
