@@ -1,0 +1,114 @@
+"""Connected components of edges between whole numbers: forests in tasks, then large-star and small-star steps."""
+
+from __future__ import annotations
+
+import itertools
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.sources.sinks import shared_dir
+
+#: Edges of a forest that one task unites (16 bytes each, some 150 while it does); beyond it, rounds of joins.
+TASK_EDGES = 1_000_000
+#: Edges that a task holds before it turns them into a forest.
+CONTRACT_EDGES = 500_000
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage."""
+    path = f"{shared_dir(df.sparkSession)}/loom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loom_path = path  # noqa: SLF001
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which must not be read again."""
+    sc = df.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(df._loom_path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the edges that is not the least one its component has."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(nxt := root[root], root):
+            root = nxt
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, as a forest that hangs every node under the least one it reaches there."""
+    u = v = np.zeros(0, np.int64)
+    more: list[pa.RecordBatch] = []
+    for b in itertools.chain(batches, [None]):
+        more += [b] if b is not None else []
+        if more and (b is None or sum(x.num_rows for x in more) > max(CONTRACT_EDGES, len(u))):
+            u, v = (np.concatenate([old, *(x.column(i).to_numpy() for x in more)]) for i, old in enumerate((u, v)))
+            u, v = _forest(u, v)
+            more = []
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 40, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Smallest reachable node for each node of ``edges(u long, v long)``: (node, component).
+
+    Each task first turns its edges into a forest, never more edges than nodes.
+    Up to ``task_edges`` of those, counted, one task unites them; beyond that
+    large-star and small-star steps alternate over tables of edges. The least
+    neighbour of a node is an aggregate with a partial step, so a node with very
+    many edges costs no single task; each round is written to the shared folder.
+    Self-loops and repeated edges are allowed; a node without an edge is absent,
+    one with a self-loop only as well. Rows with a null end are no edges.
+    """
+    plain = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
+    cur = materialize(plain.mapInArrow(_contract, "u long, v long"))
+    if cur.count() <= task_edges:
+        forest = materialize(cur.coalesce(1).mapInArrow(_contract, "u long, v long"))
+        discard(cur)
+        return _named(forest)
+    seen = None
+    for _ in range(rounds):
+        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(least, both["u"] == least["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # large star hangs greater neighbours under the least one; own edges to it stay
+        own = least.where("k > m").select(F.col("k").alias("u"), F.col("m").alias("v"))
+        star = large.unionByName(own).where("u <> v").distinct()
+        down = star.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        small = (
+            star.join(down, star["u"] == down["k"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        )
+        nxt = materialize(
+            small.unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        )
+        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(cur)
+        cur = nxt
+        if mark == seen:
+            break
+        seen = mark
+    else:
+        raise RuntimeError("components did not settle")
+    return _named(cur)
+
+
+def _named(forest: DataFrame) -> DataFrame:
+    """(node, component) of a forest ``(u, v)`` of depth one: roots belong to themselves."""
+    roots = forest.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return forest.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

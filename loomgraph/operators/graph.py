@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.components import connected_components
 from loomgraph.operators.exact import vector_sums
 from loomgraph.sources.sinks import shared_dir
 
@@ -21,20 +22,18 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("head").alias("u"), F.col("tail").alias("v")).union(edges.select("tail", "head")).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): least reachable node, by label passing with pointer jumps."""
-    both = cut(undirected(edges))
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("c"))
-        new = label.join(near, label["node"] == near["u"]).select("node", F.least("component", "c").alias("component"))
-        jump = new.select(F.col("node").alias("j"), F.col("component").alias("jc"))
-        new = cut(new.join(jump, F.col("component") == F.col("j")).select("node", F.least("component", "jc").alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that each node reaches, by name.
+
+    Nodes are numbered in the order of their names, so the least number is the least name.
+    """
+    from loomgraph.operators.ids import numbered  # which cuts lineages with this module
+
+    both = cut(undirected(edges).where("u < v"))
+    ids = cut(numbered(both.select(F.col("u").alias("node")).union(both.select("v")).distinct(), "node").select("node", "id"))
+    coded = both.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = connected_components(coded)
+    return found.join(ids.toDF("name", "node"), "node").join(ids.toDF("least", "component"), "component").select(F.col("name").alias("node"), F.col("least").alias("component"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.operators import draws, exact, layers, paths, rank, review, scoring, training
-from loomgraph.plans.evaluation import P, parts_of
+from loomgraph.functions import text
+from loomgraph.plans.evaluation import KEYS, NAMES, P, parts_of
+from loomgraph.plans.ranking import plain_ranks
 from loomgraph.sources.sinks import shared_dir
 from loomgraph.sources.tables import register, triples
 
@@ -132,6 +134,25 @@ def _(spark, sf):
     return review.items(ranked, parts.select("head", "tail"), parts.select("tail"))
 
 
+LEAKS = ", ".join(f"EXISTS (SELECT 1 FROM parts p JOIN keys q ON q.tail = p.tail WHERE p.part = 'train' AND p.head = r.head AND q.{k} = n.{k}) AS leak_{k}" for k in ("k0", "k1"))
+AGAIN = "SELECT '{0}' AS grouping_key, count(*) AS n, count(CASE WHEN leak_{0} THEN 1 END) AS leaks, round(avg(CASE WHEN NOT leak_{0} THEN 1.0::DOUBLE / rank END), 6) AS mrr, round(avg(CASE WHEN NOT leak_{0} THEN (CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END), 6) AS hits_10 FROM told"
+
+
+@add("dedup_metrics", f"{P}, keys AS MATERIALIZED (SELECT node AS tail, k0, k1 FROM ({KEYS}) kk), ranked AS MATERIALIZED ({plain_ranks('head', 'tail').replace('{bround}', 'round_even')}), told AS MATERIALIZED (SELECT r.rank, {LEAKS} FROM ranked r JOIN keys n ON n.tail = r.tail) {AGAIN.format('k0')} UNION ALL {AGAIN.format('k1')}")  # MET-16: ranks again without rows whose twin trains, by both keys
+def _(spark, sf):
+    parts = parts_of(spark, sf)
+    names = spark.sql(NAMES).select(F.col("node").alias("tail"), text.compound_keys(False)("name").alias("k0"), text.compound_keys(True)("name").alias("k1"))
+    ranked = rank.popularity_ranks(parts).select("head", "tail", "rank").join(names, "tail")
+    trained = parts.where("part = 'train'").join(names, "tail")
+    for k in ("k0", "k1"):
+        ranked = ranked.join(trained.select("head", k).distinct().withColumn(f"leak_{k}", F.lit(True)), ["head", k], "left")
+    each = ranked.select("rank", F.explode(F.array(*[F.struct(F.lit(k).alias("grouping_key"), F.coalesce(f"leak_{k}", F.lit(False)).alias("leak")) for k in ("k0", "k1")])).alias("x"))
+    kept = lambda v: F.avg(F.when(~F.col("x.leak"), v))
+    return each.groupBy("x.grouping_key").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("x.leak"), 1)).alias("leaks"), F.round(kept(1 / F.col("rank")), 6).alias("mrr"), F.round(kept((F.col("rank") <= 10).cast("double")), 6).alias("hits_10")
+    )
+
+
 # --- sums and layers ------------------------------------------------------------------------------
 
 

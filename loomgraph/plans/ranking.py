@@ -45,8 +45,6 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "hits_by_degree": on_ranks("SELECT bin, count(*) AS n, round(avg(1.0 / rank), 6) AS mrr FROM (SELECT rank, CASE WHEN coalesce(d.n, 0) = 0 THEN '0' WHEN d.n <= 10 THEN '1-10' WHEN d.n <= 50 THEN '11-50' WHEN d.n <= 200 THEN '51-200' ELSE '>200' END AS bin FROM ranked LEFT JOIN (SELECT tail, count(*) AS n FROM parts WHERE part = 'train' GROUP BY tail) d ON d.tail = ranked.tail) x GROUP BY bin"),
     # GRA-19: rows whose anchor already has a target of the same brand in training
     "strata_redundancy": on_ranks("SELECT redundant, count(*) AS n, round(avg(1.0 / rank), 6) AS mrr FROM (SELECT ranked.rank, EXISTS (SELECT 1 FROM (SELECT p.head, b.tail AS brand FROM parts p JOIN kg b ON b.head = p.tail AND b.interaction = 'PART_BRAND' WHERE p.part = 'train') k WHERE k.head = ranked.head AND k.brand = mine.tail) AS redundant FROM ranked JOIN kg mine ON mine.head = ranked.tail AND mine.interaction = 'PART_BRAND') x GROUP BY redundant"),
-    # MET-16: test rows whose twin, the same anchor and a target of equal normalised name, trains are left out
-    "dedup_metrics": on_ranks("SELECT count(*) AS n, round(avg(1.0 / rank), 6) AS mrr FROM ranked JOIN (SELECT 'Part::' || p_partkey AS tail, substr(p_name, 1, instr(p_name || ' ', ' ') - 1) AS k FROM part) m ON m.tail = ranked.tail WHERE NOT EXISTS (SELECT 1 FROM (SELECT p.head, q.k FROM parts p JOIN (SELECT 'Part::' || p_partkey AS tail, substr(p_name, 1, instr(p_name || ' ', ' ') - 1) AS k FROM part) q ON q.tail = p.tail WHERE p.part = 'train') z WHERE z.head = ranked.head AND z.k = m.k)"),
     # ORD-04, ORD-05, MET-18: best three new targets. An anchor with n known targets finds them among the n + 3 first of the board
     "competitors_topk": (
         f"{P}, {SCORES}, board AS (SELECT tail, score, row_number() OVER (ORDER BY score DESC, tail) AS i FROM scores), places AS (SELECT head, explode(sequence(1, n + 3)) AS i FROM ({KNOWN}) a), c AS (SELECT p.head, b.tail, b.score FROM places p JOIN board b ON p.i = b.i) {TOP_NOVEL.format('c')}",
