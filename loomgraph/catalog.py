@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators import rank, split
-from loomgraph.plans import evaluation, features, models, ranking, reviewing, sql
+from loomgraph.plans import comparisons, evaluation, features, models, ranking, reviewing, sql
 from loomgraph.plans.ranking import plain_ranks as _rank_sql
 from loomgraph.sources.tables import KG, register, triples
 from loomgraph.streaming import windows
@@ -34,8 +34,8 @@ ORACLES = {name: _duck(sql.duck_text(name)) for name in sql.PLANS}
 for _name, _text in (ranking.PLANS | features.PLANS).items():
     _here, _there = (_text, _text) if isinstance(_text, str) else _text
     QUERIES[_name], ORACLES[_name] = _plan(sql.dialect(_here, False)), _duck(sql.dialect(_there, True))
-QUERIES |= evaluation.QUERIES | reviewing.QUERIES | models.QUERIES
-ORACLES |= {name: _duck(text_) for name, text_ in (evaluation.ORACLES | reviewing.ORACLES | models.ORACLES).items()}
+QUERIES |= evaluation.QUERIES | reviewing.QUERIES | models.QUERIES | comparisons.QUERIES
+ORACLES |= {name: _duck(text_) for name, text_ in (evaluation.ORACLES | reviewing.ORACLES | models.ORACLES | comparisons.ORACLES).items()}
 PARTS = "WITH parts AS (" + sql.SPLIT + ")"
 
 

@@ -47,8 +47,8 @@ def score_ranks(parts: DataFrame, scores: DataFrame, pool: DataFrame | None = No
     ``parts(head, tail, part)`` holds all splits. The pool of candidates is the
     relation's own ends on ``side``, or the nodes of ``pool(node)``; candidates
     without a score have ``default``. Filtered, other positives of the anchor are
-    no candidates. Test rows whose end is outside the pool are left out. One
-    window an anchor sorts its scored candidates; those without a score are only counted.
+    no candidates. Test rows whose end is outside the pool are left out. A window
+    an anchor sorts its different scores; candidates without a score are only counted.
     """
     if side == "head":
         swap = {"head": "tail", "tail": "head"}
@@ -63,14 +63,12 @@ def score_ranks(parts: DataFrame, scores: DataFrame, pool: DataFrame | None = No
     mine = test.join(scored, ["head", "tail"], "left")
     targets = mine.select("head", "tail", F.coalesce("score", F.lit(default)).alias("score"), F.lit(0).alias("c"), F.col("score").isNotNull().cast("int").alias("own"))
     cand = scored.join(known, ["head", "tail"], "left_anti") if filtered else scored
-    rows = targets.unionByName(cand.select("head", "tail", "score", F.lit(1).alias("c"), F.lit(0).alias("own")))
-    by = Window.partitionBy("head")
-    counted = rows.select(
-        "*",
-        F.sum("c").over(by.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("ge"),
-        F.sum("c").over(Window.partitionBy("head", "score")).alias("same"),
-        F.sum("c").over(by).alias("all"),
-    ).where("c = 0")
+    rows = targets.select("head", "score", "c").unionByName(cand.select("head", "score", F.lit(1).alias("c")))
+    # equal scores of an anchor are one row before anything is sorted
+    per = rows.repartition("head").groupBy("head", "score").agg(F.sum("c").alias("same"))
+    down = Window.partitionBy("head").orderBy(F.desc("score"))
+    per = per.withColumn("ge", F.sum("same").over(down)).withColumn("all", F.sum("same").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    counted = targets.join(per, ["head", "score"])
     if filtered:
         counted = counted.join(known.groupBy("head").agg(F.count("*").alias("k")), "head").withColumn("silent", F.lit(n_pool) - F.col("k") - F.col("all"))
         ge, same = F.col("ge"), F.col("same")

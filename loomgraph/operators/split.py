@@ -93,3 +93,20 @@ def global_random(df: DataFrame, test: float = 0.2, val: float = 0.15, seed: int
     """``df(head, tail)`` with ``part`` by a hash of the pair, whatever the tail; shares hold on average."""
     u = draw(F.concat_ws("|", F.lit(str(seed)), "head", "tail")) / F.lit(float(1 << 32))
     return df.withColumn("part", F.when(u < test, "test").when(u < test + (1 - test) * val, "val").otherwise("train"))
+
+
+def supervision(positives: DataFrame, epoch: int, ratio: float = 0.3, seed: int = 42) -> DataFrame:
+    """(head, tail, role, reverse) of an epoch: some of the distinct ``positives(head, tail)`` supervise, the rest stay in the graph with their reverses.
+
+    Of n pairs min(n - 1, max(1, round half even(ratio * n))) supervise, other
+    ones each epoch, first by a digest of seed, epoch and pair. They are numbered
+    by ranges, so no task sorts all. A single pair stays in the graph.
+    """
+    pairs = positives.select("head", "tail").distinct().withColumn("_k", order_key(seed + epoch, "head", "tail"))
+    told = cut(numbered(pairs, "_k", "head", "tail", name="_i"))
+    n = told.count()
+    many = min(n - 1, max(1, round(n * ratio)))
+    role = F.when(F.col("_i") < many, "supervises").otherwise("graph")
+    rows = told.select("head", "tail", role.alias("role"), F.lit(False).alias("reverse"))
+    back = rows.where("role = 'graph'").select(F.col("tail").alias("head"), F.col("head").alias("tail"), "role", F.lit(True).alias("reverse"))
+    return rows.unionByName(back)
