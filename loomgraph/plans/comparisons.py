@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import stats
-from loomgraph.operators import evidence, exact, rank, split
-from loomgraph.plans.evaluation import P, parts_of, ranked_sql
+from loomgraph.operators import evidence, exact, graph, rank, split
+from loomgraph.plans.evaluation import P, WALKS, _walk_edges, parts_of, ranked_sql
 from loomgraph.plans.models import V, _model
 from loomgraph.sources.tables import register, triples
 
@@ -116,3 +116,27 @@ def _(spark, sf):
     rows = parts.where("part = 'train'").join(sq.toDF("head", "h"), "head").join(sq.toDF("tail", "t"), "tail")
     told = rows.agg(F.count("*").alias("n"), exact.exact_avg(F.col("h")).alias("h"), exact.exact_avg(F.col("t")).alias("t")).join(F.broadcast(rel))  # one row each
     return told.select("n", F.round("h", 9).alias("heads"), F.round("t", 9).alias("tails"), F.round(F.col("h") + F.col("t") + F.col("r"), 9).alias("penalty"))
+
+
+BETAS = (0.001, 0.01, 0.05, 0.2)
+PLATEAU = 0.002
+
+
+def _katz_sql(beta: float) -> str:
+    b = f"{beta}::DOUBLE"
+    scores = f"(SELECT head, tail, round(a * {b} + b * ({b} * {b}) + c * ({b} * {b} * {b}), 9) AS s FROM w)"
+    return f"SELECT {b} AS beta, mrr FROM ({ranked_sql('katz', scores)}) k{str(beta).replace('.', '')}"
+
+
+@add("beta_choice", P + ((WALKS.removeprefix(P).rsplit(", sc AS", 1)[0].rsplit(",\nsc AS", 1)[0]) + ", g AS (" + " UNION ALL ".join(map(_katz_sql, BETAS)) + f""") SELECT beta, mrr, row_number() OVER (ORDER BY mrr DESC, beta) = 1 AS chosen,
+CASE WHEN row_number() OVER (ORDER BY mrr DESC, beta) > 1 THEN '' WHEN beta NOT IN ({BETAS[0]}, {BETAS[-1]}) THEN 'inside the grid' WHEN mrr - (SELECT max(mrr) FROM g WHERE beta IN ({BETAS[1]}, {BETAS[-2]})) > {PLATEAU} THEN 'the optimum may lie outside' ELSE 'the edge of a plateau' END AS note FROM g""").replace("'test'", "'val'"))  # GRA-13: beta, on validation
+def _(spark, sf):
+    parts = parts_of(spark, sf)
+    judged = parts.withColumn("part", F.when(F.col("part") == "val", "test").when(F.col("part") == "test", "other").otherwise("train"))
+    walked = graph.cut(graph.walks(_walk_edges(spark, sf, parts), judged.where("part = 'test'").select("head").distinct()))
+    one = lambda b: rank.summary(rank.score_ranks(judged, graph.katz(walked, b)), "katz").select(F.lit(b).alias("beta"), "mrr")
+    grid = graph.cut(reduce(DataFrame.unionByName, map(one, BETAS)))  # a row a choice
+    inner = grid.where(F.col("beta").isin(BETAS[1], BETAS[-2])).agg(F.max("mrr").alias("inner"))
+    first = F.row_number().over(Window.orderBy(F.desc("mrr"), "beta")) == 1
+    note = F.when(~F.col("chosen"), "").when(~F.col("beta").isin(BETAS[0], BETAS[-1]), "inside the grid").when(F.col("mrr") - F.col("inner") > PLATEAU, "the optimum may lie outside").otherwise("the edge of a plateau")
+    return grid.join(F.broadcast(inner)).withColumn("chosen", first).select("beta", "mrr", "chosen", note.alias("note"))

@@ -1,18 +1,26 @@
-"""One-time ingest of files that Spark can't split: JSON arrays and CSV members of ZIP archives, streamed in bounded memory to splittable files."""
+"""One-time ingest of files that Spark can't split: JSON arrays and CSV members of ZIP archives, and downloads, streamed in bounded memory by tasks; ``..._to_lines`` do it on one machine."""
 
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import itertools
 import json
 import os
 import re
+import urllib.request
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomgraph.sources.runs import kept
+from loomgraph.sources.sinks import shared_dir
 from loomgraph.sources.tables import RAW_EDGE, RAW_NODE
 
 
@@ -97,6 +105,78 @@ def csv_to_lines(zipped: str, lines: str, ending: str = ".csv", longest: int = 1
     return n
 
 
+#: Rows that a task hands on at once.
+_BATCH = 2_000
+
+
+def _opened(path: str):
+    """A file that can be sought in: of a mounted file system, or of any that Arrow knows by its scheme."""
+    if "://" not in path or path.startswith("file://"):
+        return open(path.removeprefix("file://"), "rb")
+    files, place = pafs.FileSystem.from_uri(path)
+    return files.open_input_file(place)
+
+
+def member_rows(spark: SparkSession, archives: list[str], ending: str, longest: int = 1 << 30) -> DataFrame:
+    """(archive, n, value): the values of the one member of each ZIP archive that ends in ``ending``, as JSON texts in their order.
+
+    A member ending in ``.csv`` is rows of a table with a header, bytes that are
+    no UTF-8 dropped; any other is a JSON array. Each archive is streamed by a task
+    of its own in bounded memory, since neither form can be split; write the result
+    once (``runs.kept``) and it can. Paths are seen by all executors. An archive
+    without such a member, with several, or whose array breaks off ends the query.
+    """
+
+    def values(stream) -> Iterator[str]:
+        if ending.endswith(".csv"):
+            csv.field_size_limit(longest)
+            for row in csv.DictReader(io.TextIOWrapper(stream, encoding="utf-8", errors="ignore", newline="")):
+                yield json.dumps(row, ensure_ascii=False)
+        else:
+            for value in array_items(stream):
+                yield json.dumps(value, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with _opened(path) as file, zipfile.ZipFile(file) as archive, archive.open(_member(archive, ending)) as stream:
+                    n, found = 0, values(stream)
+                    while part := list(itertools.islice(found, _BATCH)):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(n, n + len(part)), pa.int64()), pa.array(part)], ["archive", "n", "value"])
+                        n += len(part)
+
+    names = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(max(1, len(archives)), "archive")
+    return names.mapInArrow(run, "archive string, n long, value string")
+
+
+def typed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The JSON texts ``value`` of ``rows`` as columns; fields that a text lacks are null."""
+    return rows.select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
+def fetched(spark: SparkSession, wanted: dict[str, str], folder: str | None = None, part: int = 4 << 20) -> DataFrame:
+    """(url, part, content) of files over HTTP whose SHA-256 are those ``wanted``, kept in the shared folder once all are there.
+
+    A file is streamed by one task; if its digest is another, the job fails and nothing is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url, sha in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                told, n = hashlib.sha256(), 0
+                with urllib.request.urlopen(url, timeout=60) as answer:  # noqa: S310
+                    while content := answer.read(part):
+                        told.update(content)
+                        yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([n]), pa.array([content], pa.binary())], ["url", "part", "content"])
+                        n += 1
+                if told.hexdigest() != sha:
+                    raise RuntimeError(f"{url} has the digest {told.hexdigest()}, not {sha}")
+
+    rows = spark.createDataFrame(sorted(wanted.items()), "url string, sha string").repartition(max(1, len(wanted)), "url")
+    name = hashlib.sha256(json.dumps(sorted(wanted.items())).encode()).hexdigest()[:32]
+    return kept(spark, f"{folder or shared_dir(spark)}/loom-files-{name}", lambda: rows.mapInArrow(run, "url string, part long, content binary"))
+
+
 def entity_key(kind: Column, entity: Column) -> Column:
     return F.concat(kind, F.lit("::"), entity)
 

@@ -1,14 +1,18 @@
 """Paged sources against a server that fails, and tables kept by what they are made of."""
 
+import hashlib
 import http.server
+import json
 import threading
+import zipfile
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.operators import pools
-from loomgraph.sources import paged
+from loomgraph.sources import ingest, paged
 
 
 @pytest.fixture
@@ -82,3 +86,37 @@ def test_tables_are_made_once_for_their_rows(spark, tmp_path):
     known = pools.known_pairs(pairs, folder)
     asked = spark.createDataFrame([("h0", "t0", 1), ("h0", "t1", 2), ("zz", "t0", 3)], "head string, tail string, n int")
     assert sorted(r.n for r in pools.unknown(asked, known).collect()) == [2, 3]
+
+
+def test_archives_are_streamed_by_tasks(spark, tmp_path):
+    def zipped(name, members):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, body in members.items():
+                z.writestr(member, body)
+        return str(tmp_path / name)
+
+    many = [{"uri": f"u{i}", "label": "é\tx" * (i % 3), "n": i} for i in range(5_000)]
+    one, two = zipped("a.zip", {"x/nodes.json": json.dumps(many, indent=1), "other.txt": "?"}), zipped("b.zip", {"nodes.json": "[]"})
+    rows = ingest.member_rows(spark, [one, f"file://{two}"], "nodes.json")
+    got = ingest.typed(rows, T.StructType([T.StructField("uri", T.StringType()), T.StructField("n", T.LongType()), T.StructField("none", T.StringType())]))
+    assert sorted((r.uri, r.n) for r in got.collect()) == sorted((r["uri"], r["n"]) for r in many) and got.where("none is not null").count() == 0
+    assert [r.n for r in rows.select("n").orderBy("n").collect()] == list(range(5_000))
+    table = zipped("c.zip", {"t.csv": "id,groups\n1,a b\n2,\"x,\ny\"\n".encode() + b"3,\xff!\n"})
+    csv_rows = ingest.typed(ingest.member_rows(spark, [table], ".csv"), T.StructType([T.StructField(c, T.StringType()) for c in ("id", "groups")]))
+    assert sorted(map(tuple, csv_rows.collect())) == [("1", "a b"), ("2", "x,\ny"), ("3", "!")]
+    for bad in ({"nodes.json": "[{}, "}, {}, {"a/nodes.json": "[]", "b/nodes.json": "[]"}):
+        with pytest.raises(Exception, match="breaks off|members end in"):
+            ingest.member_rows(spark, [zipped("bad.zip", bad)], "nodes.json").count()
+
+
+def test_downloads_are_kept_when_their_digest_is_right(spark, server, tmp_path):
+    url, asked, broken = server
+    broken["until"] = 0
+    address = url + "/tsv?p=1"
+    sha = hashlib.sha256(b"id\tname\n1\ta b\n101\t\n").hexdigest()
+    with pytest.raises(Exception, match="has the digest"):
+        ingest.fetched(spark, {address: "0" * 64}, f"file://{tmp_path}").count()
+    for _ in range(2):
+        got = ingest.fetched(spark, {address: sha}, f"file://{tmp_path}", part=5).orderBy("part").collect()
+        assert b"".join(bytes(r.content) for r in got).startswith(b"id\tname") and len(got) == 4
+    assert asked["/tsv?p=1"] == 2  # once for the wrong digest, once for the right one
