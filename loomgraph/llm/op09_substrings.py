@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import discard, materialize
+from loomgraph.llm.shared import discard, materialize, shared_dir
 from loomgraph.llm.textkit import CHUNK, _powers, lean, mix, signed, text_chunks
 
 LENGTH, K = 100, 32
@@ -126,15 +126,25 @@ class SuffixFamily:
         self.levels: list[tuple[int, str]] = []
 
     def _write(self, rows: DataFrame) -> str:
+        """A bucketed table whose files are in the shared folder, as executors may not see the driver's warehouse."""
         name = f"loom_suffixes_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         try:
-            rows.repartition(n, "h").write.bucketBy(n, "h").sortBy("h").option("compression", "zstd").saveAsTable(name)
+            rows.repartition(n, "h").write.bucketBy(n, "h").sortBy("h").option("compression", "zstd").option("path", self._folder(name)).saveAsTable(name)
         except BaseException:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._drop(name)
             raise
         return name
 
+    def _folder(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        sc = self.spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(self._folder(name))
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
     def add(self, batch: DataFrame, merge: bool = True) -> DataFrame:
         """Index the suffixes ``batch(h, uid, at, stop)``: fingerprints that it holds twice or that a level holds."""
         name = self._write(batch)
@@ -148,7 +158,7 @@ class SuffixFamily:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((rank + 1, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
             for x in (a, b):
-                self.spark.sql(f"DROP TABLE {x}")
+                self._drop(x)
         return found
 
     def rows(self) -> DataFrame:
@@ -160,7 +170,7 @@ class SuffixFamily:
 
     def drop(self) -> None:
         for _, level in self.levels:
-            self.spark.sql(f"DROP TABLE IF EXISTS {level}")
+            self._drop(level)
         self.levels = []
 
 
