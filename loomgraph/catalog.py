@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +11,17 @@ from loomgraph.functions import text
 from loomgraph.operators import rank, split
 from loomgraph.plans import comparisons, evaluation, features, models, ranking, reviewing, sql
 from loomgraph.plans.ranking import plain_ranks as _rank_sql
-from loomgraph.sources.tables import KG, register, triples
+from loomgraph.sources.tables import KG, register, triples, views
 from loomgraph.streaming import windows
 
 WITH_KG = f"WITH RECURSIVE kg AS MATERIALIZED ({KG}) "
 
 
 def _plan(text_: str):
+    ready = register if re.search(r"\bkg\b", text_) else views
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        ready(spark, sf_dir)
         return spark.sql(text_)
 
     return run
@@ -79,19 +83,19 @@ def _(spark, sf):
 
 @add("norm_name_parts", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (2+)')), '\s*\(\d*[+-]\)$', ''), '^\((?:r|s|e|z|\+|-)\)-', ''), '[^a-z0-9 ]', '', 'g')) AS name FROM part")
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     return spark.table("part").select("p_partkey", text.norm_name(F.concat("p_name", F.lit(" (2+)"))).alias("name"))
 
 
 @add("family_key_parts", r"SELECT p_partkey, CASE WHEN len(t) >= 2 THEN array_to_string(list_slice(t, 1, 3), ' ') END AS family FROM (SELECT p_partkey, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(p_name || ' type-' || p_type), '\(human\)', '', 'g'), '[0-9]', '', 'g'), '[,\- ]'), lambda x: length(x) > 2) AS t FROM part) a")
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     return spark.table("part").select("p_partkey", text.family_key(F.concat("p_name", F.lit(" type-"), "p_type")).alias("family"))
 
 
 @add("distmult_scores", "SELECT a.vec_id AS h, b.vec_id AS t, round(list_sum(list_transform(list_zip(a.embedding, r.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE * z[3]::DOUBLE)), 4) + 0.0 AS score FROM embeddings a JOIN embeddings r ON r.vec_id = 3 JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)")
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     e = spark.table("embeddings")
     a = e.crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).select(F.col("vec_id").alias("h"), F.col("embedding").alias("x"), ((F.col("vec_id") * 7 + 1) % F.col("n")).alias("t"))
     r = e.where("vec_id = 3").select(F.col("embedding").alias("r"))
@@ -103,7 +107,7 @@ def _(spark, sf):
 
 @add("events_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     return windows.sessions(spark.table("events"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import evidence, rank, review, tests_of_runs
 from loomgraph.plans.sql import BOTH
-from loomgraph.sources.tables import register, triples
+from loomgraph.sources.tables import triples, views
 from loomgraph.streaming import windows
 
 QUERIES, ORACLES = {}, {}
@@ -88,7 +88,7 @@ FILLED = "SELECT 'IT' || p_partkey AS item_id, CASE p_size % 3 WHEN 0 THEN 'topk
 @add("review_agreement", f"""WITH f AS ({FILLED}), r AS (SELECT stratum, CASE WHEN lower(expert_plausible) LIKE 'y%' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p, CASE WHEN lower(trim(expert_tier)) IN ('high', 'moderate') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM f WHERE trim(expert_tier) <> ''), g AS (SELECT stratum, count(*) AS n, avg(p) AS p, avg(s) AS s FROM r GROUP BY stratum)
 SELECT g.stratum, g.n, round(g.p, 6) AS plausible, round(g.s, 6) AS supported, round(t.p - g.p, 6) AS top_less_plausible, round(t.s - g.s, 6) AS top_less_supported FROM g LEFT JOIN (SELECT p, s FROM g WHERE stratum = 'topk') t ON true""")  # STA-13, FUN-08, JON-06
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     sheet = spark.sql(FILLED)
     return review.agreement(sheet.drop("stratum"), sheet.select("item_id", "stratum"))
 
@@ -102,14 +102,14 @@ DAYS = "SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS epoch,
 l AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM i), s AS (SELECT user_id, min(CASE WHEN epoch - last >= 5 THEN epoch END) AS stop FROM l GROUP BY user_id)
 SELECT l.user_id, max(l.last)::INT AS best_epoch, round(max(l.value), 6) AS best, any_value(s.stop)::INT AS stopped FROM l JOIN s ON s.user_id = l.user_id WHERE s.stop IS NULL OR l.epoch < s.stop GROUP BY l.user_id""")  # ORD-10
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     days = spark.table("events").groupBy("user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("epoch")).agg(F.max("value").alias("value"))
     return tests_of_runs.early_stop(days.withColumnRenamed("user_id", "run"), patience=5).select(F.col("run").alias("user_id"), "best_epoch", F.round("best", 6).alias("best"), "stopped")
 
 
 @add("metric_texts", "SELECT event_type, count(*) AS n, format('{:.3f}±{:.3f}', avg(value), stddev_samp(value)) AS mean_sd, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem FROM events GROUP BY event_type")  # AGG-13, STA-14, FUN-12
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     sd = F.stddev_samp("value")
     return spark.table("events").groupBy("event_type").agg(
         F.count("*").alias("n"), F.format_string("%.3f±%.3f", F.avg("value"), sd).alias("mean_sd"), F.round(sd / F.sqrt(F.count("*")), 6).alias("sem")
@@ -118,14 +118,14 @@ def _(spark, sf):
 
 @add("props_flattened", "SELECT 'k' AS name, count(*) AS n, sum(regexp_extract(props, '\"k\": *([0-9]+)', 1)::BIGINT)::BIGINT AS total FROM events WHERE props LIKE '%\"k\"%'")  # FUN-13, SRC-17
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     each = spark.table("events").select(F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
     return each.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
 @add("events_sliding", "SELECT strftime(date_trunc('day', ts) - to_days(i::INT), '%Y-%m-%d') AS start, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 3) AS total FROM events CROSS JOIN range(7) g(i) GROUP BY 1")  # EXT-01
 def _(spark, sf):
-    register(spark, sf)
+    views(spark, sf)
     return windows.sliding(spark.table("events"))
 
 
