@@ -1,6 +1,10 @@
 """Steps whose cost must follow the input: the graph's tables, ranks over shared lists, counts by classes."""
 
+import duckdb
+
 from loomgraph import catalog
+from loomgraph.operators import draws
+from loomgraph.plans import models
 from loomgraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +22,25 @@ def test_plans_without_the_graph_do_not_write_it(spark, monkeypatch):
     for name in ("effective_rank", "first_and_newest", "events_tumbling", "events_sessions", "cumulative_within"):
         catalog.QUERIES[name](spark, SF).collect()
     assert not tables._written
+
+
+def test_competitors_count_equal_scores_and_need_no_tiles(spark, monkeypatch):
+    monkeypatch.setattr(models.scoring, "best", None)
+    assert "c.s >= x.s" in catalog.ORACLES["competitors_above"]
+    got = catalog.QUERIES["competitors_above"](spark, SF).collect()
+    duck = duckdb.connect()
+    for name in ("lineitem", "orders", "part", "supplier", "customer", "nation"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = duck.execute(catalog.ORACLES["competitors_above"]).fetchall()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_enrichment_by_shared_values_is_that_by_listed_pairs(spark):
+    nodes = spark.createDataFrame([(f"t{i}",) for i in range(40)], "node string")
+    values = spark.createDataFrame([("same", f"t{i}", f"v{i % 5}") for i in range(40)], "criterion string, node string, value string")
+    pairs = [("same", f"t{a}", f"t{b}") for a in range(40) for b in range(40) if a != b and a % 5 == b % 5]
+    schema = "criterion string, target string, other string"
+    observed = spark.createDataFrame([("i", "t1", "t6"), ("i", "t1", "t2"), ("j", "t3", "t8")], "item string, target string, other string")
+    want = draws.enrichment(observed, nodes, spark.createDataFrame(pairs, schema)).collect()
+    got = draws.enrichment(observed, nodes, spark.createDataFrame([], schema), values=values).collect()
+    assert want and got == want
