@@ -3,7 +3,7 @@
 import duckdb
 
 from loomgraph import catalog
-from loomgraph.operators import draws
+from loomgraph.operators import draws, scoring
 from loomgraph.plans import models
 from loomgraph.sources import tables
 
@@ -44,3 +44,29 @@ def test_enrichment_by_shared_values_is_that_by_listed_pairs(spark):
     want = draws.enrichment(observed, nodes, spark.createDataFrame(pairs, schema)).collect()
     got = draws.enrichment(observed, nodes, spark.createDataFrame([], schema), values=values).collect()
     assert want and got == want
+
+
+def test_equal_vectors_are_scored_once(spark, monkeypatch):
+    seen, dealt = [], scoring._dealt
+    monkeypatch.setattr(scoring, "_dealt", lambda q, c, *rest: seen.append((q.count(), c.count())) or dealt(q, c, *rest))
+    parts = spark.createDataFrame([(f"h{i}", f"t{j}", "test" if (i + j) % 3 == 0 else "train") for i in range(12) for j in range(30) if (i * j) % 4 == 1], "head string, tail string, part string")
+    queries = spark.createDataFrame([(f"h{i}", [1.0, i % 2 - 0.5]) for i in range(12)], "node string, query array<double>")
+    vectors = spark.createDataFrame([(f"t{j}", [j % 3 / 2, 1.0]) for j in range(30)], "node string, vector array<double>")
+    rows = [tuple(r) for r in parts.collect()]
+    score = lambda h, t: int(t[1:]) % 3 / 2 + int(h[1:]) % 2 - 0.5
+    known, pool = {(h, t) for h, t, _ in rows}, {t for _, t, _ in rows}
+    want = {}
+    for h, t, part in rows:
+        if part == "test":
+            other = [score(h, x) for x in pool if (h, x) not in known]
+            want[h, t] = sum(x > score(h, t) for x in other), sum(x == score(h, t) for x in other)
+    got = {(r.head, r.tail): (r.greater, r.ties) for r in scoring.model_ranks(parts, queries, vectors).collect()}
+    assert got == want and seen and all(q <= 2 and c <= 3 for q, c in seen)
+
+
+def test_best_novel_orders_equal_scores_of_different_vectors_by_name(spark):
+    queries = spark.createDataFrame([("g", [1.0, 0.0]), ("h", [1.0, 0.0])], "node string, query array<double>")
+    vectors = spark.createDataFrame([(f"t{j:02}", [1.0, float(j * 7 % 20)]) for j in range(20)], "node string, vector array<double>")
+    known = spark.createDataFrame([("h", "t00"), ("h", "t02"), ("h", "t19")], "anchor string, node string")
+    got = {(r.anchor, r.place): r.node for r in scoring.best_novel(queries, vectors, known, 2).collect()}
+    assert got == {("g", 1): "t00", ("g", 2): "t01", ("h", 1): "t01", ("h", 2): "t03"}
