@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import rank, split
+from loomgraph.operators import ids, rank, split
 from loomgraph.plans import comparisons, evaluation, features, models, ranking, reviewing, sql
 from loomgraph.plans.ranking import plain_ranks as _rank_sql
 from loomgraph.sources.tables import KG, register, triples, views
@@ -140,3 +140,11 @@ def _(spark, sf):
     return rank.popularity_ranks(_parts(spark, sf), filtered=False)
 
 
+
+
+@add("split_disjoint_supervision")  # numbered by ranges; its SQL stays that of the plan
+def _(spark, sf):
+    train = _parts(spark, sf).where("part = 'train'").select("head", "tail")
+    n = train.count()
+    told = ids.numbered(train.withColumn("_o", F.md5(F.concat(F.lit("7|"), "head", F.lit("|"), "tail"))), "_o", "head", "tail", name="i")
+    return told.select("head", "tail", (F.col("i") < min(n - 1, max(1, round(n * 0.3)))).alias("supervises"))
