@@ -1,9 +1,10 @@
 """Steps whose cost must follow the input: the graph's tables, ranks over shared lists, counts by classes."""
 
 import duckdb
+import pytest
 
 from loomgraph import catalog
-from loomgraph.operators import draws, scoring
+from loomgraph.operators import draws, graph, scoring
 from loomgraph.plans import models
 from loomgraph.sources import tables
 
@@ -70,3 +71,31 @@ def test_best_novel_orders_equal_scores_of_different_vectors_by_name(spark):
     known = spark.createDataFrame([("h", "t00"), ("h", "t02"), ("h", "t19")], "anchor string, node string")
     got = {(r.anchor, r.place): r.node for r in scoring.best_novel(queries, vectors, known, 2).collect()}
     assert got == {("g", 1): "t00", ("g", 2): "t01", ("h", 1): "t01", ("h", 2): "t03"}
+
+
+@pytest.mark.parametrize("hops", [2, 3, 4])
+def test_pair_distance_is_that_of_a_plain_search_and_makes_no_balls(spark, monkeypatch, hops):
+    monkeypatch.setattr(graph, "bfs", None)
+    edges = [(f"a{i}", f"b{i * 5 % 17}") for i in range(30)] + [(f"b{i}", f"c{i % 4}") for i in range(17)] + [("c0", "d"), ("d", "e"), ("a1", "a1"), ("a1", "a2")]
+    near: dict[str, set[str]] = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v), near.setdefault(v, set()).add(u)
+    asked = [(f"a{i}", x) for i in range(6) for x in ("a1", "a7", "b3", "c0", "d", "e", "none")]
+    want = {}
+    for h, t in asked:
+        front, seen, d = {h}, {h}, 0
+        while t not in seen and d < hops and front:
+            front = {x for n in front for x in near.get(n, ())} - seen
+            seen |= front
+            d += 1
+        want[h, t] = d if t in seen else -1
+    got = graph.pair_distance(spark.createDataFrame(edges, "head string, tail string"), spark.createDataFrame(asked, "head string, tail string"), hops)
+    assert {(r.head, r.tail): r.dist for r in got.collect()} == want
+
+
+def test_supervision_has_no_window_over_all_rows_and_a_name_meets_counted_edges(spark):
+    plan = lambda name: catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "Window" not in plan("split_disjoint_supervision")
+    assert "count(head" in plan("kg_coverage_zero_rows").split("Join")[-1]
+    assert plan("relative_contrast").count("generate posexplode") == 0
