@@ -11,17 +11,24 @@ from loomgraph.functions import text
 from loomgraph.operators import ids, rank, split
 from loomgraph.plans import comparisons, evaluation, features, models, ranking, reviewing, sql
 from loomgraph.plans.ranking import plain_ranks as _rank_sql
-from loomgraph.sources.tables import KG, register, triples, views
+from loomgraph.sources.tables import KG, NAMES, register, triples, views
 from loomgraph.streaming import windows
 
 WITH_KG = f"WITH RECURSIVE kg AS MATERIALIZED ({KG}) "
 
 
-def _plan(text_: str):
-    ready = register if re.search(r"\bkg\b", text_) else views
+def named_in(text_: str) -> list[str]:
+    """The relations that a plan reads: those it names if every use of ``kg`` is held to some, else all."""
+    uses, held = len(re.findall(r"\bkg\b", text_)), len(re.findall(r"\binteraction (?:=|IN)", text_))
+    return [name for name in NAMES if f"'{name}'" in text_ or uses > held]
+
 
+def _plan(text_: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ready(spark, sf_dir)
+        if re.search(r"\bkg\b", text_):
+            register(spark, sf_dir, *named_in(text_))
+        else:
+            views(spark, sf_dir)
         return spark.sql(text_)
 
     return run

@@ -36,7 +36,7 @@ SAME = "SELECT DISTINCT c.head, c.tail FROM c JOIN (SELECT DISTINCT k.head, x.ta
 z AS (SELECT CASE WHEN p1.head IS NULL THEN 0 ELSE 1 END AS a, CASE WHEN p2.head IS NULL THEN 0 ELSE 1 END AS b, CASE WHEN p3.head IS NULL THEN 0 ELSE 1 END AS g FROM c LEFT JOIN p1 ON p1.head = c.head AND p1.tail = c.tail LEFT JOIN p2 ON p2.head = c.head AND p2.tail = c.tail LEFT JOIN p3 ON p3.head = c.head AND p3.tail = c.tail)
 SELECT CASE WHEN a + b + g = 0 THEN '-' ELSE substr(CASE a WHEN 1 THEN '+LINK' ELSE '' END || CASE b WHEN 1 THEN '+PATHWAY' ELSE '' END || CASE g WHEN 1 THEN '+GROUP' ELSE '' END, 2) END AS evidence, (a + b + g)::INT AS n_evidence, (CASE WHEN a + b + g >= 2 THEN 1 WHEN a + b + g = 1 THEN 2 ELSE 3 END)::INT AS tier, count(*) AS n FROM z GROUP BY a, b, g""")  # GRA-16, GRA-18
 def _(spark, sf):
-    kg = triples(spark, sf)
+    kg = triples(spark, sf, "RETURNED", "BOUGHT", "CO_ORDER", "PART_SIZE", "PART_BRAND")
     known = _pairs(kg, "RETURNED")
     novel = _pairs(kg, "BOUGHT").join(known, ["head", "tail"], "left_anti")
     kinds = {
@@ -55,7 +55,7 @@ r AS (SELECT head, tail FROM kg WHERE interaction = 'NATION_REGION'), f AS (SELE
 SELECT c.head, c.tail, CASE WHEN m.head IS NOT NULL AND f.head IS NOT NULL THEN 'PATH+PHENOTYPE' WHEN m.head IS NOT NULL THEN 'PATH' WHEN f.head IS NOT NULL THEN 'PHENOTYPE' ELSE '-' END AS evidence, (CASE WHEN m.head IS NOT NULL AND f.head IS NOT NULL THEN 1 WHEN m.head IS NOT NULL OR f.head IS NOT NULL THEN 2 ELSE 3 END)::INT AS tier
 FROM c LEFT JOIN m ON m.head = c.head AND m.tail = c.tail LEFT JOIN f ON f.head = c.head AND f.tail = c.tail""")  # GRA-17, GRA-18, JON-17, JON-18
 def _(spark, sf):
-    kg = triples(spark, sf)
+    kg = triples(spark, sf, "BOUGHT", "RETURNED", "PART_SUPPLIER", "SUPPLIER_NATION", "CUST_NATION", "NATION_REGION")
     steps, known = (_pairs(kg, "PART_SUPPLIER"), _pairs(kg, "SUPPLIER_NATION")), _pairs(kg, "CUST_NATION")
     at = _pairs(kg, "BOUGHT")
     for step in steps:
@@ -74,7 +74,7 @@ BUSY = "b AS MATERIALIZED (SELECT tail, count(*) AS s FROM kg WHERE interaction
 q AS (SELECT h.head, b.tail, row_number() OVER (PARTITION BY h.head ORDER BY b.s DESC, b.tail) AS place FROM h CROSS JOIN b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.head = h.head AND k.tail = b.tail))
 SELECT q.head, count(*) AS n, round(avg(CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.tail = q.tail) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS outside FROM q WHERE place <= 10 GROUP BY q.head""")  # MET-13, MET-18
 def _(spark, sf):
-    kg = triples(spark, sf)
+    kg = triples(spark, sf, "RETURNED", "BOUGHT")
     known, busy = _pairs(kg, "RETURNED"), _pairs(kg, "BOUGHT").groupBy("tail").agg(F.count("*").alias("s"))
     first = rank.first_novel(known.select("head").distinct(), known, busy, 10)
     inside = known.select("tail").distinct().withColumn("inside", F.lit(1))
@@ -131,6 +131,6 @@ def _(spark, sf):
 
 @add("label_lookup", "SELECT k.tail AS entity, coalesce(p.p_name, '') AS label, count(*) AS n FROM kg k LEFT JOIN part p ON 'Part::' || p.p_partkey = k.tail AND p.p_size > 10 WHERE k.interaction = 'RETURNED' GROUP BY 1, 2")  # JON-08, SRC-10
 def _(spark, sf):
-    known = _pairs(triples(spark, sf), "RETURNED")
+    known = _pairs(triples(spark, sf, "RETURNED"), "RETURNED")
     names = spark.table("part").where("p_size > 10").select(F.concat(F.lit("Part::"), F.col("p_partkey").cast("string")).alias("tail"), "p_name")
     return known.join(names, "tail", "left").groupBy(F.col("tail").alias("entity"), F.coalesce("p_name", F.lit("")).alias("label")).agg(F.count("*").alias("n"))

@@ -99,3 +99,29 @@ def test_supervision_has_no_window_over_all_rows_and_a_name_meets_counted_edges(
     assert "Window" not in plan("split_disjoint_supervision")
     assert "count(head" in plan("kg_coverage_zero_rows").split("Join")[-1]
     assert plan("relative_contrast").count("generate posexplode") == 0
+
+
+def test_queries_write_the_relations_that_they_name_only(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_written", {})
+    for name in ("duplicate_leaks", "composite_metric", "lca_distance", "rank_popularity_tail"):
+        assert catalog.QUERIES[name](spark, SF).count()
+    (paths,) = tables._written.values()
+    assert set(paths) == {"RETURNED", "CUST_NATION", "SUPPLIER_NATION", "NATION_REGION"}
+
+
+def test_plans_find_all_they_need_in_the_relations_that_they_name():
+    duck = duckdb.connect()
+    for name in tables.TABLES:
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    duck.execute(f"CREATE TABLE whole AS {tables.KG}")
+    texts = {name: catalog.sql.duck_text(name) for name in catalog.sql.PLANS} | {name: catalog.sql.dialect(t if isinstance(t, str) else t[1], True) for name, t in (catalog.ranking.PLANS | catalog.features.PLANS).items()}
+    fewer = 0
+    for name, text in texts.items():
+        if "kg" in text and len(need := catalog.named_in(text)) < len(tables.NAMES):
+            rows = []
+            for where in ("true", f"interaction IN ({', '.join(map(repr, need))})"):
+                duck.execute(f"CREATE OR REPLACE VIEW kg AS SELECT * FROM whole WHERE {where}")
+                rows.append(duck.execute(f"SELECT count(*), sum(hash(x)::DOUBLE) FROM ({text}) x").fetchone())
+            assert rows[0] == pytest.approx(rows[1], rel=1e-6), name
+            fewer += 1
+    assert fewer > 20
