@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import evidence, rank, review, tests_of_runs
+from loomgraph.operators import evidence, graph, rank, review, tests_of_runs
 from loomgraph.plans.sql import BOTH
 from loomgraph.sources.tables import triples, views
 from loomgraph.streaming import windows
@@ -56,12 +56,12 @@ SELECT c.head, c.tail, CASE WHEN m.head IS NOT NULL AND f.head IS NOT NULL THEN
 FROM c LEFT JOIN m ON m.head = c.head AND m.tail = c.tail LEFT JOIN f ON f.head = c.head AND f.tail = c.tail""")  # GRA-17, GRA-18, JON-17, JON-18
 def _(spark, sf):
     kg = triples(spark, sf, "BOUGHT", "RETURNED", "PART_SUPPLIER", "SUPPLIER_NATION", "CUST_NATION", "NATION_REGION")
-    steps, known = (_pairs(kg, "PART_SUPPLIER"), _pairs(kg, "SUPPLIER_NATION")), _pairs(kg, "CUST_NATION")
-    at = _pairs(kg, "BOUGHT")
-    for step in steps:
-        at = at.join(step.select(F.col("head").alias("tail"), F.col("tail").alias("to")), "tail").select("head", F.col("to").alias("tail")).distinct()
-    novel = at.join(known, ["head", "tail"], "left_anti")
-    kinds = {"PATH": evidence.reached(novel, _pairs(kg, "RETURNED"), *steps), "PHENOTYPE": evidence.shares_attribute(novel, known, _pairs(kg, "NATION_REGION"))}
+    known = _pairs(kg, "CUST_NATION")
+    # where a part comes from is told once a part, before its many buyers meet it
+    made = _pairs(kg, "PART_SUPPLIER").toDF("head", "by").join(_pairs(kg, "SUPPLIER_NATION").toDF("by", "tail"), "by").select("head", "tail").distinct()
+    reached = _pairs(kg, "BOUGHT").join(made.toDF("tail", "to"), "tail").select("head", F.col("to").alias("tail")).distinct()
+    novel = graph.cut(reached.join(known, ["head", "tail"], "left_anti"))
+    kinds = {"PATH": evidence.reached(novel, _pairs(kg, "RETURNED"), made), "PHENOTYPE": evidence.shares_attribute(novel, known, _pairs(kg, "NATION_REGION"))}
     return evidence.tiers(novel, kinds).select("head", "tail", "evidence", "tier")
 
 
