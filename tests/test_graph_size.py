@@ -1,6 +1,8 @@
 """Steps whose cost must follow the input: the graph's tables, ranks over shared lists, counts by classes."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph import catalog
@@ -125,3 +127,21 @@ def test_plans_find_all_they_need_in_the_relations_that_they_name():
             assert rows[0] == pytest.approx(rows[1], rel=1e-6), name
             fewer += 1
     assert fewer > 20
+
+
+def test_a_task_gives_a_large_forest_away(monkeypatch):
+    from loomgraph.operators import components
+
+    monkeypatch.setattr(components, "CONTRACT_EDGES", 10)
+    u, v = np.arange(1, 101), np.arange(100)
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 5]), pa.array(v[i : i + 5])], ["u", "v"]) for i in range(0, 100, 5)]
+    out = list(components._contract(iter(batches), 20))
+    assert len(out) > 2 and all(b.num_rows <= 40 for b in out)
+    whole = components._forest(*(np.concatenate([b.column(i).to_numpy() for b in out]) for i in range(2)))
+    assert len(whole[0]) == 100 and not whole[1].any()
+
+
+def test_components_tell_no_edges_apart_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(graph, "undirected", None)
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("b", "c"), ("d", "d"), ("f", "e")], "head string, tail string")
+    assert {(r.node, r.component) for r in graph.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e"), ("f", "e")}
