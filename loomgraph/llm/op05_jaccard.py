@@ -5,7 +5,10 @@
    over all documents, shows that for almost every unrelated document.
 2. The other classes order their shingles by frequency among themselves. Two
    that link share one of the first, so components over those bring them
-   together; a class goes to one task, not to one task a shingle.
+   together; a class goes to one task, not to one task a shingle. As a corpus
+   grows, single shingles chain ever more unrelated classes together, so what a
+   task can't hold is told apart once more: cut by fingerprint into more
+   segments than two that link may differ in, they share one as a whole.
 3. There the sets, ordered alike, are stored in a prefix tree. A traversal sums
    the overlap along shared prefixes once and leaves subtrees whose remaining
    lengths can't reach the limit. The distance is a metric: what is near a
@@ -34,6 +37,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 6_000_000
 #: Of such a component so many sets meet all blocks first, those that stand for most others.
 LEADERS = 64
 STEP = 32
+#: Ways to cut a set before one with too few segments that hold a shingle is no longer told apart.
+CUTS = 8
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -82,6 +87,62 @@ def own_shingles(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
     return per.where("owner = o2").groupBy("owner").agg(F.count("*").alias("own"))
 
 
+def differing(n: int, similar: Fraction) -> Iterator[int]:
+    """For each band of sizes that the smaller of two linked sets may be of, if the other has ``n`` or that one itself: in how many shingles they differ at most."""
+    low = 1
+    while low <= n:
+        top = max(low, int(low / similar))
+        if top >= similar * n:
+            yield int((1 - similar) / similar * top)
+        low = top + 1
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def segments(s: np.ndarray, similar: Fraction) -> np.ndarray:
+    """Fingerprints of which two sets that link share one at least.
+
+    Of ``d + 1`` segments or more that hold a shingle, sets that differ in ``d``
+    agree in one. A set with fewer is cut anew; so is what could link with
+    nothing but such sets.
+    """
+    out = []
+    for d in differing(len(s), similar):
+        m = d + 1 + max(1, d // 4)
+        for seed in range(CUTS):
+            h = _mixed(s, seed + 1)
+            at = (h >> np.uint64(20)) % np.uint64(m)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+            whole = np.add.reduceat(_mixed(h, 0)[order], first)
+            out.append(_mixed(whole + at[order][first], (d << 4) + seed + 1))
+            if len(first) > d:
+                break
+        else:
+            out.append(np.array([d], dtype=np.uint64))
+    return np.unique(np.concatenate(out))
+
+
+def apart(members: DataFrame, similar: Fraction) -> DataFrame:
+    """(node, component): components of ``members(component, rep, shingles)`` over shared segments, within those that they had."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                c = b.slice(at, 1_000)
+                found = [signed(segments(s, similar)) for s in _views(pa.chunked_array([c.column(2)]))]
+                n = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c.column(i).to_numpy(), n)) for i in (0, 1)] + [pa.array(np.concatenate(found))], ["component", "rep", "segment"])
+
+    cuts = members.select("component", "rep", "shingles").mapInArrow(lean(cut_up), "component long, rep long, segment long")
+    least = cuts.groupBy("component", "segment").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").drop("most")
+    return connected_components(cuts.join(least, ["component", "segment"]).select(F.col("rep").alias("u"), F.col("least").alias("v")))
+
+
 class Trie:
     """Sets as a prefix tree whose edges hold STEP shingles, level by level.
 
@@ -289,12 +350,21 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
 
     candidates = shared.repartition("rep").sortWithinPartitions("rep", "df", "token").mapInArrow(lean(leading), "u long, v long")
     groups = materialize(connected_components(candidates))
-    members = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
-    sizes = materialize(
-        groups.join(sets.select("rep", "n"), F.col("rep") == F.col("node")).groupBy("component").agg(
-            F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
+
+    def measured(groups: DataFrame) -> DataFrame:
+        return materialize(
+            groups.join(sets.select("rep", "n"), F.col("rep") == F.col("node")).groupBy("component").agg(
+                F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
+            )
         )
-    )
+
+    sizes = measured(groups)
+    if sizes.where("blocks > 1").count():
+        large = groups.join(sizes.where("blocks > 1").select("component"), "component")
+        finer = materialize(apart(sets.join(large, F.col("rep") == F.col("node")), similar))
+        groups = groups.join(sizes.where("blocks = 1").select("component"), "component").select("node", "component").unionByName(finer)
+        sizes = measured(groups)
+    members = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def within(t: pa.Table) -> pa.Table:

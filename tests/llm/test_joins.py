@@ -143,3 +143,27 @@ def test_leaks_equal_every_window(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in docs if d not in bad)
     assert op10_decontamination.find_leaks(df.limit(0), bench).count() == 0
     assert op10_decontamination.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_segments_miss_no_link():
+    rng = np.random.default_rng(5)
+    for similar in (Fraction(85, 100), Fraction(4, 5), Fraction(1, 2)):
+        for n in [*range(1, 40), 200, 1_500]:
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            for taken in {0, n // 12, int((1 - similar) * n)}:  # the rest alone, or with as many others as a link allows
+                kept = rng.permutation(a)[taken:]
+                more = rng.integers(0, 1 << 63, int(len(kept) / similar) - n).astype(np.uint64)
+                for b in (kept, np.concatenate([kept, more])):
+                    if len(b) and len(kept) >= similar * (n + len(b) - len(kept)):
+                        assert np.intersect1d(op05_jaccard.segments(a, similar), op05_jaccard.segments(np.sort(b), similar)).size, (similar, n, taken)
+
+
+def test_a_chain_of_unrelated_documents_needs_no_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    passages = [[f"p{i}x{rng.random()}" for _ in range(50)] for i in range(61)]
+    texts = [a + b for a, b in zip(passages, passages[1:])]  # each shares half with the next
+    texts += [t[:60] + ["other"] + t[61:] for t in texts[::15]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(op05_jaccard, "between_blocks", lambda *a: pytest.fail("all blocks compared"))
+    got = {r.doc_id: r.component_id for r in op05_jaccard.jaccard_components(df, block_sets=20).collect()}
+    assert got == {i: i for i in range(60)} | {60 + j: 15 * j for j in range(4)}
