@@ -134,13 +134,14 @@ def apart(members: DataFrame, similar: Fraction) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 c = b.slice(at, 1_000)
-                found = [signed(segments(s, similar)) for s in _views(pa.chunked_array([c.column(2)]))]
+                found = [segments(s, similar) for s in _views(pa.chunked_array([c.column(2)]))]
                 n = [len(f) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c.column(i).to_numpy(), n)) for i in (0, 1)] + [pa.array(np.concatenate(found))], ["component", "rep", "segment"])
+                within = _mixed(np.repeat(c.column(0).to_numpy(), n).view(np.uint64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found) ^ within)), pa.array(np.repeat(c.column(1).to_numpy(), n))], ["segment", "rep"])
 
-    cuts = members.select("component", "rep", "shingles").mapInArrow(lean(cut_up), "component long, rep long, segment long")
-    least = cuts.groupBy("component", "segment").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").drop("most")
-    return connected_components(cuts.join(least, ["component", "segment"]).select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    cuts = members.select("component", "rep", "shingles").mapInArrow(lean(cut_up), "segment long, rep long")
+    least = cuts.groupBy("segment").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").drop("most")
+    return connected_components(cuts.join(least, "segment").select(F.col("rep").alias("u"), F.col("least").alias("v")))
 
 
 class Trie:
@@ -360,9 +361,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: Fraction = SI
 
     sizes = measured(groups)
     if sizes.where("blocks > 1").count():
-        large = groups.join(sizes.where("blocks > 1").select("component"), "component")
-        finer = materialize(apart(sets.join(large, F.col("rep") == F.col("node")), similar))
-        groups = groups.join(sizes.where("blocks = 1").select("component"), "component").select("node", "component").unionByName(finer)
+        # written, so that their sizes are known and what is small is sent to the sets, not the sets to it
+        large = materialize(groups.join(sizes.where("blocks > 1").select("component"), "component"))
+        finer = apart(sets.join(large, F.col("rep") == F.col("node")), similar)
+        groups = materialize(groups.join(sizes.where("blocks = 1").select("component"), "component").select("node", "component").unionByName(finer))
         sizes = measured(groups)
     members = sets.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "shingles", "component")
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
