@@ -47,6 +47,11 @@ def test_rgcn_step_of_every_node(spark):
     assert all(abs(y - want[v][o]) < 1e-3 for (v, o), y in got.items())
 
 
+def test_rgcn_step_sends_whole_vectors(spark):
+    plan = catalog.QUERIES["rgcn_step"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "Aggregate" not in plan.split("MapInArrow")[0]
+
+
 def test_compgcn_step_over_every_edge(spark):
     x, edges = vectors()
     i = np.arange(64)
