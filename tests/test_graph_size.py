@@ -145,3 +145,27 @@ def test_components_tell_no_edges_apart_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(graph, "undirected", None)
     edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("b", "c"), ("d", "d"), ("f", "e")], "head string, tail string")
     assert {(r.node, r.component) for r in graph.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e"), ("f", "e")}
+
+
+def test_a_walk_that_no_types_allow_is_not_asked(spark, monkeypatch):
+    """Sides of a bipartite graph have no distance of two or four, so nothing is listed for them."""
+    edges = [(f"C::{i}", f"P::{j}") for i in range(12) for j in range(12) if (i + j) % 7 == 0] + [(f"P::{j}", "B::0") for j in range(0, 12, 3)] + [("C::11", "N::1"), ("D::x", "N::1")]
+    pairs = [(f"C::{i}", f"P::{j}") for i in range(12) for j in range(12)] + [("C::1", "C::1"), ("C::0", "C::7"), ("D::x", "C::0"), ("Q::1", "C::1")]
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v), near.setdefault(v, set()).add(u)
+    want = {}
+    for h, t in pairs:
+        front, seen, d = {h}, {h}, 0
+        while t not in seen and d < 4 and front:
+            front = {x for n in front for x in near.get(n, ())} - seen
+            seen |= front
+            d += 1
+        want[h, t] = d if t in seen else -1
+    df = spark.createDataFrame(edges, "head string, tail string"), spark.createDataFrame(pairs, "head string, tail string")
+    assert {(r.head, r.tail): r.dist for r in graph.pair_distance(*df).collect()} == want and {1, 2, 3, -1} <= set(want.values())
+    plans = []
+    kept = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda x: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or kept(x))
+    assert {(r.head, r.tail): r.dist for r in graph.pair_distance(df[0], df[1].where("head like 'C%' and tail like 'P%'")).collect()} == {k: v for k, v in want.items() if k[0][0] == "C" and k[1][0] == "P"}
+    assert plans and not any("count(1)" in p for p in plans)  # neighbours are counted for four hops only
